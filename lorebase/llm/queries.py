@@ -22,6 +22,39 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.warc import read_warc, write_warc
+
+    return read_warc(write_warc(read(spark, sf_dir, "pages"))).drop("url", "payload")
+
+
+OP2_SQL = """
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""
+
+
+def tokenizer_file() -> str:
+    """The tokenizer of the contracts; every machine has it in the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.wavelet import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(read(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorebase.llm.curriculum import curriculum_mix
 
@@ -33,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL}
