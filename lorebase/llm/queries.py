@@ -36,6 +36,12 @@ FROM (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last FROM (SELECT
 """
 
 
+def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.jpeg import media_columns
+
+    return media_columns(read(spark, sf_dir, "documents"), with_media=False)
+
+
 def tokenizer_file() -> str:
     """The tokenizer of the contracts; every machine has it in the same place."""
     import public_tokenizers
@@ -49,6 +55,12 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(read(spark, sf_dir, "documents"), tokenizer_file()))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorebase.llm.packing import pack_documents
 
