@@ -42,6 +42,12 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"), with_media=False)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.licenses import scan_licences
+
+    return scan_licences(read(spark, sf_dir, "documents")).drop("notices")
+
+
 def tokenizer_file() -> str:
     """The tokenizer of the contracts; every machine has it in the same place."""
     import public_tokenizers
