@@ -73,6 +73,12 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.suffix_dedup import repeated_substrings
+
+    return repeated_substrings(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorebase.llm.curriculum import curriculum_mix
 
