@@ -56,6 +56,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     )
 
 
+def training_position(nth=1):
+    """Training time from 0 to 1 of the middle of a document's pass number ``nth``
+    (a number or a column): its source's schedule target * (1 + slope * (1 - 2 t)),
+    integrated up to t and inverted."""
+    before = F.col("first_pass") + (F.lit(nth) - 1 if isinstance(nth, int) else nth - 1) * F.col("source_size")
+    u = F.least(F.lit(1.0), (before + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
+    a = F.col("slope")
+    return 2 * u / ((1 + a) + F.sqrt((1 + a) * (1 + a) - 4 * a * u))
+
+
 def curriculum_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -68,7 +78,7 @@ def curriculum_mix(
     blocks: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``, range-sorted by training position:
-    ``doc_id, size, source, source_size, target, taken, first_pass, position``.
+    ``doc_id, size, source, source_size, target, taken, slope, first_pass, position``.
 
     * ``size`` is the number of words of the whole text; null text has none.
     * ``taken``: with k the whole number of times the target covers the
@@ -78,9 +88,8 @@ def curriculum_mix(
       target rounded to a word, no document exceeds ``cap`` rounded up times
       its size, and reruns agree.
     * ``first_pass`` is the stretch of demand before the document, ``position``
-      its training time from 0 to 1: the weight schedule
-      target * (1 + slope * (1 - 2 t)), integrated and inverted. Documents that
-      are not taken have none.
+      its training time by ``training_position`` in the first pass over the
+      source. Documents that are not taken have none.
     * A null source is a source of its own, last in order. Null identifiers
       and repeated rows are rows like any other; equal rows get equal sums up
       to the order among them. Empty documents have size and taken 0. An empty
@@ -110,14 +119,12 @@ def curriculum_mix(
     )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("bigint")
-    u = F.least(F.lit(1.0), (F.col("first_pass") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
-    a = F.col("slope")
     return (
         joined.withColumn("passes", passes.cast("bigint"))
         .withColumn("rest", rest)
         .withColumn("taken", F.col("passes") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("bigint"), F.col("rest") - F.col("before"))))
         .withColumn("first_pass", F.when(F.col("taken") > 0, F.col("before")))
-        .withColumn("position", 2 * u / ((1 + a) + F.sqrt((1 + a) * (1 + a) - 4 * a * u)))
-        .select("doc_id", "size", "source", "source_size", "target", "taken", "first_pass", "position")
+        .withColumn("position", training_position())
+        .select("doc_id", "size", "source", "source_size", "target", "taken", "slope", "first_pass", "position")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )

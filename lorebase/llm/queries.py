@@ -36,6 +36,12 @@ FROM (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last FROM (SELECT
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm.jaccard_join import ngram_jaccard
+
+    return ngram_jaccard(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorebase.llm.jpeg import media_columns
 

@@ -176,9 +176,12 @@ def toxicity(
     threshold: float = 0.3,
     most_toxic: int = 3000,
     most_clean: int = 6000,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
+    * With ``carry`` the columns of ``docs`` come along, unless their names are
+      among those above.
     * A row is held out if crc32 of its identifier as text, modulo 4, is 2; such
       labels are never learnt from. Labels, languages, sources and identifiers
       are no features.
@@ -234,5 +237,19 @@ def toxicity(
                 sums = np.bincount(each >> BITS, table[each & ((1 << BITS) - 1)], b - a) + intercept
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(sums, -60, 60))))], names=["doc_id", "score"])
 
-    scored = plain.mapInArrow(score, "doc_id bigint, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scores = {"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")}
+    if not carry:
+        return plain.mapInArrow(score, "doc_id bigint, score double").select("doc_id", scores["held_out"].alias("held_out"), "score", scores["predicted"].alias("predicted"))
+    # Rows come back in their order, so a struct of them passes through the scoring.
+    other = [c for c in docs.columns if c not in (id_col, text_col, "doc_id", "text", "score", "held_out", "predicted")]
+    wide = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("own_text"), text_or_empty(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *other).alias("rest"))
+    names = ["doc_id", "own_text", "rest"]
+
+    def score_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x["score"] for x in score(iter([batch]))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.concat_arrays(found) if found else pa.array([], pa.float64())], names=[*names, "score"])
+
+    kind = wide.schema["rest"].dataType.simpleString()
+    out = wide.mapInArrow(score_wide, f"doc_id bigint, own_text string, rest {kind}, score double")
+    return out.select("doc_id", F.col("own_text").alias(text_col), *[F.col("rest")[c].alias(c) for c in other], scores["held_out"].alias("held_out"), "score", scores["predicted"].alias("predicted"))
