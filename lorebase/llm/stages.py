@@ -53,8 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least half is taken. Documents without words are none of the mix's business
     and stay, at the end. Each pass over a source has positions of its own.
     Rows that repeat an identifier go by the one taken most often."""
-    columns = ["size", "source_size", "target", "taken", "slope", "first_pass"]
-    mix = curriculum_mix(docs).groupBy("doc_id").agg(F.max(F.struct("taken", *columns)).alias("m")).select("doc_id", *[f"m.{c}" for c in columns])
+    columns = ["taken", "size", "source_size", "target", "slope", "first_pass"]
+    mix = curriculum_mix(docs).groupBy("doc_id").agg(F.max(F.struct(*columns)).alias("m")).select("doc_id", *[f"m.{c}" for c in columns])
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
     passes = mix.withColumn("times", times).where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
     plan = staged(passes.select(F.col("doc_id").alias(_ID), F.coalesce(training_position(F.col("nth")), F.lit(1.0)).alias("__position")))
