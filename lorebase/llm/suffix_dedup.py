@@ -17,7 +17,11 @@ at later offsets until ``width`` bytes are told apart:
   strings that it is the anchor of, at once. A stretch found twice is repeated.
 * Round 2 takes the stretches that are alone in a bucket with others (edges of
   copied passages, places of edits) apart into their strings and refines these
-  by the buckets at the offsets that tile ``width`` bytes.
+  by the buckets at the offsets that tile ``width`` bytes. The bytes of a
+  bucket's stretches meet in one task; a bucket with more than ``MANY`` distinct
+  stretches is dealt out string by string instead, combined before the shuffle.
+
+Texts travel twice, compressed row by row, and nothing else that is as large.
 
 A string's name is always compared together with the name of its anchor's
 bucket, so a match agrees in 128 bits.
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +84,9 @@ def anchors(level: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return at[first], first, np.append(first[1:], n) - 1
 
 
+#: Buckets with more distinct stretches are dealt out string by string.
+MANY = 256
+_CONTEXT = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
 #: Texts are worked on in pieces of so many bytes, overlapping by width - 1.
 PIECE = 1 << 20
 
@@ -104,13 +112,13 @@ def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def string_names(data: np.ndarray, width: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Names of all strings that start in first..last, one stretch after the other."""
-    sizes = last - first + 1
-    if len(data) <= PIECE and 4 * int((sizes + width).sum()) > len(data):
-        starts = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        return tiled(names(data, 128), starts, width)
-    return np.concatenate([tiled(names(data[a : b + width], 128), np.arange(b - a + 1), width) for a, b in zip(first.tolist(), last.tolist())])
+def string_names(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names of all strings of ``width`` bytes in each part, their number in each)."""
+    sizes = np.array([len(x) - width + 1 for x in parts])
+    begins = np.cumsum([0, *map(len, parts)])[:-1]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    starts = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    return tiled(names(data, 128), starts, width), sizes
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -149,54 +157,99 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     bucket, name, *rest = (np.concatenate(x) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays([_signed(bucket), _signed(name), *map(pa.array, rest)], names=columns)
 
-    # Round 0: q-gram buckets of the anchors.
-    found = staged(plain.mapInArrow(initial, "bucket bigint, name bigint, id bigint, key bigint, first bigint, last bigint"))
-    # Round 1: sub-buckets by stretch; counts are combined before they are dealt out.
-    stretch = found.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"))
-    bucket = stretch.groupBy("bucket").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("names")).where("rows > 1")
-    shared = staged(stretch.join(bucket, "bucket").select("bucket", "name", "n", (F.col("names") > 1).alias("apart")))
-    # Joins on a bucket meet each stretch name once; joins on (bucket, name) split skewed keys.
-    hits = staged(found.join(shared, ["bucket", "name"]).select(*own_key, "bucket", "first", "last", "n", "apart"))
-    whole = hits.where("n > 1").select(*own_key, F.col("first").alias("a"), F.col("last").alias("b"))
-    # Round 2: strings of the stretches that are alone in their bucket, and of one
-    # example of each stretch that they might match.
-    example = found.join(shared.where("apart AND n > 1").select("bucket", "name"), ["bucket", "name"]).groupBy("bucket", "name").agg(F.min(F.struct(*own_key, "first", "last")).alias("x"))
-    apart = hits.where("apart AND n = 1").select(*own_key, "bucket", "first", "last", F.lit(False).alias("known"))
-    apart = staged(apart.unionByName(example.select("x.id", "x.key", "bucket", "x.first", "x.last", F.lit(True).alias("known"))))
-    per_text = apart.groupBy(*own_key).agg(F.collect_list(F.struct("bucket", "first", "last", "known")).alias("parts"))
-    # Equal rows share a key and hold equal parts: one of them is enough here, as
-    # each of its stretches is either counted more than once or in `known`.
-    once = plain.join(per_text, own_key).select(*own_key, "text", "parts")
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["bucket", "name", "id", "key", "at", "known"]
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            raw, offs = flat(batch["text"])
+            small = [squeeze(raw[x:y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], batch["key"], pa.array(small, pa.binary())], names=["doc_id", "id", "key", "text"])
+
+    pressed = plain.mapInArrow(press, "doc_id bigint, id bigint, key bigint, text binary")
+    # Round 0: q-gram buckets of the anchors. Counts are combined before they are dealt out.
+    found = plain.mapInArrow(initial, "bucket bigint, name bigint, id bigint, key bigint, first bigint, last bigint")
+    buckets = staged(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket"))
+    hits = staged(found.join(buckets, "bucket"))
+    # Round 1: sub-buckets by stretch, each with one example.
+    stretch = hits.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*own_key, "first", "last")).alias("x"))
+    sizes = stretch.groupBy("bucket").agg(F.count(F.lit(1)).alias("names"))
+    refined = staged(stretch.join(sizes, "bucket"))
+    whole = hits.join(refined.where("n > 1").select("bucket", "name"), ["bucket", "name"]).select(*own_key, F.col("first").alias("a"), F.col("last").alias("b"))
+    # Round 2: the strings of the distinct stretches of buckets with several.
+    apart = refined.where("names > 1").select("x.*", "bucket", (F.col("n") > 1).alias("known"), (F.col("names") > MANY).alias("many"))
+    per_text = apart.groupBy(*own_key).agg(F.collect_list(F.struct("bucket", "first", "last", "known", "many")).alias("parts"))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["bucket", "id", "key", "at", "known", "name", "part"]
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows: list[tuple] = []
+            for identifier, own, text, parts in zip(batch["id"].to_pylist(), batch["key"].to_pylist(), batch["text"], batch["parts"]):
+                data, parts = expand(text.as_py()), parts.values
+                for bucket, first, last, known, many in zip(*(parts.field(c).to_pylist() for c in ("bucket", "first", "last", "known", "many"))):
+                    part = data[first : last + width]
+                    if many:
+                        name, _ = string_names([part], width)
+                        rows += [(bucket, identifier, own, first + i, known, x, None) for i, x in enumerate(name.view(np.int64).tolist())]
+                    else:
+                        rows.append((bucket, identifier, own, first, known, None, part))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CONTEXT)], names=columns)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CONTEXT)], names=columns)
+
+    parts = staged(pressed.join(per_text, own_key).select(*own_key, "text", "parts").mapInArrow(contexts, "bucket bigint, id bigint, key bigint, at bigint, known boolean, name bigint, part binary"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def close():
+            bucket = np.array([r[0] for r in held])
+            name, sizes = string_names([r[5] for r in held], width)
+            row = np.repeat(np.arange(len(held)), sizes)
+            at = np.arange(len(name)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.lexsort((name, bucket[row]))
+            same = (name[order][1:] == name[order][:-1]) & (bucket[row][order][1:] == bucket[row][order][:-1])
+            twice = np.zeros(len(name), bool)
+            twice[order[1:]] |= same
+            twice[order[:-1]] |= same
+            twice &= ~np.array([r[4] for r in held])[row]
+            opens = twice.copy()
+            opens[1:] &= ~(twice[:-1] & (row[1:] == row[:-1]))
+            shuts = twice.copy()
+            shuts[:-1] &= ~(twice[1:] & (row[1:] == row[:-1]))
+            a, b = np.flatnonzero(opens), np.flatnonzero(shuts)
+            base = np.array([r[3] for r in held])[row[a]]
+            identifier, own = (np.array([r[i] for r in held], np.int64)[row[a]] for i in (1, 2))
+            return pa.RecordBatch.from_arrays([pa.array(identifier), pa.array(own), pa.array(base + at[a]), pa.array(base + at[b])], names=["id", "key", "a", "b"])
+
         for batch in batches:
-            texts, parts = batch["text"], batch["parts"]
-            raw, offs = flat(texts)
-            for i, (identifier, own) in enumerate(zip(batch["id"].to_pylist(), batch["key"].to_pylist())):
-                part = parts[i].values
-                bucket, first, last = (part.field(c).to_numpy() for c in ("bucket", "first", "last"))
-                known = part.field("known").to_numpy(zero_copy_only=False)
-                sizes = last - first + 1
-                name = string_names(raw[offs[i] : offs[i + 1]], width, first, last)
-                at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(name))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, sizes)), _signed(name), pa.array(np.full(len(name), identifier)), pa.array(np.full(len(name), own)), pa.array(at), pa.array(np.repeat(known, sizes))], names=columns)
-
-    parts = staged(once.mapInArrow(strings, "bucket bigint, name bigint, id bigint, key bigint, at bigint, known boolean"))
-    twice = parts.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = parts.where("NOT known").join(twice, ["bucket", "name"]).select(*own_key, F.col("at").alias("a"), F.col("at").alias("b"))
-    marks = whole.unionByName(single).groupBy(*own_key).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
+            for r in zip(*(batch[c].to_pylist() for c in ("bucket", "id", "key", "at", "known", "part"))):
+                if size > CHUNK and r[0] != held[-1][0]:
+                    yield close()
+                    held, size = [], 0
+                held.append(r)
+                size += len(r[5])
+        if held:
+            yield close()
+
+    few = parts.where("name IS NULL").select("bucket", *own_key, "at", "known", "part").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, key bigint, a bigint, b bigint")
+    strings = parts.where("name IS NOT NULL").select("bucket", "name", *own_key, "at", "known")
+    twice = strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    single = strings.where("NOT known").join(twice, ["bucket", "name"]).select(*own_key, F.col("at").alias("a"), F.col("at").alias("b"))
+    marks = whole.unionByName(few).unionByName(single).groupBy(*own_key).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
 
     out_type = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<a:bigint,b:bigint>>, kept binary" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [x.split()[0] for x in out_type.split(", ")][: 7 if with_text else 5]
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw, offs = flat(batch["text"])
-            marks, rows = batch["marks"], []
+            texts, marks, rows = batch["text"], batch["marks"], []
             valid = marks.is_valid().to_pylist()
             for i, identifier in enumerate(batch["doc_id"].to_pylist()):
-                data = raw[offs[i] : offs[i + 1]]
+                data = np.frombuffer(expand(texts[i].as_py()), np.uint8)
                 a = b = np.zeros(0, np.int64)
                 if valid[i]:
                     own = marks[i].values
@@ -214,4 +267,4 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(columns), kinds)], names=columns)
 
-    return plain.join(marks, own_key, "left").select("doc_id", "text", "marks").mapInArrow(cut, out_type)
+    return pressed.join(marks, own_key, "left").select("doc_id", "text", "marks").mapInArrow(cut, out_type)

@@ -47,10 +47,10 @@ def corpus(seed):
     return texts + [texts[20], texts[21]]
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 700])
-def test_against_brute_force(spark, monkeypatch, piece):
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
-    texts = corpus(piece)
+@pytest.mark.parametrize("many", [256, 2])
+def test_against_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    texts = corpus(many)
     rows = [(i, t) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in suffix_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, want in enumerate(brute(texts, 200)):
@@ -67,3 +67,16 @@ def test_repeated_rows_nulls_and_other_columns(spark):
     n = len(t)
     assert got == [(-1, n + 1, n), (1, n, n), (1, n, n), (2, 0, 0)]
     assert suffix_dedup.repeated_substrings(docs.limit(0)).count() == 0
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    import numpy as np
+
+    data = np.frombuffer(" ".join(str(i * i) for i in range(3000)).encode(), np.uint8)
+    whole = suffix_dedup.stretches(data, 200)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    cut = suffix_dedup.stretches(data, 200)
+    for _, _, first, last in (whole, cut):
+        assert first[0] == 0 and last[-1] == len(data) - 200
+        assert (first[1:] == last[:-1] + 1).all()
+    assert set(whole[0].tolist()) == set(cut[0].tolist())
