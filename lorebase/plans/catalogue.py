@@ -1,6 +1,527 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lorebase.functions import text as X
+from lorebase.functions.taxonomy import AUDIENCES, DEFAULT
+from lorebase.operators import classify as C
+from lorebase.operators import derive as D
+from lorebase.operators import entities as E
+from lorebase.operators import records as R
+from lorebase.operators import search as S
+from lorebase.plans.model import bookmarks, enrichments, links, review, table
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _values(rows) -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
+COMPACT = r"trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+QP = X.QUESTION_PATTERN.replace("'", "''")
+STARTS = " OR ".join("starts_with(l, '" + s.replace("'", "''") + "')" for s in X.QUESTION_STARTS)
+
+# --- classification -------------------------------------------------------------
+
+KW = f"""kw(place, slug, keyword, weight) AS (VALUES {_values(DEFAULT.weights())}),
+sc AS (SELECT doc_id, place, slug, sum(weight)::DOUBLE AS score FROM (SELECT doc_id, lower(text) AS low FROM documents), kw WHERE contains(low, keyword) GROUP BY ALL),
+rk AS (SELECT doc_id, slug, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS rank, sum(score) OVER (PARTITION BY doc_id) AS total FROM sc),
+lb AS (SELECT doc_id, slug, rank, round(least(0.95::DOUBLE, 0.3::DOUBLE + (score / total) * 0.65::DOUBLE), 3) AS confidence FROM rk WHERE rank <= 5),
+pr AS (SELECT d.doc_id, coalesce(slug, 'misc') AS prim, coalesce(confidence, 0.1::DOUBLE) AS confidence FROM documents d LEFT JOIN lb ON lb.doc_id = d.doc_id AND rank = 1)"""
+
+
+def _classified(spark, sf_dir) -> DataFrame:
+    return C.classify(bookmarks(spark, sf_dir))
+
+
+@query(f"WITH {KW} SELECT doc_id, prim AS \"primary\", confidence FROM pr")
+def classify_primary(spark, sf_dir):
+    return _classified(spark, sf_dir).select(F.col("id").alias("doc_id"), "primary", "confidence")
+
+
+@query(f"WITH {KW} SELECT doc_id, rank, slug, confidence FROM lb")
+def classify_top5(spark, sf_dir):
+    return _classified(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode("labels").alias("place", "x")).select("doc_id", (F.col("place") + 1).cast("bigint").alias("rank"), "x.slug", "x.confidence")
+
+
+@query(f"WITH {KW} SELECT doc_id, prim = 'misc' OR confidence < 0.45 OR NOT EXISTS (SELECT 1 FROM lb WHERE lb.doc_id = pr.doc_id AND lb.confidence > 0.4) AS needs_review FROM pr")
+def classify_needs_review(spark, sf_dir):
+    return _classified(spark, sf_dir).select(F.col("id").alias("doc_id"), "needs_review")
+
+
+@query(f"WITH {KW}, cats(slug) AS (VALUES {_values([(c,) for c in DEFAULT.categories])}) SELECT slug, count(doc_id) AS n FROM cats LEFT JOIN pr ON prim = slug GROUP BY slug")
+def category_counts_with_zero(spark, sf_dir):
+    slugs = spark.range(1).select(F.explode(F.array(*map(F.lit, DEFAULT.categories))).alias("slug"))
+    counts = _classified(spark, sf_dir).groupBy("primary").agg(F.count(F.lit(1)).alias("n"))
+    return slugs.join(counts, slugs["slug"] == counts["primary"], "left").select("slug", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {KW}, sg AS (SELECT doc_id, slug, keyword, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) AS k FROM (SELECT *, row_number() OVER () AS pos FROM kw) w, (SELECT doc_id, lower(text) AS low FROM documents) WHERE contains(low, keyword))
+SELECT l.doc_id, l.slug, string_agg('keyword:' || keyword, '; ' ORDER BY k) AS rationale FROM lb l JOIN sg USING (doc_id, slug) WHERE rank = 1 AND k <= 3 GROUP BY l.doc_id, l.slug""")
+def classify_rationale(spark, sf_dir):
+    return _classified(spark, sf_dir).where("size(labels) > 0").select(F.col("id").alias("doc_id"), F.col("labels")[0]["slug"].alias("slug"), F.col("labels")[0]["rationale"].alias("rationale"))
+
+
+STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+TERMS = f"""tk AS (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{X.WORD}') AS w FROM documents)),
+tm AS (SELECT doc_id, lower(raw) AS w, count(*) AS n, min(i) AS i FROM tk WHERE length(raw) > 3 AND lower(raw) NOT IN ({STOP}) GROUP BY ALL),
+tt AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS rank FROM tm)"""
+
+
+@query(f"WITH {TERMS} SELECT doc_id, rank, w AS term FROM tt WHERE rank <= 5")
+def top_terms(spark, sf_dir):
+    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(X.top_terms(F.col("text"))).alias("place", "term")).select("doc_id", (F.col("place") + 1).cast("bigint").alias("rank"), "term")
+
+
+@query(rf"""WITH {KW}, {TERMS}, l AS (SELECT doc_id, lower(substring({COMPACT}, 1, 500)) AS l FROM documents),
+al AS (SELECT doc_id, prim AS tag FROM pr UNION SELECT doc_id, w FROM tt WHERE rank <= 5 UNION SELECT doc_id, 'question' FROM l WHERE l <> '' AND (contains(l, '?') OR {STARTS} OR regexp_matches(l, '{QP}')))
+SELECT doc_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM al GROUP BY doc_id""")
+def classify_tags(spark, sf_dir):
+    return _classified(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_join(C.tags(F.col("text"), F.col("primary")), ",").alias("tags"))
+
+
+# --- text and URLs --------------------------------------------------------------
+
+
+
+@query(rf"""WITH c AS (SELECT doc_id, {COMPACT} AS c FROM documents), f AS (SELECT doc_id, c, coalesce(nullif(regexp_extract(c, '^(.*?[.!?])\s', 1), ''), c) AS f FROM c)
+SELECT doc_id, CASE WHEN c = '' THEN 'No visible tweet text captured.' WHEN length(f) <= 220 THEN f ELSE rtrim(substring(f, 1, 219)) || '.' END AS summary FROM f""")
+def summary_first_sentence(spark, sf_dir):
+    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), X.summarize(F.col("text")).alias("summary"))
+
+
+@query("""SELECT doc_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), 'https?://', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 90), ''), 'bookmark') AS slug FROM documents""")
+def slugs(spark, sf_dir):
+    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), X.slugify(F.col("text")).alias("slug"))
+
+
+DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"
+
+
+@query(f"SELECT page_id, {DOMAIN} AS domain FROM pages")
+def domain_of_url(spark, sf_dir):
+    return links(spark, sf_dir).select(F.col("id").alias("page_id"), X.link_domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT {DOMAIN} AS domain, count(DISTINCT url) AS links FROM pages GROUP BY 1 ORDER BY links DESC, domain LIMIT 20")
+def top_domains(spark, sf_dir):
+    return links(spark, sf_dir).groupBy(X.link_domain(F.col("url")).alias("domain")).agg(F.count_distinct("url").alias("links")).orderBy(F.col("links").desc(), "domain").limit(20)
+
+
+@query(r"""WITH u AS (SELECT url, regexp_extract(url, '^([^:]*://[^/]*)', 1) AS base, regexp_extract(url, '^[^:]*://[^/]*/(.*)$', 1) AS path FROM pages),
+s AS (SELECT url, base, path, unnest(string_split(path, '/')) AS p, generate_subscripts(string_split(path, '/'), 1) AS i FROM u),
+t AS (SELECT url, base, path, string_agg(CASE WHEN regexp_full_match(p, '[0-9]+') THEN '{NUM}' WHEN regexp_full_match(p, '[a-zA-Z0-9_-]+') THEN '{TOKEN}' ELSE p END, '/' ORDER BY i) AS q FROM s GROUP BY ALL)
+SELECT CASE WHEN NOT contains(url, '://') THEN '' WHEN path = '' THEN base ELSE base || '/' || q END AS template, count(*) AS n FROM t GROUP BY 1""")
+def url_template_counts(spark, sf_dir):
+    return links(spark, sf_dir).distinct().groupBy(X.url_template(F.col("url")).alias("template")).agg(F.count_distinct("url").alias("n"))
+
+
+
+
+@query(rf"""WITH l AS (SELECT conv_id, turn, lower(substring({COMPACT}, 1, 500)) AS l FROM conversations) SELECT conv_id, turn, l <> '' AND (contains(l, '?') OR {STARTS} OR regexp_matches(l, '{QP}')) AS is_question FROM l""")
+def question_flag(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.looks_like_question(F.col("text")).alias("is_question"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(w) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9_+-]+') AS w FROM documents)),
+c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c""")
+def hash_embedding(spark, sf_dir):
+    token = bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(X.words(F.lower("text"))).alias("w"))
+    bucket = F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint"), F.lit(64))
+    counts = token.groupBy("doc_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
+    return counts.select("doc_id", "bucket", F.round(F.col("n") / norm, 6).alias("value"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)),
+g AS (SELECT w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS gram FROM t) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram ORDER BY n DESC, gram LIMIT 50""")
+def ngram_top(spark, sf_dir):
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    grams = F.zip_with(F.col("w"), F.slice("w", 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return bookmarks(spark, sf_dir).select(w.alias("w")).where("size(w) > 1").select(F.explode(grams).alias("gram")).where("gram IS NOT NULL").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "gram").limit(50)
+
+
+#: Assignments that look like secrets (a fixed pattern).
+SECRET = r"""\b(api[_-]?key|secret|token|password|bearer)\b\s*[:=]\s*['"][^'"\s]{12,}['"]"""
+SECRET_SQL = SECRET.replace("'", "''")
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
+SELECT doc_id, line_no, 'secret-assignment' AS rule FROM l WHERE regexp_matches(line, '(?i){SECRET_SQL}') UNION ALL
+SELECT doc_id, line_no, 'absolute-user-home-path' FROM l WHERE regexp_matches(line, '(?i)(/Users/[a-z0-9._-]+|/home/[a-z0-9._-]+)')""")
+def secret_lines(spark, sf_dir):
+    line = bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    rules = F.array(
+        F.when(F.col("line").rlike("(?i)" + SECRET), "secret-assignment"),
+        F.when(F.col("line").rlike("(?i)(/Users/[a-z0-9._-]+|/home/[a-z0-9._-]+)"), "absolute-user-home-path"),
+    )
+    return line.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+
+
+# --- listings, joins, upserts ---------------------------------------------------
+
+
+@query("SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id DESC LIMIT 20")
+def list_recent(spark, sf_dir):
+    return R.page(bookmarks(spark, sf_dir).withColumn("captured_at", F.col("id")), 20).select(F.col("id").alias("doc_id"), F.col("author").alias("source"), "n_chars")
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY doc_id DESC LIMIT 10 OFFSET 5")
+def list_filtered_paged(spark, sf_dir):
+    rows = R.include_exclude(bookmarks(spark, sf_dir).where("lang = 'en'"), review(spark, sf_dir), include=("approved",))
+    return R.page(rows.withColumn("captured_at", F.col("id")), 10, 5).select(F.col("id").alias("doc_id"), F.col("author").alias("source"))
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)")
+def analysis_include_exclude(spark, sf_dir):
+    return R.include_exclude(bookmarks(spark, sf_dir), review(spark, sf_dir), ("approved",), ("excluded",)).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)")
+def enrichment_missing(spark, sf_dir):
+    return R.missing_enrichment(bookmarks(spark, sf_dir), enrichments(spark, sf_dir)).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'assistant')")
+def enrichment_missing_type(spark, sf_dir):
+    return R.missing_enrichment(bookmarks(spark, sf_dir), enrichments(spark, sf_dir), "x-conversation").select(F.col("id").alias("doc_id"))
+
+
+ENR = "en AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'x-status' WHEN 'assistant' THEN 'x-conversation' ELSE 'linked-page' END AS source_type, CASE role WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 4 END AS p FROM conversations)"
+
+
+@query(f"WITH {ENR} SELECT conv_id, source_type, turn FROM en QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p, turn DESC) = 1")
+def best_enrichment(spark, sf_dir):
+    return R.best_enrichment(enrichments(spark, sf_dir)).select(F.col("id").alias("conv_id"), "source_type", F.col("captured_at").alias("turn"))
+
+
+@query(f"WITH {ENR}, a AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY p, turn, text) AS t FROM en WHERE trim(text) <> '' GROUP BY conv_id) SELECT doc_id, sha256(text || coalesce(chr(10) || chr(10) || t, '')) AS content_hash FROM documents LEFT JOIN a ON conv_id = doc_id")
+def enriched_text_hash(spark, sf_dir):
+    return R.enriched_text(bookmarks(spark, sf_dir).select("id", "text"), enrichments(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.sha2("text", 256).alias("content_hash"))
+
+
+@query("""WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
+SELECT coalesce(s.doc_id, a.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'absent' WHEN s.h <> a.h THEN 'changed' ELSE 'unchanged' END AS change FROM s FULL JOIN a ON s.doc_id = a.doc_id""")
+def upsert_changed_status(spark, sf_dir):
+    """A stored and an arriving version are made of the whole table by rule."""
+    d = bookmarks(spark, sf_dir).select("id", "text")
+    stored = d.where("id % 3 <> 0").withColumn("h", F.sha2("text", 256))
+    edited = F.when(F.col("id") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    arriving = d.where("id % 7 <> 0").withColumn("text", edited).withColumn("h", F.sha2("text", 256))
+    return R.upsert(stored, arriving, "id", "h").select(F.col("id").alias("doc_id"), "change")
+
+
+@query("SELECT doc_id, stage FROM documents, (VALUES ('classify'), ('entities'), ('embed')) v(stage) WHERE NOT (stage = 'classify' OR (stage = 'entities' AND n_chars > 500))")
+def state_pending_by_stage(spark, sf_dir):
+    items = bookmarks(spark, sf_dir).select("id", "n_chars", F.sha2("text", 256).alias("content_hash"))
+    done = items.select("id", F.lit("classify").alias("stage"), "content_hash").unionByName(items.where("n_chars > 500").select("id", F.lit("entities").alias("stage"), "content_hash"))
+    stale = items.where("n_chars <= 500").select("id", F.lit("entities").alias("stage"), F.lit("old").alias("content_hash"))
+    return R.pending(items, done.unionByName(stale)).select(F.col("id").alias("doc_id"), "stage")
+
+
+@query("SELECT source, min(doc_id) AS first_seen, max(doc_id) AS last_seen, arg_max(lang, doc_id) AS display_name FROM documents GROUP BY source")
+def author_first_last_seen(spark, sf_dir):
+    return R.first_last_seen(bookmarks(spark, sf_dir), "author", "id", "lang").withColumnRenamed("author", "source")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
+def top_sources(spark, sf_dir):
+    return bookmarks(spark, sf_dir).groupBy(F.col("author").alias("source")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "source").limit(10)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS approved, count(*) FILTER (toxic = 1) AS excluded, count(*) FILTER (quality IS NULL) AS needs_review FROM documents LEFT JOIN labels USING (doc_id)")
+def stats_flags_one_pass(spark, sf_dir):
+    joined = bookmarks(spark, sf_dir).select("id").join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
+    return joined.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 1).alias("approved"), F.count_if(F.col("toxic") == 1).alias("excluded"), F.count_if(F.col("quality").isNull()).alias("needs_review"))
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'excluded' WHEN quality = 1 THEN 'approved' ELSE 'new' END AS review_state, NOT (coalesce(toxic, 0) = 1 OR coalesce(quality, 0) = 1) AS needs_review FROM documents LEFT JOIN labels USING (doc_id)")
+def review_actions(spark, sf_dir):
+    items = bookmarks(spark, sf_dir).select("id", F.lit("new").alias("review_state"), F.lit(True).alias("needs_review"))
+    l = review(spark, sf_dir)  # noqa: E741
+    actions = l.select("id", F.when(F.col("slug") == "approved", "approve").otherwise("exclude").alias("action"), F.when(F.col("slug") == "approved", 1).otherwise(2).alias("at"))
+    return R.apply_actions(items, actions).select(F.col("id").alias("doc_id"), "review_state", "needs_review")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies, sha256(text) AS content_hash FROM documents GROUP BY text")
+def dedupe_by_hash(spark, sf_dir):
+    return bookmarks(spark, sf_dir).groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+# --- search ---------------------------------------------------------------------
+
+TOKENS = f"""po AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), '{S.ACCENTS[0]}', '{S.ACCENTS[1]}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents))"""
+
+
+def _postings(spark, sf_dir):
+    return S.index(bookmarks(spark, sf_dir), "text")
+
+
+@query(f"WITH {TOKENS} SELECT doc_id FROM po WHERE token IN ('the', 'that', 'with') GROUP BY doc_id HAVING count(DISTINCT token) = 3")
+def search_and(spark, sf_dir):
+    return S.match_all(_postings(spark, sf_dir), "the", "that", "with").select(F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {TOKENS} SELECT DISTINCT a.doc_id FROM po a JOIN po b ON a.doc_id = b.doc_id AND b.at = a.at + 1 JOIN po c ON a.doc_id = c.doc_id AND c.at = a.at + 2 WHERE a.token = 'of' AND b.token = 'the' AND c.token = 'in'")
+def search_phrase(spark, sf_dir):
+    return S.match_phrase(_postings(spark, sf_dir), "of the in").select(F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {TOKENS} SELECT DISTINCT doc_id FROM po WHERE starts_with(token, 'licens')")
+def search_prefix(spark, sf_dir):
+    return S.match_all(_postings(spark, sf_dir), "licens*").select(F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {TOKENS} SELECT DISTINCT doc_id FROM po WHERE token IN ('apache', 'mit') AND doc_id NOT IN (SELECT doc_id FROM po WHERE token = 'und')")
+def search_or_not(spark, sf_dir):
+    p = _postings(spark, sf_dir)
+    return S.match_any(p, "apache", "mit").join(S.match_any(p, "und"), "id", "left_anti").select(F.col("id").alias("doc_id"))
+
+
+# --- entities and derived tables ------------------------------------------------
+
+
+def _entities(spark, sf_dir):
+    return E.extract(bookmarks(spark, sf_dir))
+
+
+@query()
+def entity_extract_typed(spark, sf_dir):
+    return _entities(spark, sf_dir).select(F.col("id").alias("doc_id"), "name", "type", "source")
+
+
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '@([A-Za-z0-9_]{1,15})', 1))) AS handle FROM documents")
+def handle_extract(spark, sf_dir):
+    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("@([A-Za-z0-9_]{1,15})"), F.lit(1)))).alias("handle"))
+
+
+@query()
+def entities_min_mentions(spark, sf_dir):
+    return E.mentions(_entities(spark, sf_dir), least=3)
+
+
+def _members(spark, sf_dir):
+    labelled = _classified(spark, sf_dir).select("id", "primary", "confidence")
+    return D.clusters(labelled, _entities(spark, sf_dir))
+
+
+@query()
+def clusters(spark, sf_dir):
+    return _members(spark, sf_dir).select(F.col("id").alias("doc_id"), "category", "cluster", "score")
+
+
+@query()
+def project_ideas(spark, sf_dir):
+    return D.project_ideas(_members(spark, sf_dir), _entities(spark, sf_dir))
+
+
+@query(f"""WITH {KW}, s AS (SELECT prim AS category, count(*) AS members FROM pr WHERE confidence >= 0.4 GROUP BY prim) SELECT category, members, category IN ({', '.join(f"'{c}'" for c in AUDIENCES)}) AND members >= 3 AS high_signal FROM s""")
+def category_signal(spark, sf_dir):
+    c = _classified(spark, sf_dir).where("confidence >= 0.4").groupBy(F.col("primary").alias("category")).agg(F.count(F.lit(1)).alias("members"))
+    return c.withColumn("high_signal", F.col("category").isin(*AUDIENCES) & (F.col("members") >= 3))
+
+
+def _graph(spark, sf_dir):
+    items = bookmarks(spark, sf_dir)
+    labelled = _classified(spark, sf_dir).select("id", "primary", "confidence")
+    none = labelled.limit(0).select("id", F.lit("").alias("name"))
+    return D.graph(items, labelled, none, links(spark, sf_dir), labelled.select("id", F.concat(F.lit("cluster-"), "primary").alias("cluster")).where("confidence >= 0.4"))
+
+
+EDGES = f"""{KW}, ed AS (SELECT 'bookmark' AS src_type, doc_id::VARCHAR AS src_id, 'category' AS dst_type, prim AS dst_id, 'categorized_as' AS relation FROM pr
+UNION SELECT 'bookmark', doc_id::VARCHAR, 'author', source, 'authored_by' FROM documents
+UNION SELECT 'bookmark', page_id::VARCHAR, 'domain', {DOMAIN}, 'links_to' FROM pages WHERE {DOMAIN} <> ''
+UNION SELECT 'bookmark', page_id::VARCHAR, 'link', url, 'references' FROM pages WHERE url <> ''
+UNION SELECT 'cluster', 'cluster-' || prim, 'bookmark', doc_id::VARCHAR, 'contains' FROM pr WHERE confidence >= 0.4)"""
+
+
+@query(f"WITH {EDGES} SELECT * FROM ed")
+def graph_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@query(f"WITH {EDGES} SELECT 'bookmark' AS type, doc_id::VARCHAR AS id FROM documents UNION SELECT src_type, src_id FROM ed UNION SELECT dst_type, dst_id FROM ed")
+def graph_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0]
+
+
+@query(f"WITH {EDGES} SELECT relation, count(*) AS n FROM ed GROUP BY relation")
+def graph_stats(spark, sf_dir):
+    return _graph(spark, sf_dir)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+HOSTS = " OR ".join(f"contains(u, '{h}')" for h in D.JUNK_HOSTS)
+
+
+@query(f"""WITH e AS (SELECT page_id, lower(url) AS u, lower(url || ' ' || {TITLE}) AS b, length(html) AS n FROM pages), r AS (SELECT page_id, CASE WHEN {HOSTS} THEN 'x-ad/help/cookie linked page'
+WHEN regexp_matches(b, '(^|[^a-z0-9])({'|'.join(D.JUNK_WORDS)})([^a-z0-9]|$)') AND n < 1000 THEN 'thin policy/login/subscribe page' WHEN n > 0 AND n < 250 THEN 'very thin linked content' ELSE '' END AS reason FROM e) SELECT page_id, reason FROM r WHERE reason <> ''""")
+def junk_candidates(spark, sf_dir):
+    e = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("content"))
+    return D.junk_candidates(e).withColumnRenamed("id", "page_id")
+
+
+@query(r"""WITH a AS (SELECT page_id, unnest(x) AS url, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages))
+SELECT page_id, url, min(i) AS first_at FROM a WHERE regexp_matches(url, '^https?://') GROUP BY ALL""")
+def anchor_links(spark, sf_dir):
+    a = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("i", "url"))
+    return a.where(F.col("url").rlike("^https?://")).groupBy("page_id", "url").agg((F.min("i") + 1).cast("bigint").alias("first_at"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS text_chars FROM pages""")
+def page_main_text(spark, sf_dir):
+    plain = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), X.BLANK, " "))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length(plain).cast("bigint").alias("text_chars"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM conversations),
+u AS (SELECT * FROM c WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, substring(t, 1, 140) ORDER BY turn) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS k, count(*) OVER (PARTITION BY conv_id) AS items FROM u),
+f AS (SELECT conv_id, items, 'X thread/reply context' || chr(10) || string_agg('[' || role || ']' || chr(10) || CASE WHEN length(t) <= 900 THEN t ELSE regexp_replace(substring(t, 1, 899), '\s+$', '') || '.' END, chr(10) || chr(10) ORDER BY k) AS x FROM k WHERE k <= 12 AND items >= 2 GROUP BY ALL)
+SELECT conv_id, items, CASE WHEN length(x) <= 6000 THEN x ELSE regexp_replace(substring(x, 1, 5999), '\s+$', '') || '.' END AS context FROM f""")
+def conversation_format(spark, sf_dir):
+    return D.conversation(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+# --- exports and archives -------------------------------------------------------
+
+
+@query("SELECT doc_id, to_json({id: doc_id, author: source, lang: lang, chars: n_chars}) AS record FROM documents")
+def export_jsonl_record(spark, sf_dir):
+    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.to_json(F.struct("id", "author", "lang", F.col("n_chars").alias("chars"))).alias("record"))
+
+
+@query(f"WITH {KW} SELECT doc_id, source, replace(text, chr(10), ' ') AS text, (SELECT string_agg(slug, '|' ORDER BY rank) FROM lb WHERE lb.doc_id = d.doc_id) AS categories FROM documents d")
+def export_csv_row(spark, sf_dir):
+    return _classified(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("author").alias("source"), F.translate("text", "\n", " ").alias("text"), F.nullif(F.array_join(F.transform("labels", lambda x: x["slug"]), "|"), F.lit("")).alias("categories"))
+
+
+@query(f"WITH {KW} SELECT prim AS category, count(*) AS notes, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (k <= 20) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY prim ORDER BY doc_id) AS k FROM pr) GROUP BY prim")
+def export_topic_index(spark, sf_dir):
+    c = _classified(spark, sf_dir).select("id", "primary").withColumn("k", F.row_number().over(Window.partitionBy("primary").orderBy("id")))
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 20, F.col("id")))), lambda x: x.cast("string"))
+    return c.groupBy(F.col("primary").alias("category")).agg(F.count(F.lit(1)).alias("notes"), F.array_join(first, ",").alias("newest"))
+
+
+@query("SELECT event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events")
+def id_delta_lag(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") - F.coalesce(F.lag("event_id").over(w), F.lit(0))).alias("delta"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c) SELECT user_id, run::BIGINT AS run, event_type, count(*) AS n FROM g GROUP BY ALL""")
+def event_runs(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    new = F.when(F.col("event_type") == F.lag("event_type").over(w), 0).otherwise(1)
+    e = table(spark, sf_dir, "events").withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    return e.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents), j AS (SELECT source, lang, count(*)::DOUBLE AS c FROM documents GROUP BY ALL),
+m AS (SELECT *, sum(c) OVER (PARTITION BY source) AS a, sum(c) OVER (PARTITION BY lang) AS b FROM j)
+SELECT round(sum(c / n * ln(c * n / (a * b))) / ln(least(count(DISTINCT source), count(DISTINCT lang))), 6) AS score FROM m, n""")
+def mutual_information(spark, sf_dir):
+    """Of source and language, as a share of the smaller one's most."""
+    joint = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    a = joint.groupBy("source").agg(F.sum("c").alias("a"))
+    b = joint.groupBy("lang").agg(F.sum("c").alias("b"))
+    total = joint.agg(F.sum("c").alias("n"))
+    m = joint.join(a, "source").join(b, "lang").join(F.broadcast(total), F.lit(True))  # one row
+    return m.agg(F.round(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("a") * F.col("b")))) / F.ln(F.least(F.count_distinct("source"), F.count_distinct("lang"))), 6).alias("score"))
+
+
+# --- vectors --------------------------------------------------------------------
+
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+
+
+@query(f"""WITH q AS (SELECT embedding AS x FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, {DOT.format(a='embedding', b='x')} / (sqrt({DOT.format(a='embedding', b='embedding')}) * sqrt({DOT.format(a='x', b='x')})) AS c FROM embeddings, q)
+SELECT vec_id, round(c, 6) AS similarity FROM s ORDER BY round(c, 6) DESC, vec_id LIMIT 10""")
+def similar_to(spark, sf_dir):
+    """The ten vectors most like vector 0: a top-k report."""
+    v = table(spark, sf_dir, "embeddings")
+    probe = v.where("vec_id = 0").select(F.col("embedding").alias("x")).limit(1)
+    s = v.join(F.broadcast(probe), F.lit(True)).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("x")), 6).alias("similarity"))
+    return s.orderBy(F.col("similarity").desc(), "vec_id").limit(10)
+
+
+@query("""WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) SELECT label, d AS dim, round(avg(v::DOUBLE), 6) AS mean FROM e GROUP BY ALL""")
+def label_centroids(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "v"))
+    return e.groupBy("label", (F.col("d") + 1).cast("bigint").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+# --- extensions: windows, sets, cubes, joins in time and ranges -----------------
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+def rank_orders(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("bigint").alias("rank"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def except_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf_dir):
+    w = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts")
+    gap = F.col("ts") - F.lag("ts").over(w)
+    e = table(spark, sf_dir, "events").withColumn("new", F.when(gap <= F.expr("INTERVAL 6 HOURS"), 0).otherwise(1))
+    e = e.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.groupBy("user_id", "k").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")).drop("k")
+
+
+@query("SELECT e.event_id, coalesce(max(o.event_id), -1) AS last_buy FROM (SELECT * FROM events) e LEFT JOIN events o ON o.user_id = e.user_id AND o.event_type = 'purchase' AND (o.ts, o.event_id) < (e.ts, e.event_id) AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND (x.ts, x.event_id) > (o.ts, o.event_id) AND (x.ts, x.event_id) < (e.ts, e.event_id)) GROUP BY e.event_id")
+def asof_last_purchase(spark, sf_dir):
+    """As-of join by a window over the union: no pair of rows is formed."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.coalesce(F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w), F.lit(-1)).alias("last_buy"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def q1_pricing_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name""")
+def q5_like(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    asia = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t("orders").join(t("customer").join(asia, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
