@@ -20,9 +20,9 @@ Which groups can qualify is found in two steps that keep the bound exact:
   threshold * size closes it), then compared with the members.
 
 Groups have about ``GROUP`` members: sets that share their most common block,
-dealt by a hash. Groups are first opened on their own, then as neighbours in a
-ring; what is then linked belongs to one component, and pairs of groups whose
-members are all of one component need not be opened any more. So a block held
+dealt by a hash. Groups are first opened on their own, then each with the first
+of those that share its block; what is then linked belongs to one component, and
+pairs of groups whose members are all of one component need not be opened any more. So a block held
 by very many similar sets costs pairs of groups only where links are missing,
 and no link between different components is lost.
 """
@@ -199,15 +199,15 @@ def shared_blocks(plain: DataFrame, words: int, percent: int, parts: int) -> Dat
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_id, n_links``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_id``.
 
     * A set holds the distinct shingles of ``words`` lower-cased (A-Z) words of
       the whole text; a shorter text's whole sequence is its only shingle. Sets
       link if 100 * intersection >= ``percent`` * union. Null or empty texts and
       texts without words have no shingles and link with nothing.
-    * ``component_id`` is the smallest identifier reachable by links, ``class_id``
-      the smallest identifier with the same set, and ``n_links`` a lower bound on
-      the class's links with others: of each component a spanning set is counted.
+    * ``component_id`` is the smallest identifier reachable by links, and ``class_id``
+      the smallest identifier with the same set. Links within a known component
+      are not looked for again, so they are not counted.
     * Null identifiers belong to classes like any other row but name none, unless
       a class has no other; repeated rows are rows like any other. An empty table
       gives an empty result; other columns are not read.
@@ -250,42 +250,63 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def pack(frame: DataFrame, *key: str) -> DataFrame:
         return frame.groupBy(*key).agg(F.collect_list(F.struct("set", "component", "tokens")).alias("members"))
 
-    def open_groups(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) of sets from rows ``x``, ``y``: arrays of members, y null for a group on its own."""
+    def read(value):
+        own = value.values
+        return [own.field("set").to_pylist(), own.field("component").to_pylist(), [np.frombuffer(t, U) for t in own.field("tokens").to_pylist()]]
+
+    def join_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups on their own: each member's component, named by its least set."""
+        for batch in batches:
+            sets_, labels = [], []
+            for x in batch["members"]:
+                own, _, t = read(x)
+                parent = {c: c for c in own}
+
+                def root(c):
+                    while parent[c] != c:
+                        c = parent[c]
+                    return c
+
+                for i, j in verify(t, None, percent, own, None):
+                    a, b = sorted((root(own[i]), root(own[j])))
+                    parent[b] = a
+                sets_ += own
+                labels += [root(c) for c in own]
+            yield pa.RecordBatch.from_arrays([pa.array(sets_, pa.binary()), pa.array(labels, pa.binary())], names=["set", "component"])
 
-        def read(value):
-            own = value.values
-            return [own.field("set").to_pylist(), own.field("component").to_pylist(), [np.frombuffer(t, U) for t in own.field("tokens").to_pylist()]]
+    def open_groups(pairs: DataFrame) -> DataFrame:
+        """Links (a, b) of components from pairs of groups ``x``, ``y``; y is null for a group on its own."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a, b = [], []
                 for x, y in zip(batch["x"], batch["y"]):
-                    sx, cx, tx = read(x)
-                    sy, cy, ty = read(y) if y.is_valid else (sx, None, None)
+                    _, cx, tx = read(x)
+                    _, cy, ty = read(y) if y.is_valid else (None, cx, None)
                     for i, j in verify(tx, ty, percent, cx, cy):
-                        a.append(sx[i])
-                        b.append(sy[j])
+                        a.append(cx[i])
+                        b.append(cy[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        return staged(pairs.select("x", "y").mapInArrow(work, "a binary, b binary"))
+        return pairs.select("x", "y").mapInArrow(work, "a binary, b binary")
 
-    none = F.lit(None).cast("array<struct<set:binary,component:binary,tokens:binary>>")
-    alone = pack(members.withColumn("component", F.col("set")), "home", "part")
-    links = open_groups(alone.where(F.size("members") > 1).select(F.col("members").alias("x"), none.alias("y")))
+    def merged(labelled: DataFrame, links: DataFrame) -> DataFrame:
+        """``labelled`` with the components that ``links`` joins made one."""
+        found = components(links).select(F.col("node").alias("component"), F.col("component").alias("__to"))
+        return labelled.join(found, "component", "left").withColumn("component", F.coalesce("__to", "component")).drop("__to")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        found = components(links).select(F.col("node").alias("set"), "component")
-        return members.join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    none = F.lit(None).cast("array<struct<set:binary,component:binary,tokens:binary>>")
+    alone = pack(members.withColumn("component", F.col("set")), "home", "part").select("members")
+    now = staged(members.join(alone.mapInArrow(join_within, "set binary, component binary"), "set"))
 
-    # Neighbours in a ring: the parts of one home, each with the next.
-    packed = staged(pack(labelled(links), "home", "part"))
-    following = packed.select("home", (F.col("part") - 1).alias("part"), F.col("members").alias("y"))
-    ring = packed.withColumnRenamed("members", "x").join(following, ["home", "part"])
-    links = staged(links.unionByName(open_groups(ring)))
+    # Each group with the first one of the same home.
+    packed = staged(pack(now, "home", "part"))
+    hub = packed.groupBy("home").agg(F.min("part").alias("hub"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    others = packed.join(hub, "home").where("part > hub").select("home", "hub", F.col("members").alias("x"))
+    firsts = packed.select("home", F.col("part").alias("hub"), F.col("members").alias("y"))
+    now = staged(merged(now, open_groups(others.join(firsts, ["home", "hub"]))))
 
     # What is left: pairs of groups that share a block and are not of one component.
-    now = staged(labelled(links))
     large = now.groupBy("home", "component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP)
     regrouped = now.join(large, ["home", "component"], "left")
     own = F.when(F.col("size").isNotNull(), F.col("component")).otherwise(F.lit(b""))
@@ -306,15 +327,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     store = staged(pack(placed, "group"))
     cross = staged(pairs).join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").join(store.select(F.col("group").alias("h"), F.col("members").alias("y")), "h")
     inside = own_pairs.join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").select("x", none.alias("y"))
-    links = staged(links.unionByName(open_groups(cross)).unionByName(open_groups(inside)))
+    found = merged(now.select("set", "component"), open_groups(cross).unionByName(open_groups(inside)))
 
     # Sets to identifiers.
-    found = components(links).select(F.col("node").alias("set"), "component")
-    number = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
-    named = staged(classes.join(found, "set", "left").join(number, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = staged(classes.join(found, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = staged(named.join(least, "component").select("set", F.col("rep").alias("class_id"), "component_id", "n_links"))
+    by_set = staged(named.join(least, "component").select("set", F.col("rep").alias("class_id"), "component_id"))
     null = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c)).alias(c)
-    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    full = signed.where("n > 0").join(by_set, "set").select("doc_id", "n", "class_id", "component_id", "n_links")
-    return full.unionByName(empty).select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"), null("class_id"), "n_links")
+    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    full = signed.where("n > 0").join(by_set, "set").select("doc_id", "n", "class_id", "component_id")
+    return full.unionByName(empty).select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"), null("class_id"))
