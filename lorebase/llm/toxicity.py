@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import text_or_empty
+from lorebase.llm.common import staged, text_or_empty
 from lorebase.llm.kernel import CHUNK, LOWER, chunks, flat, prefix, spans_hash
 
 BITS = 20
@@ -107,21 +107,12 @@ def swaps(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs: list, l1: float = 1e-4, swap: float = 1.0, screen: float = 2.5, least: int = 4, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, intercept): screening, then accelerated proximal gradient.
-
-    ``least``: features in fewer sample rows have no weight."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs: list, place: np.ndarray, l1: float = 1e-4, swap: float = 1.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, intercept) by accelerated proximal gradient over the screened features ``place``."""
     if len(rows) == 0 or not 0 < labels.sum() < len(labels):
         rate = float(labels.mean()) if len(rows) else 0.5
         return np.zeros(0, np.int64), np.zeros(0), float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
-    toxic = [x for x, y in zip(rows, labels) if y]
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    in_toxic = np.bincount(np.concatenate(toxic), minlength=1 << BITS)
-    n, n1 = len(rows), len(toxic)
-    rate = seen / n
-    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / (n - n1)))
-    differ = in_toxic / n1 - (seen - in_toxic) / (n - n1)
-    place = np.flatnonzero((seen >= least) & (np.abs(differ) >= screen * error))
+    n = len(rows)
     column = np.full(1 << BITS, -1, np.int64)
     column[place] = np.arange(len(place))
 
@@ -176,6 +167,8 @@ def toxicity(
     threshold: float = 0.3,
     most_toxic: int = 3000,
     most_clean: int = 6000,
+    screen: float = 2.5,
+    least: int = 4,
     carry: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
@@ -187,7 +180,8 @@ def toxicity(
       are no features.
     * The model is fitted on the driver from a bounded sample, ``most_toxic`` and
       ``most_clean`` rows that come first by a hash of the identifier; only the
-      features of their whole texts get there. Everything is scored.
+      features of their whole texts that pass the screening get there
+      (``least`` sample rows or more, ``screen`` standard errors). Everything is scored.
     * Null or empty texts have no features and get the intercept's score; null
       labels aren't learnt from; of several labels of an identifier the largest
       counts. Null identifiers are never held out nor labelled. Without labels of
@@ -208,22 +202,45 @@ def toxicity(
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
         for batch in batches:
             rows = []
             for x, y, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "label", "text"))):
-                rows.append((x, y, 0, text_features(text).astype("<i4").tobytes(), b""))
-                rows += [(x, y, 1, a.astype("<i4").tobytes(), b.astype("<i4").tobytes()) for a, b in swaps(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "label", "pair", "a", "b"])
+                rows.append((x, y, 0, text_features(text), []))
+                rows += [(x, y, 1, a, b) for a, b in swaps(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), ints, ints))], names=["doc_id", "label", "pair", "a", "b"])
 
     # The sample has at most most_toxic + most_clean rows of two numbers: safe to broadcast.
-    found = plain.join(F.broadcast(sample), "doc_id").mapInArrow(gather, "doc_id bigint, label int, pair int, a binary, b binary").collect()
+    gathered = staged(plain.join(F.broadcast(sample), "doc_id").mapInArrow(gather, "doc_id bigint, label int, pair int, a array<int>, b array<int>"))
+    whole = gathered.where("pair = 0")
+    size = whole.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("n1")).first()
+    n, n1 = size["n"], size["n1"]
+    kept = np.zeros(0, np.int32)
+    if 0 < n1 < n:
+        # Screening: a feature's rates in the two classes, in standard errors apart.
+        seen = whole.select("label", F.explode("a").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("label") > 0).alias("k1"))
+        rate = F.col("k") / n
+        error = F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / (n - n1)))
+        differ = F.abs(F.col("k1") / n1 - (F.col("k") - F.col("k1")) / (n - n1))
+        # At most 2 ** BITS numbers, and those the sample's size allows.
+        kept = np.array(sorted(r["f"] for r in seen.where((F.col("k") >= least) & (differ >= screen * error)).select("f").collect()), np.int32)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << BITS, bool)
+        known[kept] = True
+        for batch in batches:
+            parts = [[x[known[x]].astype("<i4").tobytes() for x in (np.asarray(v.values, np.int32) for v in batch[c])] for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["pair"], *(pa.array(p, pa.binary()) for p in parts)], names=["doc_id", "label", "pair", "a", "b"])
+
+    found = gathered.mapInArrow(pick, "doc_id bigint, label int, pair int, a binary, b binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["pair"], bytes(r["a"]), bytes(r["b"])))
     decode = lambda x: np.frombuffer(bytes(x), "<i4")
     own = [r for r in found if not r["pair"]]
     y = np.array([r["label"] > 0 for r in own], float)
     counts = {1: max(y.sum(), 1), 0: max(len(y) - y.sum(), 1)}
     weights = np.array([totals[int(v)] / counts[int(v)] for v in y])
-    places, values, intercept = fit([decode(r["a"]) for r in own], y, weights, [(decode(r["a"]), decode(r["b"])) for r in found if r["pair"]]) if own else (np.zeros(0, np.int64), np.zeros(0), 0.0)
+    places, values, intercept = fit([decode(r["a"]) for r in own], y, weights, [(decode(r["a"]), decode(r["b"])) for r in found if r["pair"]], kept) if own else (np.zeros(0, np.int64), np.zeros(0), 0.0)
+    del found, own
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS, np.float32)
