@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lorebase-{uuid.uuid4().hex}"
 
 
+_record: list[str] | None = None
+
+
+@contextlib.contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Tables staged meanwhile are noted in ``paths``."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for x in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -38,6 +60,8 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if _record is not None:
+        _record.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -296,36 +296,48 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return labelled.join(found, "component", "left").withColumn("component", F.coalesce("__to", "component")).drop("__to")
 
     none = F.lit(None).cast("array<struct<set:binary,component:binary,tokens:binary>>")
+    # Tokens are read from `members` only to pack groups; labels travel without them.
     alone = pack(members.withColumn("component", F.col("set")), "home", "part").select("members")
-    now = staged(members.join(alone.mapInArrow(join_within, "set binary, component binary"), "set"))
+    labels = staged(alone.mapInArrow(join_within, "set binary, component binary"))
+    place = members.select("set", "home", "part")
 
     # Each group with the first one of the same home.
-    packed = staged(pack(now, "home", "part"))
-    hub = packed.groupBy("home").agg(F.min("part").alias("hub"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    others = packed.join(hub, "home").where("part > hub").select("home", "hub", F.col("members").alias("x"))
-    firsts = packed.select("home", F.col("part").alias("hub"), F.col("members").alias("y"))
-    now = staged(merged(now, open_groups(others.join(firsts, ["home", "hub"]))))
+    hub = staged(place.groupBy("home").agg(F.min("part").alias("hub"), F.max("part").alias("last")).where("last > hub").drop("last"))
+    packed = staged(pack(members.join(hub, "home").join(labels, "set"), "home", "part", "hub"))
+    others = packed.where("part > hub").select("home", F.col("members").alias("x"))
+    firsts = packed.where("part = hub").select("home", F.col("members").alias("y"))
+    labels = staged(merged(labels, open_groups(others.join(firsts, "home"))))
+    now = staged(place.join(labels, "set"))
 
     # What is left: pairs of groups that share a block and are not of one component.
-    large = now.groupBy("home", "component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP)
-    regrouped = now.join(large, ["home", "component"], "left")
-    own = F.when(F.col("size").isNotNull(), F.col("component")).otherwise(F.lit(b""))
-    small = now.join(large, ["home", "component"], "left_anti").groupBy("home").agg(F.count(F.lit(1)).alias("rest"))
-    part = F.pmod(F.xxhash64("set"), F.ceil(F.coalesce("size", "rest") / GROUP))
-    placed = staged(regrouped.join(small, "home", "left").select("set", "component", "tokens", F.xxhash64("home", own, part).alias("group")))
+    # Components with more than GROUP members of a home get groups of their own, the
+    # others of the home share some. Counts meet the members on a hash of home and
+    # component, in a join that splits skewed keys.
+    size = now.groupBy("home", "component").agg(F.count(F.lit(1)).alias("size"))
+    rest = size.where(F.col("size") <= GROUP).groupBy("home").agg(F.sum("size").alias("rest"))
+    own = F.col("size") > GROUP
+    plan = size.join(rest, "home", "left").select(
+        F.xxhash64("home", "component").alias("spot"),
+        F.xxhash64("home", F.when(own, F.col("component")).otherwise(F.lit(b""))).alias("family"),
+        F.ceil(F.when(own, F.col("size")).otherwise(F.col("rest")) / GROUP).alias("parts"),
+    )
+    group = F.xxhash64("family", F.pmod(F.xxhash64("set"), F.col("parts")))
+    placed = staged(now.withColumn("spot", F.xxhash64("home", "component")).join(plan, "spot").select("set", "component", group.alias("group")))
     about = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     # The matrix, with a label for each group: its component, or its own name if it
     # holds several. Blocks meet label by label, so a block whose groups are all of
     # one component opens nothing, however many they are.
     label = F.when(F.col("low") == F.col("high"), F.concat(F.lit("c"), F.hex("low"))).otherwise(F.concat(F.lit("g"), F.col("group").cast("string")))
     matrix = staged(held.join(placed.select("set", "group"), "set").select("block", "group").distinct().join(about.select("group", label.alias("label")), "group"))
-    labels = matrix.select("block", "label").distinct()
-    meeting = labels.alias("x").join(labels.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label"))).select("x.block", F.col("x.label").alias("lx"), F.col("y.label").alias("ly"))
+    named = matrix.select("block", "label").distinct()
+    meeting = named.alias("x").join(named.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label"))).select("x.block", F.col("x.label").alias("lx"), F.col("y.label").alias("ly"))
     one_side = meeting.join(matrix.select("block", F.col("label").alias("lx"), F.col("group").alias("g")), ["block", "lx"])
     pairs = one_side.join(matrix.select("block", F.col("label").alias("ly"), F.col("group").alias("h")), ["block", "ly"]).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
     own_pairs = about.where("low <> high").select(F.col("group").alias("g"))
-    store = staged(pack(placed, "group"))
-    cross = staged(pairs).join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").join(store.select(F.col("group").alias("h"), F.col("members").alias("y")), "h")
+    pairs = staged(pairs)
+    opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).unionByName(own_pairs.select(F.col("g").alias("group"))).distinct()
+    store = staged(pack(members.select("set", "tokens").join(placed.join(opened, "group", "left_semi"), "set"), "group"))
+    cross = pairs.join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").join(store.select(F.col("group").alias("h"), F.col("members").alias("y")), "h")
     inside = own_pairs.join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").select("x", none.alias("y"))
     found = merged(now.select("set", "component"), open_groups(cross).unionByName(open_groups(inside)))
 

@@ -1,11 +1,17 @@
-"""The stages of the corpus pipeline: operators whose decisions take effect."""
+"""The stages of the corpus pipeline: operators whose decisions take effect.
+
+A stage's result is written before the next stage starts, so each stage begins
+by removing the tables that the one before it left in the shared folder.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import read, shuffle_partitions, staged, text_or_empty
+from lorebase.llm.common import read, recording, remove, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.curriculum import curriculum_mix, training_position
 from lorebase.llm.exact_dedup import exact_dedup
 from lorebase.llm.jaccard_join import ngram_jaccard
@@ -14,14 +20,28 @@ from lorebase.llm.queries import tokenizer_file
 from lorebase.llm.toxicity import toxicity
 
 _ID, _ONE = "__stage_id", "__stage_nth"
+_left: list[str] = []
+
+
+def stage(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        _left.clear()
+        with recording(_left):
+            return f(spark, docs, sf_dir)
+
+    return run
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold, from one scan: an identifier's
     rows are scored one by one, so the rows that go are those whose text is toxic."""
     return toxicity(docs, read(spark, sf_dir, "labels"), carry=True).where("predicted = 0").select(*docs.columns)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text; null and empty texts are one text."""
     gone = exact_dedup(docs).where("group_size > 1").select(F.col("doc_id").alias(_ID), F.unhex("text_sha256").alias("__sha"), "kept")
@@ -29,14 +49,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # repeated with that identifier one stays.
     verdict = gone.groupBy(_ID, "__sha").agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
     sha = F.unhex(F.sha2(text_or_empty("text"), 256))
-    judged = docs.withColumn("__key", sha).join(verdict, F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.col("__key") == F.col("__sha")), "left")
-    judged = staged(judged.where(F.col("__kept").isNull() | F.col("__kept")).drop(_ID, "__sha"))
-    single = judged.where("__rows IS NULL OR __rows = 1")
+    verdict = staged(verdict)
+    same = F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.col("__key") == F.col("__sha"))
+    keyed = docs.withColumn("__key", sha)
+    single = keyed.join(verdict.where("NOT __kept OR __rows > 1"), same, "left_anti").select(*docs.columns)
     once = Window.partitionBy("doc_id", "__key").orderBy(*[c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "variant"))] or [F.lit(1)])
-    repeated = judged.where("__rows > 1").withColumn(_ONE, F.row_number().over(once)).where(F.col(_ONE) == 1).drop(_ONE)
-    return single.unionByName(repeated).select(*docs.columns)
+    repeated = keyed.join(verdict.where("__kept AND __rows > 1"), same).withColumn(_ONE, F.row_number().over(once)).where(F.col(_ONE) == 1)
+    return single.unionByName(repeated.select(*docs.columns))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked over shingles of five words at 0.8: that
     with the smallest identifier. Documents without words or identifier stay, and
@@ -46,6 +68,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(staged(gone), F.col("doc_id") == F.col(_ID), "left_anti").select(*docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, range-sorted by training position.
 
@@ -64,5 +87,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ranged.sortWithinPartitions("__position", "doc_id").select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_file(), with_ids=False)
