@@ -46,6 +46,18 @@ def recording(paths: list[str]) -> Iterator[None]:
         _record = before
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs run meanwhile hand at most ``n`` rows at a time to Python: for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for x in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(x)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import shuffle_partitions, staged, text_or_empty
+from lorebase.llm.common import rows_per_batch, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.components import components
 from lorebase.llm.kernel import CHUNK, U, chunks, mix64, shingles
 
@@ -298,7 +298,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.lit(None).cast("array<struct<set:binary,component:binary,tokens:binary>>")
     # Tokens are read from `members` only to pack groups; labels travel without them.
     alone = pack(members.withColumn("component", F.col("set")), "home", "part").select("members")
-    labels = staged(alone.mapInArrow(join_within, "set binary, component binary"))
+    with rows_per_batch(spark, 16):  # a row is a group's tokens
+        labels = staged(alone.mapInArrow(join_within, "set binary, component binary"))
     place = members.select("set", "home", "part")
 
     # Each group with the first one of the same home.
@@ -306,7 +307,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = staged(pack(members.join(hub, "home").join(labels, "set"), "home", "part", "hub"))
     others = packed.where("part > hub").select("home", F.col("members").alias("x"))
     firsts = packed.where("part = hub").select("home", F.col("members").alias("y"))
-    labels = staged(merged(labels, open_groups(others.join(firsts, "home"))))
+    with rows_per_batch(spark, 16):
+        labels = staged(merged(labels, open_groups(others.join(firsts, "home"))))
     now = staged(place.join(labels, "set"))
 
     # What is left: pairs of groups that share a block and are not of one component.
@@ -339,7 +341,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     store = staged(pack(members.select("set", "tokens").join(placed.join(opened, "group", "left_semi"), "set"), "group"))
     cross = pairs.join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").join(store.select(F.col("group").alias("h"), F.col("members").alias("y")), "h")
     inside = own_pairs.join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").select("x", none.alias("y"))
-    found = merged(now.select("set", "component"), open_groups(cross).unionByName(open_groups(inside)))
+    with rows_per_batch(spark, 16):
+        found = merged(now.select("set", "component"), open_groups(cross).unionByName(open_groups(inside)))
 
     # Sets to identifiers.
     named = staged(classes.join(found, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component")))
