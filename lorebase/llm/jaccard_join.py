@@ -9,7 +9,8 @@ Which groups can qualify is found in two steps that keep the bound exact:
 
 * The matrix. Two sets of sizes in a known range that reach the threshold
   differ in at most k tokens. Every set's tokens are dealt by their hash into
-  k + 1 blocks, so such sets agree on a whole block. The matrix has a row for
+  blocks of which it fills more than k (see ``signatures``), so such sets agree
+  on a whole block that is not empty. The matrix has a row for
   each (block's content, group) instead of each (token, group): much smaller,
   and a common passage alone does not make two sets meet, since a block also
   holds tokens of the rest of the text. Sizes fall into classes that grow by
@@ -43,6 +44,8 @@ from lorebase.llm.components import components
 from lorebase.llm.kernel import CHUNK, U, chunks, mix64, shingles
 
 GROUP = 32
+#: Times that a set's tokens are dealt into blocks, each time into twice as many.
+DEALS = 3
 
 
 def size_class(n: np.ndarray, percent: int) -> np.ndarray:
@@ -63,17 +66,35 @@ def blocks_for(window: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the blocks of a set, in both windows that it signs for."""
+    """Names of the blocks of a set, in both windows that it signs for.
+
+    Tokens that two sets differ in touch at most k blocks, so they agree on one
+    that is not empty if either set fills more than k. Blocks are dealt with some
+    to spare; a set that fills too few of them also signs for twice as many, and
+    so on, and at last by its first k + 1 tokens. A pair that may be lost at one
+    step is one whose sets both fill too few, so both sign for the next.
+    """
     own = int(size_class(np.array([len(tokens)]), percent)[0])
+    lightest = percent * percent / (100 - percent) / 100 if percent < 100 else math.inf  # tokens of a block
+    hashed = mix64(tokens ^ U(0x6A09E667F3BCC909))
     out = []
     for window in (own - 1, own):
-        m = int(blocks_for(np.array([window]), percent)[0])
-        block = (mix64(tokens ^ U(0x6A09E667F3BCC909)) % U(m)).astype(np.int64)
-        low = np.bincount(block, (tokens & U(0xFFFFFFFF)).astype(float), m).astype(U)
-        high = np.bincount(block, (tokens >> U(32)).astype(float), m).astype(U)
-        count = np.bincount(block, minlength=m)
-        name = mix64(low * U(0x9E3779B97F4A7C15) + high) + mix64(np.arange(m, dtype=U) * U(1 << 20) + U(window + 1)) + count.astype(U)
-        out.append(mix64(name)[count > 0] if m > 1 else mix64(name))
+        k = int(blocks_for(np.array([window]), percent)[0]) - 1
+        m = k + 1 + (math.ceil(2 * k * math.exp(-lightest)) if k else 0)
+        for step in range(DEALS + 1):
+            mark = U(step << 56) + U(window + 1)
+            if step == DEALS:
+                out.append(mix64(np.sort(hashed)[: k + 1] + mix64(np.array([mark]))))
+                break
+            block = (hashed % U(m)).astype(np.int64)
+            low = np.bincount(block, (tokens & U(0xFFFFFFFF)).astype(float), m).astype(U)
+            high = np.bincount(block, (tokens >> U(32)).astype(float), m).astype(U)
+            count = np.bincount(block, minlength=m)
+            name = mix64(low * U(0x9E3779B97F4A7C15) + high) + mix64(np.arange(m, dtype=U) * U(1 << 20) + mark) + count.astype(U)
+            out.append(mix64(name)[count > 0])
+            if np.count_nonzero(count) > k:
+                break
+            m *= 2
     return np.concatenate(out)
 
 

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lorebase.llm.jaccard_join import ngram_jaccard
+from lorebase.llm.jaccard_join import ngram_jaccard, signatures
 
 
 def brute(rows, words, percent):
@@ -65,3 +66,25 @@ def test_empty_table_and_nulls(spark):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in ngram_jaccard(docs, words=3, percent=90).collect())
     assert got == [(-1, 0, -1), (-1, 2, 5), (5, 2, 5)]
     assert ngram_jaccard(docs.limit(0), words=3, percent=90).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_small_sets_on_the_threshold_share_a_block(percent):
+    r = np.random.default_rng(percent)
+    pairs = [(a, b, o) for a in range(1, 31) for b in range(a, 41) for o in range(a + 1) if (a, b) != (o, o) and 100 * o >= percent * (a + b - o) and 100 * (o - 1) < percent * (a + b - o + 1)]
+    for a, b, o in pairs * max(1, 4000 // len(pairs)):
+        t = r.integers(0, 1 << 63, a + b - o, np.int64).astype(np.uint64)
+        x, y = np.sort(t[:a]), np.sort(t[a - o :])
+        assert len(np.intersect1d(signatures(x, percent), signatures(y, percent))), (a, b, o)
+
+
+@pytest.mark.parametrize("words,percent", [(5, 80), (3, 90)])
+def test_short_texts_on_the_threshold(spark, words, percent):
+    rows = []
+    for i in range(400):  # texts of words of their own, and each with words more at its end
+        n = (4 if percent == 80 else 9) * (1 + i % 3)
+        own = [f"w{i}x{j}" for j in range(n + words - 1 + 1 + i % 3)]
+        rows += [(2 * i, " ".join(own[: n + words - 1])), (2 * i + 1, " ".join(own))]
+    got = ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent).collect()
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got}
+    assert found == {(d, len(t.split()) - words + 1, d - d % 2) for d, t in rows}
