@@ -130,10 +130,11 @@ def conversation(turns: DataFrame, most_items: int = 12, most_chars: int = 6000)
     return g.where(F.size("a") >= 2).select("conv_id", F.size("a").cast("bigint").alias("items"), X.truncate(F.concat(F.lit("X thread/reply context\n"), F.array_join(line, "\n\n")), most_chars).alias("context"))
 
 
-def graph(items: DataFrame, labelled: DataFrame, entities: DataFrame, links: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def graph(items: DataFrame, labelled: DataFrame, entities: DataFrame, links: DataFrame, members: DataFrame, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (type, id) and edges (src_type, src_id, dst_type, dst_id, relation), each once.
 
-    items: id, author. labelled: id, primary. entities: id, name. links: id, url. members: id, cluster."""
+    items: id, author. labelled: id, primary. entities: id, name. links: id, url. members: id, cluster.
+    projects: cluster; each is derived from its cluster and has the cluster's members as evidence."""
     s = lambda c: F.col(c).cast("string")
 
     def edge(df, a_type, a, b_type, b, relation):
@@ -148,8 +149,12 @@ def graph(items: DataFrame, labelled: DataFrame, entities: DataFrame, links: Dat
         .unionByName(edge(domains, "bookmark", "id", "domain", "domain", "links_to"))
         .unionByName(edge(links, "bookmark", "id", "link", "url", "references"))
         .unionByName(edge(members, "cluster", "cluster", "bookmark", "id", "contains"))
-        .distinct()
     )
+    if projects is not None:
+        own_projects = projects.select("cluster", F.concat(F.lit("project-"), F.col("cluster")).alias("project"))
+        evidence = own_projects.join(members.select("cluster", "id"), "cluster")
+        edges = edges.unionByName(edge(own_projects, "project", "project", "cluster", "cluster", "derived_from")).unionByName(edge(evidence, "project", "project", "bookmark", "id", "uses_as_evidence"))
+    edges = edges.distinct()
     own = items.select(F.lit("bookmark").alias("type"), s("id").alias("id"))
     nodes = own.unionByName(edges.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"))).unionByName(edges.select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))).distinct()
     return nodes, edges

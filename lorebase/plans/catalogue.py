@@ -369,6 +369,27 @@ def graph_stats(spark, sf_dir):
     return _graph(spark, sf_dir)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _whole_graph(spark, sf_dir):
+    """With entities, real clusters and projects, which SQL can't tell."""
+    entities, members = _entities(spark, sf_dir), _members(spark, sf_dir)
+    return D.graph(bookmarks(spark, sf_dir), _classified(spark, sf_dir).select("id", "primary"), entities, links(spark, sf_dir), members, D.project_ideas(members, entities))
+
+
+@query()
+def whole_graph_edges(spark, sf_dir):
+    return _whole_graph(spark, sf_dir)[1]
+
+
+@query()
+def whole_graph_nodes(spark, sf_dir):
+    return _whole_graph(spark, sf_dir)[0]
+
+
+@query()
+def whole_graph_stats(spark, sf_dir):
+    return _whole_graph(spark, sf_dir)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 HOSTS = " OR ".join(f"contains(u, '{h}')" for h in D.JUNK_HOSTS)
 

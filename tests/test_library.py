@@ -126,3 +126,28 @@ def test_queries_match_sql(spark, name):
 
 def test_contract():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_graph_against_brute_force(spark, tmp_path):
+    texts = ["Zed Tool is an agent prompt llm for coding with python code"] * 4 + ["Quiet day"] * 2
+    spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "https://github.com/x/y", ""), (5, "https://example.org/a", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    d = str(tmp_path)
+    rows = lambda q: catalogue.QUERIES[q](spark, d).collect()
+    want = {("bookmark", str(r["doc_id"]), "category", r["primary"], "categorized_as") for r in rows("classify_primary")}
+    want |= {("bookmark", str(r["doc_id"]), "entity", r["name"].lower(), "mentions") for r in rows("entity_extract_typed")}
+    want |= {("bookmark", str(i), "author", "ab"[i % 2], "authored_by") for i in range(6)}
+    for i, host, url in ((0, "github.com", "https://github.com/x/y"), (5, "example.org", "https://example.org/a")):
+        want |= {("bookmark", str(i), "domain", host, "links_to"), ("bookmark", str(i), "link", url, "references")}
+    inside = {(r["cluster"], str(r["doc_id"])) for r in rows("clusters")}
+    ideas = {r["cluster"] for r in rows("project_ideas")}
+    assert inside and ideas
+    want |= {("cluster", c, "bookmark", i, "contains") for c, i in inside}
+    want |= {("project", "project-" + c, "cluster", c, "derived_from") for c in ideas}
+    want |= {("project", "project-" + c, "bookmark", i, "uses_as_evidence") for c, i in inside if c in ideas}
+    got = rows("whole_graph_edges")
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert ("bookmark", "0", "entity", "zed tool", "mentions") in want and len({r[4] for r in got}) == 8
+    nodes = {(r["type"], r["id"]) for r in rows("whole_graph_nodes")}
+    assert nodes == {x[:2] for x in want} | {x[2:4] for x in want} | {("bookmark", str(i)) for i in range(6)}
+    assert {(r["relation"], r["n"]) for r in rows("whole_graph_stats")} == {(k, sum(x[4] == k for x in want)) for k in {x[4] for x in want}}
