@@ -7,9 +7,13 @@ on variants held out from training, and a paragraph whose best family has a
 calibrated probability under ``certain`` is unknown. A prediction is confirmed
 when enough of the 3-grams of one of the family's notices are in the paragraph.
 
-Scanning runs inside each row: a text is split into lines, lines with a cue are
-scored by a literal table of the model's weights, and nothing is exploded or
-shuffled. Every notice holds a cue, and a line without one is unknown.
+Scanning runs inside each row; nothing is exploded or shuffled. A text is split
+into paragraphs at lines without letters or digits, a paragraph's lines are
+joined by blanks, and windows of its words are scored by a literal table of the
+model's weights, so a notice may be wrapped at any width. A window is longer than
+the longest notice by the step between windows: every notice is whole in one.
+Single lines are scored as well. Lines and windows without a cue are unknown;
+every notice holds one.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from lorebase.llm.common import text_or_empty
 
 UNKNOWN = "unknown"
+#: Words of a window of a paragraph, and from one window to the next.
+WINDOW, STEP = 64, 16
 #: Words that every notice has at least one of, as parts of lower-cased text.
 CUES = ("licen", "rights reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "permission is hereby", "permission to use", "redistribut", "spdx", "unlicense", "without warranty")
 #: Notices by family (fixed values).
@@ -226,7 +232,10 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: ``doc_id, n_lines, n_notices, families, score, notices``.
 
     * ``notices``: an array of (line, family, probability, overlap) of the
-      confirmed notices, lines counted from 0; ``families`` their distinct
+      confirmed notices, lines counted from 0: single lines, and windows of
+      paragraphs at the line of their first word. Windows of one family that
+      overlap are one notice, and a window that holds a confirmed line of its
+      family is that line's notice. ``families`` their distinct
       families in order, joined by commas; ``score`` the largest probability (0 without any).
     * Texts are scanned whole. Null text counts as empty; blank lines are no
       lines. Null identifiers stay null, repeated rows are rows like any other,
@@ -239,29 +248,64 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     templates = F.array(*[F.array(*[F.array(*map(F.lit, s)) for s in shapes[f]]) if shapes[f] else F.array().cast("array<array<string>>") for f in model.classes])
     names = F.array(*[F.lit(c) for c in model.classes])
 
-    def judge(line: Column, place: Column) -> Column:
+    def judge(w: Column, place: Column) -> Column:
         def best(p: Column, grams: Column) -> Column:
             top = (F.array_position(p, F.array_max(p)) - 1).cast("int")
             overlap = F.coalesce(F.array_max(F.transform(F.get(templates, top), lambda t: F.size(F.array_intersect(t, grams)) / F.size(t))), F.lit(0.0))
             return F.struct(place.alias("line"), F.get(names, top).alias("family"), F.array_max(p).alias("probability"), overlap.alias("overlap"), top.alias("top"))
 
-        return bind(words(line), lambda w: bind(ngrams(w), lambda g: bind(model.probabilities(model.logits(g)), lambda p: best(p, g))))
+        return bind(ngrams(w), lambda g: bind(model.probabilities(model.logits(g)), lambda p: best(p, g)))
 
+    sure = lambda j: (j["top"] != unknown) & (j["probability"] >= certain) & (j["overlap"] >= confirm)
     lines = F.split("text", "\n")
-    cue = lambda x: bind(F.lower(x), lambda low: F.reduce(F.array(*[F.lit(c) for c in CUES]), F.lit(False), lambda a, c: a | F.contains(low, c)))
+    has = lambda low, cues: F.reduce(F.array(*[F.lit(c) for c in cues]), F.lit(False), lambda a, c: a | F.contains(low, c))
     numbered = F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    wanted = F.filter(numbered, lambda s: cue(s["x"]))
-    found = F.filter(F.transform(wanted, lambda s: judge(s["x"], s["i"])), lambda j: (j["top"] != unknown) & (j["probability"] >= certain) & (j["overlap"] >= confirm))
-    low = F.lower("text")
-    any_cue = F.contains(low, F.lit(CUES[0]))
-    for c in CUES[1:]:
-        any_cue = any_cue | F.contains(low, F.lit(c))
+    wanted = F.filter(numbered, lambda s: bind(F.lower(s["x"]), lambda low: has(low, CUES)))
+    by_line = F.filter(F.transform(wanted, lambda s: judge(words(s["x"]), s["i"])), sure)
+
+    # Paragraphs: runs of lines with words, as (first line, end).
+    count = lambda i: F.coalesce(F.size(F.get("tokens", i)), F.lit(0))
+    some = lambda i: F.when(F.get("tokens", i).isNotNull(), count(i)).otherwise(F.lit(0)) > 0
+    each = F.sequence(F.lit(0), F.size("tokens") - 1)
+    firsts = F.filter(each, lambda i: some(i) & ~some(i - 1))
+    lasts = F.filter(each, lambda i: some(i) & ~some(i + 1))
+    spoken = list(dict.fromkeys(c.replace("-", " ") for c in CUES))
+
+    def windows(first: Column, last: Column) -> Column:
+        """Confirmed windows of a paragraph: judgements with the window's last line and number."""
+        own = F.slice("tokens", first + 1, last - first + 1)
+
+        def scan(w: Column, line: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - WINDOW) / STEP).cast("int")))
+            cut = F.transform(starts, lambda k: F.struct(k.alias("k"), F.slice(w, k * STEP + 1, WINDOW).alias("w")))
+            cued = F.filter(cut, lambda s: bind(F.array_join(s["w"], " "), lambda low: has(low, spoken)))
+            judged = F.transform(cued, lambda s: F.struct(judge(s["w"], F.get(line, s["k"] * STEP)).alias("j"), F.get(line, F.least(s["k"] * STEP + WINDOW, F.size(w)) - 1).alias("end"), s["k"].alias("k")))
+            # The first of windows of one family that overlap.
+            near = (WINDOW - 1) // STEP
+            once = lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["j"]["family"] == x["j"]["family"]) & (y["k"] < x["k"]) & (y["k"] >= x["k"] - near)))
+            return bind(F.filter(judged, lambda x: sure(x["j"])), once)
+
+        numbers = F.flatten(F.transform(own, lambda t, i: F.array_repeat(first + i, F.size(t))))
+        return bind(F.flatten(own), lambda w: bind(numbers, lambda line: scan(w, line)))
+
+    # A paragraph of one line that fits a window is scored as a line already.
+    paragraphs = F.filter(F.arrays_zip(firsts.alias("first"), lasts.alias("last")), lambda p: (p["first"] < p["last"]) | (count(p["first"]) > WINDOW))
+    by_window = F.flatten(F.transform(paragraphs, lambda p: windows(p["first"], p["last"])))
+    fresh = lambda x, own: ~F.exists(own, lambda y: (y["family"] == x["j"]["family"]) & y["line"].between(x["j"]["line"], x["end"]))
+    added = F.transform(F.filter("by_window", lambda x: fresh(x, F.col("by_line"))), lambda x: x["j"])
+    # Cues may be broken by an end of line and a comment's marks.
+    any_cue = F.lower("text").rlike("|".join(c.replace(" ", "[^a-z0-9]+") for c in spoken))
     none = "array<struct<line:int,family:string,probability:double,overlap:double,top:int>>"
+    ranged = "array<struct<j:struct<line:int,family:string,probability:double,overlap:double,top:int>,end:int,k:int>>"
     return (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
         .withColumn("lines", lines)
         .withColumn("n_lines", F.size(F.filter("lines", lambda x: F.length(F.trim(x)) > 0)).cast("bigint"))
-        .withColumn("found", F.when(any_cue, found).otherwise(F.array().cast(none)))
+        .withColumn("cued", any_cue)
+        .withColumn("tokens", F.when(F.col("cued"), F.transform("lines", words)))
+        .withColumn("by_line", F.when(F.col("cued"), by_line).otherwise(F.array().cast(none)))
+        .withColumn("by_window", F.when(F.col("cued"), by_window).otherwise(F.array().cast(ranged)))
+        .withColumn("found", F.array_sort(F.concat("by_line", added)))
         .select(
             "doc_id",
             "n_lines",

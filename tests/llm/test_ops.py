@@ -198,6 +198,28 @@ def test_licences(spark):
     assert scan_licences(table(spark, []), model=model).count() == 0
 
 
+def test_licences_in_wrapped_paragraphs(spark):
+    import textwrap
+
+    model = fit_licences(spark)
+    long = [(f, n) for f, own in NOTICES.items() for n in own if len(n) > 90]
+    prose = " ".join(f"walk{i % 17} over hill{i % 23}" for i in range(300))
+    rows, want = [], []
+    for f, n in long:
+        for mark in ("", " * ", "# "):
+            body = "\n".join(mark + x for x in textwrap.wrap(n, 72 - len(mark)))
+            rows.append((len(rows), f"A title\n\n{body}\n\nmore"))
+            want.append(f)
+        rows.append((len(rows), "\n".join(textwrap.wrap(f"{prose} {n} {prose}", 72))))
+        want.append(f)
+    rows += [(1000, "\n".join(textwrap.wrap(" ".join(OTHERWISE), 72))), (1001, "\n".join(textwrap.wrap(prose, 72)))]
+    got = {r["doc_id"]: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    missed = [(rows[i], f) for i, f in enumerate(want) if f not in got[i]["families"].split(",")]
+    assert not missed
+    assert all(2 <= n["line"] < 2 + rows[i][1].count("\n") - 3 for i in range(len(want)) if i % 4 < 3 for n in got[i]["notices"])
+    assert got[1000]["n_notices"] == got[1001]["n_notices"] == 0
+
+
 def test_toxicity_held_out_accuracy(spark):
     r = random.Random(9)
     rows, labels = [], []
