@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorebase.llm.common import read
 
@@ -51,7 +52,7 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorebase.llm.licenses import scan_licences
 
-    return scan_licences(read(spark, sf_dir, "documents")).drop("notices")
+    return scan_licences(read(spark, sf_dir, "documents")).withColumn("notices", F.to_json("notices"))
 
 
 def tokenizer_file() -> str:

@@ -275,3 +275,15 @@ def test_mix_meets_targets(spark):
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
     assert sum(x["taken"] for x in again) == sum(x["taken"] for x in got)
     assert curriculum_mix(d.limit(0)).count() == 0
+
+
+def test_licence_query_gives_notices(spark, tmp_path):
+    import json
+
+    from lorebase.llm.queries import op5_license_scan
+
+    spark.createDataFrame([(1, "Prose.\nReleased under the MIT License."), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op5_license_scan(spark, str(tmp_path)).collect()}
+    (notice,) = json.loads(got[1]["notices"])
+    assert (notice["line"], notice["family"]) == (1, "mit") and notice["probability"] == got[1]["score"] and notice["overlap"] > 0.5
+    assert got[2]["notices"] == "[]"
