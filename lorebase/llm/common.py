@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,28 +23,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name that driver and executors can all reach.
 
-    It lies in ``spark.checkpoint.dir``. Where that is unset (a local session,
-    as in tests) a temporary folder is set as the session's own.
+    It lies in ``spark.checkpoint.dir``. Where that is unset in a local session,
+    as in tests, a temporary folder is set as the session's own; elsewhere it is
+    an error, as executors can't see the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lorebase-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lorebase-{uuid.uuid4().hex}"
 
 
-_record: list[str] | None = None
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
-def recording(paths: list[str]) -> Iterator[None]:
-    """Tables staged meanwhile are noted in ``paths``."""
-    global _record
-    before, _record = _record, paths
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged meanwhile by this thread are removed at the end, unless staged to be kept."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
     try:
         yield
     finally:
-        _record = before
+        _scratch.reset(token)
+        remove(spark, paths)
 
 
 @contextlib.contextmanager
@@ -64,18 +69,50 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts the lineage: work that several later branches need is done once,
-    and a lost executor costs only the reading of files.
+    and a lost executor costs only the reading of files. With ``keep`` the table
+    outlives the ``scratch`` that it is made in.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    if _record is not None:
-        _record.append(path)
+    paths = _scratch.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more."""
+    for x in tables:
+        remove(x.sparkSession, [x._staged_at])
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
+#: Bits of the filter of ``divided``, a bound of what it broadcasts.
+FILTER_BITS = 1 << 24
+
+
+def divided(frame: DataFrame, keys: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``frame`` that aren't among ``keys``, rows that may be) by the columns
+    of both that bear those names. ``keys`` is a staged table; a filter of a fixed
+    size is made of it, so only the second part has to travel for an exact join."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    at, bits = fresh("at"), fresh("bits")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(place, 6).alias(at)).agg(F.bit_or(bit).alias(bits))
+    met = frame.join(F.broadcast(words), F.shiftright(place, 6) == F.col(at), "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    return met.where(~may).select(*frame.columns), met.where(may).select(*frame.columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -78,7 +78,7 @@ def curriculum_mix(
     blocks: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``, range-sorted by training position:
-    ``doc_id, size, source, source_size, target, taken, slope, first_pass, position``.
+    ``doc_id, size, source, source_size, target, taken, slope, first_pass, position, row_hash``.
 
     * ``size`` is the number of words of the whole text; null text has none.
     * ``taken``: with k the whole number of times the target covers the
@@ -90,6 +90,7 @@ def curriculum_mix(
     * ``first_pass`` is the stretch of demand before the document, ``position``
       its training time by ``training_position`` in the first pass over the
       source. Documents that are not taken have none.
+    * ``row_hash`` is xxhash64 of identifier and text.
     * A null source is a source of its own, last in order. Null identifiers
       and repeated rows are rows like any other; equal rows get equal sums up
       to the order among them. Empty documents have size and taken 0. An empty
@@ -102,7 +103,7 @@ def curriculum_mix(
             F.col(id_col).cast("bigint").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
+            F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)).alias("h"),
         ).withColumn("block", F.pmod("h", F.lit(blocks)))
     )
     per_block = base.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
@@ -115,7 +116,7 @@ def curriculum_mix(
     joined = (
         base.alias("b")
         .join(offsets.alias("o"), F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.block") == F.col("o.block")))
-        .select("doc_id", F.col("b.source").alias("source"), "size", "source_size", "target", "slope", (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("before"))
+        .select("doc_id", F.col("h").alias("row_hash"), F.col("b.source").alias("source"), "size", "source_size", "target", "slope", (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("before"))
     )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("bigint")
@@ -125,6 +126,6 @@ def curriculum_mix(
         .withColumn("taken", F.col("passes") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("bigint"), F.col("rest") - F.col("before"))))
         .withColumn("first_pass", F.when(F.col("taken") > 0, F.col("before")))
         .withColumn("position", training_position())
-        .select("doc_id", "size", "source", "source_size", "target", "taken", "slope", "first_pass", "position")
+        .select("doc_id", "size", "source", "source_size", "target", "taken", "slope", "first_pass", "position", "row_hash")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )

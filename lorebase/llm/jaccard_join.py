@@ -1,37 +1,37 @@
 """N-gram Jaccard join by a token-group matrix, and the classes it links.
 
 Documents with equal shingle sets are one class; one stands for all. Classes
-are put into groups of similar sets, each group keeps the union of its members'
-tokens, and a query set is compared with a group's members only if its overlap
-with the union reaches what the similarity asks for.
-
-Which groups can qualify is found in two steps that keep the bound exact:
-
-* The matrix. Two sets of sizes in a known range that reach the threshold
-  differ in at most k tokens. Every set's tokens are dealt by their hash into
-  blocks of which it fills more than k (see ``signatures``), so such sets agree
-  on a whole block that is not empty. The matrix has a row for
-  each (block's content, group) instead of each (token, group): much smaller,
-  and a common passage alone does not make two sets meet, since a block also
-  holds tokens of the rest of the text. Sizes fall into classes that grow by
-  1 / threshold, and a set signs for its own class and the next, so every pair
-  meets in one of them.
-* Opening. A pair of groups that share a block is opened in one task: each set
-  of the one is bounded against the union of the other (overlap below
-  threshold * size closes it), then compared with the members.
-
-Groups have about ``GROUP`` members: sets that share their most common block,
-dealt by a hash. Groups are first opened on their own, then each with the first
-of those that share its block; what is then linked belongs to one component, and
-pairs of groups whose members are all of one component need not be opened any more. So a block held
-by very many similar sets costs pairs of groups only where links are missing,
-and no link between different components is lost.
+are put into groups of similar sets, the union of each group's tokens is stored,
+and a group is opened (its members are read and compared) only if the overlap
+with its union reaches what the similarity asks for.
+
+* The matrix has a row for each (token, group). A set of n tokens that links
+  with another shares at least ceil(percent * n / 100) with it, so whatever the
+  order of all tokens, the two share one of their first n - ceil(percent * n /
+  100) + 1 (their heads). Only heads enter the matrix. The order has the tokens
+  that very many documents hold last, so a common passage brings sets together
+  only where little else is in them. Which tokens are frequent is counted in
+  bounded memory over all documents; this decides the order only, and every
+  order gives the same links.
+* Groups have about ``GROUP`` members and ``GROUP_TOKENS`` tokens: sets that share
+  the most common token of their heads, dealt by a hash.
+* Bound. Of two groups that share a token of the matrix, the unions meet first.
+  A set x of the one can link with a set y of the other only if they share
+  percent / 100 of the larger, so the unions have to share that much of the
+  larger of both groups' smallest sets. Other pairs of groups stay closed.
+* Opening. Each set of the one group is bounded against the union of the other,
+  then compared with the members.
+
+Groups are first opened on their own, then each with the first of those that
+share its token; what is then linked belongs to one component, and pairs of
+groups whose members are all of one component need not be opened any more. So
+very many similar sets cost pairs of groups only where links are missing, and
+no link between different components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,63 +39,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import rows_per_batch, shuffle_partitions, staged, text_or_empty
+from lorebase.llm.common import discard, rows_per_batch, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.components import components
 from lorebase.llm.kernel import CHUNK, U, chunks, mix64, shingles
 
 GROUP = 32
-#: Times that a set's tokens are dealt into blocks, each time into twice as many.
-DEALS = 3
-
-
-def size_class(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / percent) + 1e-9).astype(np.int64)
-
-
-def blocks_for(window: np.ndarray, percent: int) -> np.ndarray:
-    """Number of blocks of a pair of neighbouring classes: one more than the
-    tokens that two sets of those classes can differ in.
-
-    With sizes a <= b and overlap o: 100 o >= percent (a + b - o), so a + b - 2 o
-    <= (a + b) (100 - percent) / (100 + percent). Either both sets are of the
-    lower class, or b <= 100 a / percent with a of the lower class; so a + b is
-    at most a (1 + 100 / percent), and what they differ in a (100 - percent) / percent.
-    """
-    a = (100 / percent) ** (window + 1.0) + 1  # the largest size of the lower class, rounded up
-    return np.floor(a * (100 - percent) / percent + 1e-6).astype(np.int64) + 1
-
-
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the blocks of a set, in both windows that it signs for.
-
-    Tokens that two sets differ in touch at most k blocks, so they agree on one
-    that is not empty if either set fills more than k. Blocks are dealt with some
-    to spare; a set that fills too few of them also signs for twice as many, and
-    so on, and at last by its first k + 1 tokens. A pair that may be lost at one
-    step is one whose sets both fill too few, so both sign for the next.
-    """
-    own = int(size_class(np.array([len(tokens)]), percent)[0])
-    lightest = percent * percent / (100 - percent) / 100 if percent < 100 else math.inf  # tokens of a block
-    hashed = mix64(tokens ^ U(0x6A09E667F3BCC909))
-    out = []
-    for window in (own - 1, own):
-        k = int(blocks_for(np.array([window]), percent)[0]) - 1
-        m = k + 1 + (math.ceil(2 * k * math.exp(-lightest)) if k else 0)
-        for step in range(DEALS + 1):
-            mark = U(step << 56) + U(window + 1)
-            if step == DEALS:
-                out.append(mix64(np.sort(hashed)[: k + 1] + mix64(np.array([mark]))))
-                break
-            block = (hashed % U(m)).astype(np.int64)
-            low = np.bincount(block, (tokens & U(0xFFFFFFFF)).astype(float), m).astype(U)
-            high = np.bincount(block, (tokens >> U(32)).astype(float), m).astype(U)
-            count = np.bincount(block, minlength=m)
-            name = mix64(low * U(0x9E3779B97F4A7C15) + high) + mix64(np.arange(m, dtype=U) * U(1 << 20) + mark) + count.astype(U)
-            out.append(mix64(name)[count > 0])
-            if np.count_nonzero(count) > k:
-                break
-            m *= 2
-    return np.concatenate(out)
+GROUP_TOKENS = 1 << 18
+#: Tokens known as frequent: a bound of what is broadcast and of a task's counters.
+FREQUENT = 1 << 17
+#: Tokens that a task counts at once.
+COUNTED = 1 << 22
+#: Bits of the filter that keeps sets without candidates from travelling.
+FILTER_BITS = 1 << 26
+NO_ID = (1 << 63) - 1
+
+
+def head_size(n: int, percent: int) -> int:
+    """So many first tokens of a set of n, in any order, meet those of every set that links with it."""
+    return n - -(-percent * n // 100) + 1
+
+
+def head(tokens: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """First tokens of a sorted set: those that aren't frequent by their value,
+    then the frequent ones (``frequent`` is sorted) by their rank."""
+    k = head_size(len(tokens), percent)
+    if not len(frequent):
+        return tokens[:k]
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    hit = frequent[at] == tokens
+    rare = tokens[~hit][:k]
+    if len(rare) == k:
+        return rare
+    return np.concatenate((rare, tokens[hit][np.argsort(rank[at[hit]])][: k - len(rare)]))
+
+
+class Counts:
+    """Tokens that a task meets more than once, and how often; memory is bounded."""
+
+    def __init__(self):
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+        self.tokens, self.counts = np.zeros(0, U), np.zeros(0, np.int64)
+
+    def add(self, own: list[np.ndarray]) -> None:
+        self.waiting += own
+        self.size += sum(map(len, own))
+        if self.size >= COUNTED:
+            self.close()
+
+    def close(self) -> None:
+        tokens, counts = np.unique(np.concatenate([np.zeros(0, U), *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        tokens, counts = np.concatenate((self.tokens, tokens[counts > 1])), np.concatenate((self.counts, counts[counts > 1]))
+        self.tokens, place = np.unique(tokens, return_inverse=True)
+        self.counts = np.bincount(place, counts, len(self.tokens)).astype(np.int64)
+        if len(self.tokens) > FREQUENT:
+            most = np.sort(np.argpartition(-self.counts, FREQUENT)[:FREQUENT])
+            self.tokens, self.counts = self.tokens[most], self.counts[most]
+
+
+def reaches(union_x: np.ndarray, union_y: np.ndarray, least: int, percent: int) -> bool:
+    """Whether two groups' unions share enough for a set of ``least`` tokens to link.
+
+    Both unions are sorted; the shorter is looked up in the longer."""
+    small, large = sorted((union_x, union_y), key=len)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return 100 * int((large[at] == small).sum()) >= percent * least
 
 
 def verify(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int, comp_x: list, comp_y: list | None) -> Iterator[tuple[int, int]]:
@@ -141,53 +150,55 @@ def set_name(tokens: np.ndarray) -> bytes:
 
 
 def sid_of(name: bytes) -> int:
-    """A short name of a set, for finding candidates only."""
-    return int.from_bytes(name[:7], "big")
+    """A short name of a set, for finding candidates only; 63 bits."""
+    return int.from_bytes(name[:8], "big") & NO_ID
 
 
-def shared_blocks(plain: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """(block, sid) of the blocks that more than one set holds.
+def shared_tokens(plain: DataFrame, words: int, percent: int, parts: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(token, sid) of the tokens that more than one set has in its head.
 
-    Nearly all blocks are held once, so they travel packed: a batch of texts
-    gives one row of sorted names for each of ``parts`` ranges of the name. A
-    block that two sets of a batch hold is shared for certain: its holders are
-    given out at once, and only its name is sent on, with a mark. So a block
-    that very many sets hold is sent once for each batch.
+    Nearly all tokens are held once, so they travel packed: a batch of texts
+    gives one row of sorted names for each of ``parts`` parts. A token that two
+    sets of a batch hold is shared for certain: its holders are given out at
+    once, and only its name is sent on, with a mark. So a token that very many
+    sets hold is sent once for each batch. A name is 32 bits within its part;
+    equal names of different tokens only bring more sets together.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, sid, seen = [], [], set()
+            tokens, sid, seen = [], [], set()
             for _, _, raw, offs in chunks(batch["text"], CHUNK):
                 for t in shingles(raw, offs, words):
-                    if len(t) and (s := sid_of(set_name(t))) not in seen:
-                        seen.add(s)
-                        block.append(signatures(t, percent))
-                        sid.append(s)
-            if not block:
+                    if len(t) and (x := set_name(t)) not in seen:
+                        seen.add(x)
+                        tokens.append(head(t, percent, frequent, rank))
+                        sid.append(sid_of(x))
+            if not tokens:
                 continue
-            owner = np.repeat(np.arange(len(sid), dtype=np.uint32), [len(x) for x in block])
-            name, sids = np.concatenate(block), np.array(sid, np.int64)
+            owner, sids = np.repeat(np.arange(len(sid)), [len(x) for x in tokens]), np.array(sid, np.int64)
+            name = mix64(np.concatenate(tokens) ^ U(0x6A09E667F3BCC909))
+            name = name % U(parts) << U(32) | name >> U(32)
             order = np.argsort(name, kind="stable")
             name, owner = name[order], owner[order]
             new = np.concatenate(([True], name[1:] != name[:-1]))
             size = np.diff(np.append(np.flatnonzero(new), len(name)))
-            many = np.repeat(size > 1, size)
-            rows = [(int(x), name[many & (which == x)].tobytes(), sids[owner[many & (which == x)]].tobytes(), 1) for which in [name % U(parts)] for x in np.unique(which[many])] if many.any() else []
-            first = new
-            name, owner, mark = name[first], owner[first], many[first]
-            part = (name % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            name, part = name[order], part[order]
-            sent = np.where(mark, -1, sids[owner])[order]
-            edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            for x, y in zip(edges.tolist(), [*edges[1:].tolist(), len(name)]):
-                rows.append((int(part[x]), name[x:y].tobytes(), sent[x:y].tobytes(), 0))
+            rows, many = [], np.repeat(size > 1, size)
+
+            def give(name, sids, shared):
+                part = (name >> U(32)).astype(np.int64)
+                edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                for x, y in zip(edges.tolist(), [*edges[1:].tolist(), len(name)]):
+                    rows.append((int(part[x]), name[x:y].astype(np.uint32).tobytes(), sids[x:y].tobytes(), shared))
+
+            if many.any():
+                give(name[many], sids[owner[many]], 1)
+            give(name[new], np.where(many[new], -1, sids[owner[new]]), 0)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["part", "names", "sids", "shared"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(name, sid):
-            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(sid)], names=["block", "sid"])
+        def out(part, name, sid):
+            return pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64) | part << 32), pa.array(sid)], names=["token", "sid"])
 
         part, names, sids = None, [], []
 
@@ -195,18 +206,20 @@ def shared_blocks(plain: DataFrame, words: int, percent: int, parts: int) -> Dat
             if not names:
                 return
             name, sid = np.concatenate(names), np.concatenate(sids)
-            order = np.argsort(name, kind="stable")
+            order = np.lexsort((sid, name))
             name, sid = name[order], sid[order]
+            other = np.concatenate(([True], (name[1:] != name[:-1]) | (sid[1:] != sid[:-1])))  # copies of a set are one
+            name, sid = name[other], sid[other]
             new = np.concatenate(([True], name[1:] != name[:-1]))
             size = np.diff(np.append(np.flatnonzero(new), len(name)))
             keep = np.repeat(size > 1, size) & (sid >= 0)
-            yield out(name[keep], sid[keep])
+            yield out(part, name[keep], sid[keep])
 
         for batch in batches:
             for p, a, b, shared in zip(*(batch[c].to_pylist() for c in ("part", "names", "sids", "shared"))):
-                name, sid = np.frombuffer(a, U), np.frombuffer(b, np.int64)
+                name, sid = np.frombuffer(a, np.uint32), np.frombuffer(b, np.int64)
                 if shared:
-                    yield out(name, sid)
+                    yield out(p, name, sid)
                     continue
                 if p != part:
                     yield from close()
@@ -216,11 +229,12 @@ def shared_blocks(plain: DataFrame, words: int, percent: int, parts: int) -> Dat
         yield from close()
 
     packed = plain.select("text").mapInArrow(deal, "part int, names binary, sids binary, shared int")
-    return staged(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "block bigint, sid bigint").distinct())
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "token bigint, sid bigint").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_id``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_id,
+    text_hash, component_hash``.
 
     * A set holds the distinct shingles of ``words`` lower-cased (A-Z) words of
       the whole text; a shorter text's whole sequence is its only shingle. Sets
@@ -229,44 +243,75 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     * ``component_id`` is the smallest identifier reachable by links, and ``class_id``
       the smallest identifier with the same set. Links within a known component
       are not looked for again, so they are not counted.
+    * ``text_hash`` is xxhash64 of the text, which tells rows with one identifier
+      apart; ``component_hash`` is the component's own name (null without words), which
+      tells components apart whose smallest identifiers are equal or null.
     * Null identifiers belong to classes like any other row but name none, unless
       a class has no other; repeated rows are rows like any other. An empty table
-      gives an empty result; other columns are not read.
+      gives an empty result; other columns are not read. A very long text is held
+      whole in a task and is a group of its own.
     * Shingles are 64-bit hashes, sets are compared whole by SHA-256 of them.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent has to be from 50 to 100")
+    if not 1 <= percent <= 100:
+        raise ValueError("percent has to be from 1 to 100")
     spark = docs.sparkSession
-    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    hashed = plain.withColumn("text_hash", F.xxhash64("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, counts = ["doc_id", "text_hash", "n", "set", "token", "count"], Counts()
         for batch in batches:
             for a, b, raw, offs in chunks(batch["text"], CHUNK):
                 own = list(shingles(raw, offs, words))
-                n = [len(t) for t in own]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(n, pa.int64()), pa.array([set_name(t) if len(t) else None for t in own], pa.binary())], names=["doc_id", "n", "set"])
-
-    signed = staged(plain.mapInArrow(sets, "doc_id bigint, n bigint, set binary"))
-    classes = staged(signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    by_sid = classes.select("set", F.conv(F.hex(F.substring("set", 1, 7)), 16, 10).cast("bigint").alias("sid"))
-    held = shared_blocks(plain, words, percent, shuffle_partitions(spark)).join(by_sid, "sid").select("block", "set")
-    counted = held.groupBy("block").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    held = staged(held.join(counted, "block"))
-    # Groups: sets that share their most common block, dealt by a hash.
-    most = held.groupBy("set").agg(F.max(F.struct("holders", "block")).alias("most"))
-    deal = F.pmod(F.xxhash64("set"), F.ceil(F.col("most.holders") / GROUP))
-    groups = most.select("set", F.col("most.block").alias("home"), deal.alias("part"))
+                counts.add(own)
+                none = pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["text_hash"].slice(a, b - a), pa.array([len(t) for t in own], pa.int64()), pa.array([set_name(t) if len(t) else None for t in own], pa.binary()), none, none], names=columns)
+        counts.close()
+        none = pa.nulls(len(counts.tokens), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(counts.tokens.view(np.int64)), pa.array(counts.counts)], names=columns)
+
+    first = staged(hashed.mapInArrow(sets, "doc_id bigint, text_hash bigint, n bigint, set binary, token bigint, count bigint"))
+    signed = first.where("n IS NOT NULL").drop("token", "count")
+    most = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT)
+    frequent = most.select("token").toArrow()["token"].to_numpy().view(U)  # at most FREQUENT numbers, by falling count
+    order = np.argsort(frequent)
+    frequent, rank = frequent[order], (len(order) - order).astype(np.int64)
+
+    classes = staged(signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
+    sid = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("bigint").bitwiseAND(F.lit(NO_ID))
+    by_sid = classes.select("set", "n", sid.alias("sid"))
+    shared = staged(shared_tokens(plain, words, percent, shuffle_partitions(spark), frequent, rank))
+    held = shared.join(by_sid, "sid").select("token", "set", "n")
+    counted = held.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.sum("n").alias("volume")).where("holders > 1")
+    held = staged(held.drop("n").join(counted, "token"))
+    discard(shared)
+    # Groups: sets that share the most common token of their heads, dealt by a hash.
+    home = held.groupBy("set").agg(F.max(F.struct("holders", "volume", "token")).alias("most"))
+    parts = F.ceil(F.greatest(F.col("most.holders") / GROUP, F.col("most.volume") / GROUP_TOKENS))
+    wanted = home.select("set", F.col("most.token").alias("home"), F.pmod(F.xxhash64("set"), parts).alias("part")).join(classes, "set")
+    wanted = staged(wanted.withColumn("place", sid.bitwiseXOR(F.col("rep")).bitwiseAND(F.lit(FILTER_BITS - 1))))
+
+    # Sets in the matrix are few as a rule: a filter of a fixed size, on the short name
+    # and the identifier that stands for the class, keeps the others from travelling.
+    marks = wanted.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, U)
+    bits[marks["at"].to_numpy()] = marks["bits"].to_numpy().view(U)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offs in chunks(batch["text"], CHUNK):
-                # An identifier may occur with other texts: the set tells them apart.
-                own = [t.tobytes() if len(t) and set_name(t) == x.as_py() else None for t, x in zip(shingles(raw, offs, words), batch["set"].slice(a, b - a))]
-                yield pa.RecordBatch.from_arrays([batch["set"].slice(a, b - a), batch["home"].slice(a, b - a), batch["part"].slice(a, b - a), pa.array(own, pa.binary())], names=["set", "home", "part", "tokens"])
-
-    wanted = groups.join(classes, "set").select("set", "home", "part", F.col("rep").alias("doc_id"))
-    near = plain.join(wanted, "doc_id").mapInArrow(tokens, "set binary, home bigint, part bigint, tokens binary").where("tokens IS NOT NULL")
-    members = staged(near.dropDuplicates(["set"]))
+                names, ids, own = [], [], []
+                for i, t in zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingles(raw, offs, words)):
+                    if len(t):
+                        place = ((sid_of(x := set_name(t)) ^ i) & (FILTER_BITS - 1))
+                        if int(bits[place >> 6]) >> (place & 63) & 1:
+                            names.append(x)
+                            ids.append(i)
+                            own.append(t.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["set", "rep", "tokens"])
+
+    near = plain.mapInArrow(tokens, "set binary, rep bigint, tokens binary")
+    members = staged(near.join(wanted.select("set", "rep", "home", "part"), ["set", "rep"]).drop("rep").dropDuplicates(["set"]))
 
     def pack(frame: DataFrame, *key: str) -> DataFrame:
         return frame.groupBy(*key).agg(F.collect_list(F.struct("set", "component", "tokens")).alias("members"))
@@ -295,8 +340,32 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 labels += [root(c) for c in own]
             yield pa.RecordBatch.from_arrays([pa.array(sets_, pa.binary()), pa.array(labels, pa.binary())], names=["set", "component"])
 
-    def open_groups(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) of components from pairs of groups ``x``, ``y``; y is null for a group on its own."""
+    def unions_of(packed: DataFrame) -> DataFrame:
+        """(group, tokens, least, most) of packed groups: the stored unions."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [read(x)[2] for x in batch["members"]]
+                columns = [batch["group"], pa.array([np.unique(np.concatenate(t)).tobytes() for t in own], pa.binary()), pa.array([min(map(len, t)) for t in own], pa.int64()), pa.array([max(map(len, t)) for t in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "tokens", "least", "most"])
+
+        return packed.select("group", "members").mapInArrow(work, "group bigint, tokens binary, least bigint, most bigint")
+
+    def qualifying(pairs: DataFrame, unions: DataFrame) -> DataFrame:
+        """The pairs (g, h) of groups that the bound leaves."""
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [reaches(np.frombuffer(x, U), np.frombuffer(y, U), n, percent) for x, y, n in zip(batch["tx"].to_pylist(), batch["ty"].to_pylist(), batch["least"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep, pa.bool_())) for c in ("g", "h")], names=["g", "h"])
+
+        x = unions.select(F.col("group").alias("g"), F.col("tokens").alias("tx"), F.col("least").alias("lx"), F.col("most").alias("mx"))
+        y = unions.select(F.col("group").alias("h"), F.col("tokens").alias("ty"), F.col("least").alias("ly"), F.col("most").alias("my"))
+        near = pairs.join(x, "g").join(y, "h").where((100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx")))
+        return near.select("g", "h", "tx", "ty", F.greatest("lx", "ly").alias("least")).mapInArrow(bound, "g bigint, h bigint")
+
+    def open_groups(pairs: DataFrame, store: DataFrame) -> DataFrame:
+        """Links (a, b) of components from pairs of groups ``g``, ``h``; h is null for a group on its own."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -309,14 +378,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         b.append(cy[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        return pairs.select("x", "y").mapInArrow(work, "a binary, b binary")
+        x = store.select(F.col("group").alias("g"), F.col("members").alias("x"))
+        y = store.select(F.col("group").alias("h"), F.col("members").alias("y"))
+        return pairs.join(x, "g").join(y, "h", "left").select("x", "y").mapInArrow(work, "a binary, b binary")
 
     def merged(labelled: DataFrame, links: DataFrame) -> DataFrame:
         """``labelled`` with the components that ``links`` joins made one."""
         found = components(links).select(F.col("node").alias("component"), F.col("component").alias("__to"))
         return labelled.join(found, "component", "left").withColumn("component", F.coalesce("__to", "component")).drop("__to")
 
-    none = F.lit(None).cast("array<struct<set:binary,component:binary,tokens:binary>>")
     # Tokens are read from `members` only to pack groups; labels travel without them.
     alone = pack(members.withColumn("component", F.col("set")), "home", "part").select("members")
     with rows_per_batch(spark, 16):  # a row is a group's tokens
@@ -325,51 +395,62 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Each group with the first one of the same home.
     hub = staged(place.groupBy("home").agg(F.min("part").alias("hub"), F.max("part").alias("last")).where("last > hub").drop("last"))
-    packed = staged(pack(members.join(hub, "home").join(labels, "set"), "home", "part", "hub"))
-    others = packed.where("part > hub").select("home", F.col("members").alias("x"))
-    firsts = packed.where("part = hub").select("home", F.col("members").alias("y"))
+    named = members.join(hub, "home").join(labels, "set").withColumn("group", F.xxhash64("home", "part"))
+    store = staged(pack(named, "group"))
+    pairs = staged(place.join(hub, "home").where("part > hub").select(F.xxhash64("home", "part").alias("g"), F.xxhash64("home", "hub").alias("h")).distinct())
     with rows_per_batch(spark, 16):
-        labels = staged(merged(labels, open_groups(others.join(firsts, "home"))))
+        unions = staged(unions_of(store))
+        pairs = staged(qualifying(pairs, unions))
+        labels = staged(merged(labels, open_groups(pairs, store)))
+    discard(store, unions)
     now = staged(place.join(labels, "set"))
 
-    # What is left: pairs of groups that share a block and are not of one component.
+    # What is left: pairs of groups that share a token and are not of one component.
     # Components with more than GROUP members of a home get groups of their own, the
     # others of the home share some. Counts meet the members on a hash of home and
     # component, in a join that splits skewed keys.
-    size = now.groupBy("home", "component").agg(F.count(F.lit(1)).alias("size"))
-    rest = size.where(F.col("size") <= GROUP).groupBy("home").agg(F.sum("size").alias("rest"))
+    size = now.join(classes.select("set", "n"), "set").groupBy("home", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"))
+    rest = size.where(F.col("size") <= GROUP).groupBy("home").agg(F.sum("size").alias("rest"), F.sum("volume").alias("rest_volume"))
     own = F.col("size") > GROUP
     plan = size.join(rest, "home", "left").select(
         F.xxhash64("home", "component").alias("spot"),
         F.xxhash64("home", F.when(own, F.col("component")).otherwise(F.lit(b""))).alias("family"),
-        F.ceil(F.when(own, F.col("size")).otherwise(F.col("rest")) / GROUP).alias("parts"),
+        F.ceil(F.when(own, F.greatest(F.col("size") / GROUP, F.col("volume") / GROUP_TOKENS)).otherwise(F.greatest(F.col("rest") / GROUP, F.col("rest_volume") / GROUP_TOKENS))).alias("parts"),
     )
     group = F.xxhash64("family", F.pmod(F.xxhash64("set"), F.col("parts")))
     placed = staged(now.withColumn("spot", F.xxhash64("home", "component")).join(plan, "spot").select("set", "component", group.alias("group")))
     about = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     # The matrix, with a label for each group: its component, or its own name if it
-    # holds several. Blocks meet label by label, so a block whose groups are all of
+    # holds several. Tokens meet label by label, so a token whose groups are all of
     # one component opens nothing, however many they are.
     label = F.when(F.col("low") == F.col("high"), F.concat(F.lit("c"), F.hex("low"))).otherwise(F.concat(F.lit("g"), F.col("group").cast("string")))
-    matrix = staged(held.join(placed.select("set", "group"), "set").select("block", "group").distinct().join(about.select("group", label.alias("label")), "group"))
-    named = matrix.select("block", "label").distinct()
-    meeting = named.alias("x").join(named.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label"))).select("x.block", F.col("x.label").alias("lx"), F.col("y.label").alias("ly"))
-    one_side = meeting.join(matrix.select("block", F.col("label").alias("lx"), F.col("group").alias("g")), ["block", "lx"])
-    pairs = one_side.join(matrix.select("block", F.col("label").alias("ly"), F.col("group").alias("h")), ["block", "ly"]).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
-    own_pairs = about.where("low <> high").select(F.col("group").alias("g"))
-    pairs = staged(pairs)
-    opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).unionByName(own_pairs.select(F.col("g").alias("group"))).distinct()
+    matrix = held.select("token", "set").join(placed.select("set", "group"), "set").select("token", "group").distinct().join(about.select("group", label.alias("label")), "group")
+    matrix = staged(matrix.select("token", "group", "label"))
+    # Tokens held by the same labels ask the same question: one of them stands for all.
+    cells = matrix.select("token", "label").distinct()
+    rows = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("label")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "label")).alias("y"), F.sum(F.pmod(F.xxhash64("label"), F.lit(1 << 31))).alias("s")).where("n > 1")
+    asked = rows.groupBy("n", "x", "y", "s").agg(F.min("token").alias("token")).select("token")
+    cells = staged(cells.join(asked, "token"))
+    meeting = cells.alias("x").join(cells.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.label").alias("lx"), F.col("y.label").alias("ly")).distinct()
+    meeting = staged(meeting)
+    # Labels back to their groups, over the tokens that both share.
+    sides = matrix.select("token", "group", "label")
+    pairs = meeting.join(sides.select(F.col("label").alias("lx"), F.col("group").alias("g"), "token"), "lx").join(sides.select(F.col("label").alias("ly"), F.col("group").alias("h"), "token"), ["ly", "token"])
+    pairs = staged(pairs.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct())
+    inside = about.where("low <> high").select(F.col("group").alias("g"))
+    opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).unionByName(inside.select(F.col("g").alias("group"))).distinct()
     store = staged(pack(members.select("set", "tokens").join(placed.join(opened, "group", "left_semi"), "set"), "group"))
-    cross = pairs.join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").join(store.select(F.col("group").alias("h"), F.col("members").alias("y")), "h")
-    inside = own_pairs.join(store.select(F.col("group").alias("g"), F.col("members").alias("x")), "g").select("x", none.alias("y"))
     with rows_per_batch(spark, 16):
-        found = merged(now.select("set", "component"), open_groups(cross).unionByName(open_groups(inside)))
+        unions = staged(unions_of(store))
+        pairs = staged(qualifying(pairs, unions).unionByName(inside.withColumn("h", F.lit(None).cast("bigint"))))
+        found = staged(merged(now.select("set", "component"), open_groups(pairs, store)))
+    discard(store, unions, members)
 
     # Sets to identifiers.
     named = staged(classes.join(found, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = staged(named.join(least, "component").select("set", F.col("rep").alias("class_id"), "component_id"))
-    null = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c)).alias(c)
-    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    full = signed.where("n > 0").join(by_set, "set").select("doc_id", "n", "class_id", "component_id")
-    return full.unionByName(empty).select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"), null("class_id"))
+    by_set = staged(named.join(least, "component").select("set", F.col("rep").alias("class_id"), "component_id", F.xxhash64("component").alias("component_hash")))
+    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("bigint").alias("component_hash"))
+    full = signed.where("n > 0").join(by_set, "set").select("doc_id", "n", "class_id", "component_id", "text_hash", "component_hash")
+    return full.unionByName(empty).select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"), null("class_id"), "text_hash", "component_hash")

@@ -18,13 +18,16 @@ scores are probabilities.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lorebase.llm.common import staged, text_or_empty
+from lorebase.llm.common import discard, staged, text_or_empty
 from lorebase.llm.kernel import CHUNK, LOWER, chunks, flat, prefix, spans_hash
 
 BITS = 20
@@ -158,45 +161,53 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs:
     return place[kept], w[1:][kept], float(w[0])
 
 
-def toxicity(
+class Model(NamedTuple):
+    """Weights of feature places; ``fitted`` is false where labels of one class or none were there."""
+
+    places: np.ndarray
+    values: np.ndarray
+    intercept: float
+    fitted: bool
+
+    def scores(self, texts: pa.Array) -> pa.Array:
+        table = np.zeros(1 << BITS, np.float32)
+        table[self.places] = self.values
+        out = [np.zeros(0)]
+        for a, b, raw, offs in chunks(texts, CHUNK):
+            features, first = feature_places(raw, offs) if len(raw) else (np.zeros((1, 0), np.int32), np.zeros(b - a + 1, np.int64))
+            kind, word = np.nonzero(table[features])
+            text = np.searchsorted(first, word, "right") - 1
+            each = np.unique(text.astype(np.int64) << BITS | features[kind, word])
+            sums = np.bincount(each >> BITS, table[each & ((1 << BITS) - 1)], b - a) + self.intercept
+            out.append(1 / (1 + np.exp(-np.clip(sums, -60, 60))))
+        return pa.array(np.concatenate(out))
+
+
+def held_out(id_col: str) -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("bigint").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    threshold: float = 0.3,
     most_toxic: int = 3000,
     most_clean: int = 6000,
     screen: float = 2.5,
     least: int = 4,
-    carry: bool = False,
-) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
-
-    * With ``carry`` the columns of ``docs`` come along, unless their names are
-      among those above.
-    * A row is held out if crc32 of its identifier as text, modulo 4, is 2; such
-      labels are never learnt from. Labels, languages, sources and identifiers
-      are no features.
-    * The model is fitted on the driver from a bounded sample, ``most_toxic`` and
-      ``most_clean`` rows that come first by a hash of the identifier; only the
-      features of their whole texts that pass the screening get there
-      (``least`` sample rows or more, ``screen`` standard errors). Everything is scored.
-    * Null or empty texts have no features and get the intercept's score; null
-      labels aren't learnt from; of several labels of an identifier the largest
-      counts. Null identifiers are never held out nor labelled. Without labels of
-      both classes every score is the labels' rate (0.5 without any label). An empty table gives
-      an empty result; repeated rows get equal scores.
-    """
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+) -> Model:
+    """The model of the labelled rows that are not held out; see ``toxicity``."""
     known = (
-        labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+        labels.where(~held_out(id_col))
+        .select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where("doc_id IS NOT NULL AND label IS NOT NULL")
-        .where(~held)
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
     totals = {r["label"]: r["n"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("label > 0").orderBy(*by_hash).limit(most_toxic).union(known.where("label <= 0").orderBy(*by_hash).limit(most_clean))
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -233,40 +244,53 @@ def toxicity(
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["pair"], *(pa.array(p, pa.binary()) for p in parts)], names=["doc_id", "label", "pair", "a", "b"])
 
     found = gathered.mapInArrow(pick, "doc_id bigint, label int, pair int, a binary, b binary").collect()
+    discard(gathered)
     found.sort(key=lambda r: (r["doc_id"], r["pair"], bytes(r["a"]), bytes(r["b"])))
     decode = lambda x: np.frombuffer(bytes(x), "<i4")
     own = [r for r in found if not r["pair"]]
     y = np.array([r["label"] > 0 for r in own], float)
     counts = {1: max(y.sum(), 1), 0: max(len(y) - y.sum(), 1)}
     weights = np.array([totals[int(v)] / counts[int(v)] for v in y])
-    places, values, intercept = fit([decode(r["a"]) for r in own], y, weights, [(decode(r["a"]), decode(r["b"])) for r in found if r["pair"]], kept) if own else (np.zeros(0, np.int64), np.zeros(0), 0.0)
-    del found, own
+    fitted = bool(own) and 0 < y.sum() < len(y)
+    return Model(*(fit([decode(r["a"]) for r in own], y, weights, [(decode(r["a"]), decode(r["b"])) for r in found if r["pair"]], kept) if own else (np.zeros(0, np.int64), np.zeros(0), 0.0)), fitted)
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``) and ``score``: rows pass through whole,
+    so no name of theirs can clash."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS, np.float32)
-        table[places] = values
         for batch in batches:
-            for a, b, raw, offs in chunks(batch["text"], CHUNK):
-                features, first = feature_places(raw, offs) if len(raw) else (np.zeros((1, 0), np.int32), np.zeros(b - a + 1, np.int64))
-                kind, word = np.nonzero(table[features])
-                text = np.searchsorted(first, word, "right") - 1
-                each = np.unique(text.astype(np.int64) << BITS | features[kind, word])
-                sums = np.bincount(each >> BITS, table[each & ((1 << BITS) - 1)], b - a) + intercept
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(sums, -60, 60))))], names=["doc_id", "score"])
-
-    scores = {"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")}
-    if not carry:
-        return plain.mapInArrow(score, "doc_id bigint, score double").select("doc_id", scores["held_out"].alias("held_out"), "score", scores["predicted"].alias("predicted"))
-    # Rows come back in their order, so a struct of them passes through the scoring.
-    other = [c for c in docs.columns if c not in (id_col, text_col, "doc_id", "text", "score", "held_out", "predicted")]
-    wide = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("own_text"), text_or_empty(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *other).alias("rest"))
-    names = ["doc_id", "own_text", "rest"]
-
-    def score_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = pc.fill_null(pc.struct_field(batch["row"], text_col), "")
+            yield pa.RecordBatch.from_arrays([batch["row"], model.scores(texts)], names=["row", "score"])
+
+    wide = docs.select(F.struct(*docs.columns).alias("row"))
+    return wide.mapInArrow(score, T.StructType([wide.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **how) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
+
+    * A row is held out if crc32 of its identifier as text, modulo 4, is 2; such
+      labels are never learnt from. Labels, languages, sources and identifiers
+      are no features.
+    * The model is fitted on the driver from a bounded sample, ``most_toxic`` and
+      ``most_clean`` rows that come first by a hash of the identifier; only the
+      features of their whole texts that pass the screening get there
+      (``least`` sample rows or more, ``screen`` standard errors). Everything is scored.
+    * Null or empty texts have no features and get the intercept's score; null
+      labels aren't learnt from; of several labels of an identifier the largest
+      counts. Null identifiers are never held out nor labelled. Without labels of
+      both classes every score is the labels' rate (0.5 without any label). An empty table gives
+      an empty result; repeated rows get equal scores. A very long text is held
+      whole in a task. Other columns are not read.
+    """
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col, **how)
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x["score"] for x in score(iter([batch]))]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.concat_arrays(found) if found else pa.array([], pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], model.scores(batch["text"])], names=["doc_id", "score"])
 
-    kind = wide.schema["rest"].dataType.simpleString()
-    out = wide.mapInArrow(score_wide, f"doc_id bigint, own_text string, rest {kind}, score double")
-    return out.select("doc_id", F.col("own_text").alias(text_col), *[F.col("rest")[c].alias(c) for c in other], scores["held_out"].alias("held_out"), "score", scores["predicted"].alias("predicted"))
+    found = plain.mapInArrow(score, "doc_id bigint, score double")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from lorebase.llm.jaccard_join import ngram_jaccard, signatures
+from lorebase.llm.jaccard_join import Counts, head, ngram_jaccard, reaches
 
 
 def brute(rows, words, percent):
@@ -69,13 +69,29 @@ def test_empty_table_and_nulls(spark):
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90, 95])
-def test_small_sets_on_the_threshold_share_a_block(percent):
+def test_sets_on_the_threshold_share_a_token_of_their_heads(percent):
     r = np.random.default_rng(percent)
     pairs = [(a, b, o) for a in range(1, 31) for b in range(a, 41) for o in range(a + 1) if (a, b) != (o, o) and 100 * o >= percent * (a + b - o) and 100 * (o - 1) < percent * (a + b - o + 1)]
     for a, b, o in pairs * max(1, 4000 // len(pairs)):
         t = r.integers(0, 1 << 63, a + b - o, np.int64).astype(np.uint64)
         x, y = np.sort(t[:a]), np.sort(t[a - o :])
-        assert len(np.intersect1d(signatures(x, percent), signatures(y, percent))), (a, b, o)
+        frequent = np.sort(r.choice(t, r.integers(0, len(t) + 1), replace=False))
+        rank = r.permutation(len(frequent))
+        assert len(np.intersect1d(head(x, percent, frequent, rank), head(y, percent, frequent, rank))), (a, b, o)
+        assert reaches(x, y, max(a, b), percent)
+
+
+def test_counts_keep_the_most_frequent(monkeypatch):
+    from lorebase.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "COUNTED", 1000)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 8)
+    counts, r = Counts(), np.random.default_rng(1)
+    for i in range(300):
+        own = np.concatenate((np.arange(5, dtype=np.uint64), r.integers(10, 1 << 60, 20).astype(np.uint64)))
+        counts.add([own])
+    counts.close()
+    assert len(counts.tokens) <= 8 and dict(zip(counts.tokens.tolist(), counts.counts.tolist())).items() >= {i: 300 for i in range(5)}.items()
 
 
 @pytest.mark.parametrize("words,percent", [(5, 80), (3, 90)])
