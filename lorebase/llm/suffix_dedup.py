@@ -1,30 +1,38 @@
 """Repeated substrings by bucket-pointer refinement of sampled suffixes.
 
 A byte is removed if a string of ``width`` bytes that covers it also starts
-elsewhere, in any document. Suffixes are put into buckets by their first bytes,
-and buckets with more than one suffix are refined by the identifiers of buckets
-at later offsets until ``width`` bytes are told apart:
-
-* Identifiers double in depth: a position's bucket of 2q bytes is named by its
-  own bucket of q bytes and the bucket at the offset q further on. Names are
-  64-bit hashes of the pair, so every task finds the same names by itself.
-* Suffixes are sampled. Of the ``width - q + 1`` positions whose q-grams lie in a
-  string of ``width`` bytes, the one with the least bucket name (the first of
-  equals) is its anchor. Equal strings have their anchors at equal places, so
-  only suffixes at anchors need a common bucket: about one in 85.
-* Round 0 buckets anchors by their q-gram. A bucket with one suffix is final.
-* Round 1 refines by the buckets that tile the anchor's whole stretch: all
-  strings that it is the anchor of, at once. A stretch found twice is repeated.
-* Round 2 takes the stretches that are alone in a bucket with others (edges of
-  copied passages, places of edits) apart into their strings and refines these
-  by the buckets at the offsets that tile ``width`` bytes. The bytes of a
-  bucket's stretches meet in one task; a bucket with more than ``MANY`` distinct
-  stretches is dealt out string by string instead, combined before the shuffle.
-
-Texts travel twice, compressed row by row, and nothing else that is as large.
-
-A string's name is always compared together with the name of its anchor's
-bucket, so a match agrees in 128 bits.
+elsewhere, in any document. Suffixes are put into buckets by their first bytes;
+buckets are refined by the identifiers of the buckets at later offsets, and the
+refined identifiers are used again in the next round. Only members whose bucket
+has others go on.
+
+* Suffixes are sampled. Of the ``width - Q + 1`` positions whose q-grams lie in a
+  string of ``width`` bytes, the one with the least bucket is its anchor. Equal
+  strings have their anchors at equal places, so only suffixes at anchors need a
+  common bucket: about one in 85. A string is told by its anchor and its
+  distance, the bytes from its start to the anchor.
+* Initial buckets: the q-gram at the anchor. An anchor stands for a range of
+  distances, all strings that it is the anchor of.
+* A round. The strings of a member's range have some bytes in common (at first
+  just the q-gram). Members alone in their bucket are done: their strings occur
+  once. Members that agree on all bytes of their range are done, too: all their
+  strings are repeated; one of them goes on for the others. The ranges of what
+  is left are cut into cells of fewer distances (``CELLS``), so their strings have
+  more bytes in common, and each cell's bucket is refined: its new identifier is
+  made of the old one and the identifiers of the 128-byte buckets at the offsets
+  that tile the common bytes.
+* With cells of one distance the common bytes are the string, and all is told.
+
+An edge of a copied passage costs a cell or two a round, so the rows of all
+rounds grow with the number of edges, however many members a bucket has. No
+bucket meets in one task: members are counted in their buckets, combined before
+the shuffle, and joined to the counts, where skewed buckets are split.
+
+Identifiers are 64-bit hashes, so every task finds the same ones by itself
+(bytes double in depth: a position's bucket of 2q bytes is named by its own
+bucket of q bytes and that at the offset q further on). Members agree only where
+bucket and string name both do: 128 bits. Texts travel twice, compressed row by
+row, and nothing else that is as large.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import staged, text_or_empty
+from lorebase.llm.common import discard, staged, text_or_empty
 from lorebase.llm.kernel import CHUNK, CODES, U, chunks, flat, mix64
 
 Q = 32
@@ -84,9 +92,10 @@ def anchors(level: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return at[first], first, np.append(first[1:], n) - 1
 
 
-#: Buckets with more distinct stretches are dealt out string by string.
-MANY = 256
-_CONTEXT = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+#: Distances of a cell in each round after the first.
+CELLS = (25, 5, 1)
+#: A member's range in one number: distances of its first and of its last string.
+SPAN = 20
 #: Texts are worked on in pieces of so many bytes, overlapping by width - 1.
 PIECE = 1 << 20
 
@@ -99,26 +108,35 @@ def pieces(data: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(bucket, stretch name, first, last) of the anchors of one text of at least
+    """(bucket, name of all bytes, anchor, range) of the anchors of one text of at least
     ``width`` bytes. Strings of a piece start in it, so pieces share none."""
     found = []
     for base, part in pieces(data, width):
         levels = names(part, 128)
         gram = levels[Q.bit_length() - 1]
         at, first, last = anchors(gram, width - Q + 1)
-        bucket = mix64(gram[at])
         name = tiled(levels, first, last - first + width) ^ mix64((at - first).astype(U))
-        found.append((bucket, name, first + base, last + base))
+        found.append((mix64(gram[at]), name, at + base, (at - first) << SPAN | (at - last)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def string_names(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(names of all strings of ``width`` bytes in each part, their number in each)."""
-    sizes = np.array([len(x) - width + 1 for x in parts])
-    begins = np.cumsum([0, *map(len, parts)])[:-1]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    starts = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-    return tiled(names(data, 128), starts, width), sizes
+def refined(parts: list[bytes], origin: np.ndarray, at: np.ndarray, owner: np.ndarray, bucket: np.ndarray, span: np.ndarray, width: int, cell: int) -> tuple[np.ndarray, ...]:
+    """(member, bucket, name, range) of the cells of members.
+
+    ``parts`` are the bytes of texts from ``origin`` on and ``at`` their anchors;
+    ``owner`` gives each member's part, ``bucket`` its bucket and ``span`` its range."""
+    levels = names(np.frombuffer(b"".join(parts), np.uint8), 128)
+    begins = np.cumsum([0, *map(len, parts)])[:-1] + at - origin  # places of the anchors
+    far, near = span >> SPAN, span & ((1 << SPAN) - 1)
+    low = near // cell
+    n = far // cell - low + 1
+    own = np.repeat(np.arange(len(owner)), n)
+    c = low[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    place = begins[owner[own]]
+    common = tiled(levels, place - c * cell, width - cell + 1)
+    far, near = np.minimum(far[own], c * cell + cell - 1), np.maximum(near[own], c * cell)
+    name = tiled(levels, place - far, far - near + width) ^ mix64(far.astype(U))
+    return own, mix64(mix64(bucket[own]) + common * _TURN + c.astype(U)), name, far << SPAN | near
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -145,14 +163,14 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own_key = ["id", "key"]
 
     def initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["bucket", "name", "id", "key", "first", "last"]
+        columns = ["bucket", "name", "id", "key", "at", "span"]
         for batch in batches:
             for a, b, raw, offs in chunks(batch["text"], CHUNK):
                 identifiers, keys, rows = batch["id"].slice(a, b - a).to_numpy(), batch["key"].slice(a, b - a).to_numpy(), []
                 for i in range(b - a):
                     if offs[i + 1] - offs[i] >= width:
-                        bucket, name, first, last = stretches(raw[offs[i] : offs[i + 1]], width)
-                        rows.append((bucket, name, np.full(len(bucket), identifiers[i]), np.full(len(bucket), keys[i]), first, last))
+                        bucket, name, at, span = stretches(raw[offs[i] : offs[i + 1]], width)
+                        rows.append((bucket, name, np.full(len(bucket), identifiers[i]), np.full(len(bucket), keys[i]), at, span))
                 if rows:
                     bucket, name, *rest = (np.concatenate(x) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays([_signed(bucket), _signed(name), *map(pa.array, rest)], names=columns)
@@ -165,80 +183,70 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], batch["key"], pa.array(small, pa.binary())], names=["doc_id", "id", "key", "text"])
 
     pressed = plain.mapInArrow(press, "doc_id bigint, id bigint, key bigint, text binary")
-    # Round 0: q-gram buckets of the anchors. Counts are combined before they are dealt out.
-    found = plain.mapInArrow(initial, "bucket bigint, name bigint, id bigint, key bigint, first bigint, last bigint")
-    buckets = staged(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket"))
-    hits = staged(found.join(buckets, "bucket"))
-    # Round 1: sub-buckets by stretch, each with one example.
-    stretch = hits.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*own_key, "first", "last")).alias("x"))
-    sizes = stretch.groupBy("bucket").agg(F.count(F.lit(1)).alias("names"))
-    refined = staged(stretch.join(sizes, "bucket"))
-    whole = hits.join(refined.where("n > 1").select("bucket", "name"), ["bucket", "name"]).select(*own_key, F.col("first").alias("a"), F.col("last").alias("b"))
-    # Round 2: the strings of the distinct stretches of buckets with several.
-    apart = refined.where("names > 1").select("x.*", "bucket", (F.col("n") > 1).alias("known"), (F.col("names") > MANY).alias("many"))
-    per_text = apart.groupBy(*own_key).agg(F.collect_list(F.struct("bucket", "first", "last", "known", "many")).alias("parts"))
+
+    def refine(found: DataFrame, member: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(members whose strings are all repeated, members that go on) of one round's buckets.
+
+        Counts are combined before they are dealt out."""
+        buckets = staged(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket"))
+        hits = staged(found.join(buckets, "bucket"))
+        same = hits.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*member)).alias("x"))
+        sizes = same.groupBy("bucket").agg(F.count(F.lit(1)).alias("names"))
+        told = staged(same.join(sizes, "bucket").where("n > 1 OR names > 1"))
+        discard(buckets)
+        return hits.join(told.where("n > 1").select("bucket", "name"), ["bucket", "name"]).select(*member), told.where("names > 1").select("bucket", "x.*")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["bucket", "id", "key", "at", "known", "name", "part"]
+        """The bytes of each member's strings."""
+        kinds = {"id": pa.int64(), "key": pa.int64(), "at": pa.int64(), "origin": pa.int64(), "bucket": pa.int64(), "span": pa.int64(), "part": pa.binary()}
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows: list[tuple] = []
-            for identifier, own, text, parts in zip(batch["id"].to_pylist(), batch["key"].to_pylist(), batch["text"], batch["parts"]):
-                data, parts = expand(text.as_py()), parts.values
-                for bucket, first, last, known, many in zip(*(parts.field(c).to_pylist() for c in ("bucket", "first", "last", "known", "many"))):
-                    part = data[first : last + width]
-                    if many:
-                        name, _ = string_names([part], width)
-                        rows += [(bucket, identifier, own, first + i, known, x, None) for i, x in enumerate(name.view(np.int64).tolist())]
-                    else:
-                        rows.append((bucket, identifier, own, first, known, None, part))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CONTEXT)], names=columns)
+            for identifier, own, text, members in zip(batch["id"].to_pylist(), batch["key"].to_pylist(), batch["text"], batch["members"]):
+                data, members = expand(text.as_py()), members.values
+                for bucket, at, span in zip(*(members.field(c).to_pylist() for c in ("bucket", "at", "span"))):
+                    origin = at - (span >> SPAN)
+                    rows.append((identifier, own, at, origin, bucket, span, data[origin : at - (span & ((1 << SPAN) - 1)) + width]))
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CONTEXT)], names=columns)
-
-    parts = staged(pressed.join(per_text, own_key).select(*own_key, "text", "parts").mapInArrow(contexts, "bucket bigint, id bigint, key bigint, at bigint, known boolean, name bigint, part binary"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def close():
-            bucket = np.array([r[0] for r in held])
-            name, sizes = string_names([r[5] for r in held], width)
-            row = np.repeat(np.arange(len(held)), sizes)
-            at = np.arange(len(name)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.lexsort((name, bucket[row]))
-            same = (name[order][1:] == name[order][:-1]) & (bucket[row][order][1:] == bucket[row][order][:-1])
-            twice = np.zeros(len(name), bool)
-            twice[order[1:]] |= same
-            twice[order[:-1]] |= same
-            twice &= ~np.array([r[4] for r in held])[row]
-            opens = twice.copy()
-            opens[1:] &= ~(twice[:-1] & (row[1:] == row[:-1]))
-            shuts = twice.copy()
-            shuts[:-1] &= ~(twice[1:] & (row[1:] == row[:-1]))
-            a, b = np.flatnonzero(opens), np.flatnonzero(shuts)
-            base = np.array([r[3] for r in held])[row[a]]
-            identifier, own = (np.array([r[i] for r in held], np.int64)[row[a]] for i in (1, 2))
-            return pa.RecordBatch.from_arrays([pa.array(identifier), pa.array(own), pa.array(base + at[a]), pa.array(base + at[b])], names=["id", "key", "a", "b"])
-
-        for batch in batches:
-            for r in zip(*(batch[c].to_pylist() for c in ("bucket", "id", "key", "at", "known", "part"))):
-                if size > CHUNK and r[0] != held[-1][0]:
-                    yield close()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[5])
-        if held:
-            yield close()
-
-    few = parts.where("name IS NULL").select("bucket", *own_key, "at", "known", "part").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, key bigint, a bigint, b bigint")
-    strings = parts.where("name IS NOT NULL").select("bucket", "name", *own_key, "at", "known")
-    twice = strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = strings.where("NOT known").join(twice, ["bucket", "name"]).select(*own_key, F.col("at").alias("a"), F.col("at").alias("b"))
-    marks = whole.unionByName(few).unionByName(single).groupBy(*own_key).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def cells(cell: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = batch["part"].to_pylist()
+                sizes = np.cumsum([len(x) for x in parts])
+                item, origin, at = (batch[c].to_numpy() for c in ("item", "origin", "at"))
+                a = 0
+                while a < len(parts):
+                    b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK, "right")))
+                    lists = batch["members"].slice(a, b - a)
+                    owner = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                    own = lists.flatten()
+                    of, bucket, name, span = refined(parts[a:b], origin[a:b], at[a:b], owner, own.field("bucket").to_numpy().view(U), own.field("span").to_numpy(), width, cell)
+                    yield pa.RecordBatch.from_arrays([_signed(bucket), _signed(name), pa.array(item[a:b][owner[of]]), pa.array(span)], names=["bucket", "name", "item", "span"])
+                    a = b
+
+        return work
+
+    # Initial buckets: the q-grams of the anchors.
+    found = plain.mapInArrow(initial, "bucket bigint, name bigint, id bigint, key bigint, at bigint, span bigint")
+    whole, left = refine(found, [*own_key, "at", "span"])
+    per_text = left.groupBy(*own_key).agg(F.collect_list(F.struct("bucket", "at", "span")).alias("members"))
+    parts = pressed.join(per_text, own_key).select(*own_key, "text", "members").mapInArrow(contexts, "id bigint, key bigint, at bigint, origin bigint, bucket bigint, span bigint, part binary")
+    parts = staged(parts.withColumn("item", F.monotonically_increasing_id()))
+    work = parts.select("item", "origin", "at", "part", F.array(F.struct("bucket", "span")).alias("members"))
+    marks = whole
+    for cell in CELLS:
+        found = staged(work.select("item", "origin", "at", "part", "members").mapInArrow(cells(cell), "bucket bigint, name bigint, item bigint, span bigint"))
+        repeated, left = refine(found, ["item", "span"])
+        marks = marks.unionByName(repeated.join(parts.select("item", *own_key, "at"), "item").drop("item"))
+        discard(found)
+        work = parts.drop("bucket", "span").join(left.groupBy("item").agg(F.collect_list(F.struct("bucket", "span")).alias("members")), "item")
+    far, near = F.shiftright("span", SPAN), F.col("span").bitwiseAND(F.lit((1 << SPAN) - 1))
+    marks = marks.groupBy(*own_key).agg(F.collect_set(F.struct((F.col("at") - far).alias("a"), (F.col("at") - near).alias("b"))).alias("marks"))
 
     out_type = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<a:bigint,b:bigint>>, kept binary" if with_text else "")
 

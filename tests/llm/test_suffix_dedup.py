@@ -47,10 +47,10 @@ def corpus(seed):
     return texts + [texts[20], texts[21]]
 
 
-@pytest.mark.parametrize("many", [256, 2])
-def test_against_brute_force(spark, monkeypatch, many):
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
-    texts = corpus(many)
+@pytest.mark.parametrize("seed,cells", [(256, (25, 5, 1)), (2, (1,)), (3, (60, 7, 2, 1))])
+def test_against_brute_force(spark, monkeypatch, seed, cells):
+    monkeypatch.setattr(suffix_dedup, "CELLS", cells)
+    texts = corpus(seed)
     rows = [(i, t) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in suffix_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, want in enumerate(brute(texts, 200)):
@@ -76,7 +76,8 @@ def test_pieces_of_long_texts(monkeypatch):
     whole = suffix_dedup.stretches(data, 200)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     cut = suffix_dedup.stretches(data, 200)
-    for _, _, first, last in (whole, cut):
+    for _, _, at, span in (whole, cut):
+        first, last = at - (span >> suffix_dedup.SPAN), at - (span & ((1 << suffix_dedup.SPAN) - 1))
         assert first[0] == 0 and last[-1] == len(data) - 200
         assert (first[1:] == last[:-1] + 1).all()
     assert set(whole[0].tolist()) == set(cut[0].tolist())
