@@ -15,18 +15,19 @@ with its union reaches what the similarity asks for.
   order gives the same links.
 * Groups have about ``GROUP`` members and ``GROUP_TOKENS`` tokens: sets that share
   the most common token of their heads, dealt by a hash.
-* Bound. Of two groups that share a token of the matrix, the unions meet first.
-  A set x of the one can link with a set y of the other only if they share
-  percent / 100 of the larger, so the unions have to share that much of the
-  larger of both groups' smallest sets. Other pairs of groups stay closed.
+* Bound. The number of tokens that two groups share in the matrix has to reach
+  what their sizes ask of heads. Then their unions meet: a set x of the one can
+  link with a set y of the other only if they share percent / 100 of the larger,
+  so the unions have to share that much of the larger of both groups' smallest
+  sets. Other pairs of groups stay closed.
 * Opening. Each set of the one group is bounded against the union of the other,
   then compared with the members.
 
 Groups are first opened on their own, then each with the first of those that
-share its token; what is then linked belongs to one component, and pairs of
-groups whose members are all of one component need not be opened any more. So
-very many similar sets cost pairs of groups only where links are missing, and
-no link between different components is lost.
+share its token. What is then linked belongs to one component, members are
+grouped anew by component, and only groups of different components can still
+be opened. So very many similar sets cost pairs of groups only where links are
+missing, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,28 +299,32 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits = np.zeros(FILTER_BITS >> 6, U)
     bits[marks["at"].to_numpy()] = marks["bits"].to_numpy().view(U)
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for a, b, raw, offs in chunks(batch["text"], CHUNK):
                 names, ids, own = [], [], []
-                for i, t in zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingles(raw, offs, words)):
+                for i, (rep, t) in enumerate(zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingles(raw, offs, words))):
                     if len(t):
-                        place = ((sid_of(x := set_name(t)) ^ i) & (FILTER_BITS - 1))
+                        place = (sid_of(x := set_name(t)) ^ rep) & (FILTER_BITS - 1)
                         if int(bits[place >> 6]) >> (place & 63) & 1:
                             names.append(x)
-                            ids.append(i)
-                            own.append(t.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["set", "rep", "tokens"])
+                            ids.append(rep)
+                            own.append(squeeze(raw[offs[i] : offs[i + 1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["set", "rep", "text"])
 
-    near = plain.mapInArrow(tokens, "set binary, rep bigint, tokens binary")
+    # A compressed text is a fraction of its tokens, which are made of it where a group is opened.
+    near = plain.mapInArrow(pick, "set binary, rep bigint, text binary")
     members = staged(near.join(wanted.select("set", "rep", "home", "part"), ["set", "rep"]).drop("rep").dropDuplicates(["set"]))
 
     def pack(frame: DataFrame, *key: str) -> DataFrame:
-        return frame.groupBy(*key).agg(F.collect_list(F.struct("set", "component", "tokens")).alias("members"))
+        return frame.groupBy(*key).agg(F.collect_list(F.struct("set", "component", "text")).alias("members"))
 
     def read(value):
-        own = value.values
-        return [own.field("set").to_pylist(), own.field("component").to_pylist(), [np.frombuffer(t, U) for t in own.field("tokens").to_pylist()]]
+        own, expand = value.values, zstandard.ZstdDecompressor().decompress
+        texts = [expand(x) for x in own.field("text").to_pylist()]
+        data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        return [own.field("set").to_pylist(), own.field("component").to_pylist(), list(shingles(data, offs, words))]
 
     def join_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups on their own: each member's component, named by its least set."""
@@ -341,12 +347,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(sets_, pa.binary()), pa.array(labels, pa.binary())], names=["set", "component"])
 
     def unions_of(packed: DataFrame) -> DataFrame:
-        """(group, tokens, least, most) of packed groups: the stored unions."""
+        """(group, tokens, least, most) of packed groups: the stored unions, as 32-bit
+        names of their tokens. Names may be equal, so overlaps are bounded from above."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = [read(x)[2] for x in batch["members"]]
-                columns = [batch["group"], pa.array([np.unique(np.concatenate(t)).tobytes() for t in own], pa.binary()), pa.array([min(map(len, t)) for t in own], pa.int64()), pa.array([max(map(len, t)) for t in own], pa.int64())]
+                columns = [batch["group"], pa.array([np.sort((np.unique(np.concatenate(t)) >> U(32)).astype(np.uint32)).tobytes() for t in own], pa.binary()), pa.array([min(map(len, t)) for t in own], pa.int64()), pa.array([max(map(len, t)) for t in own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["group", "tokens", "least", "most"])
 
         return packed.select("group", "members").mapInArrow(work, "group bigint, tokens binary, least bigint, most bigint")
@@ -356,7 +363,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [reaches(np.frombuffer(x, U), np.frombuffer(y, U), n, percent) for x, y, n in zip(batch["tx"].to_pylist(), batch["ty"].to_pylist(), batch["least"].to_pylist())]
+                keep = [reaches(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, percent) for x, y, n in zip(batch["tx"].to_pylist(), batch["ty"].to_pylist(), batch["least"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep, pa.bool_())) for c in ("g", "h")], names=["g", "h"])
 
         x = unions.select(F.col("group").alias("g"), F.col("tokens").alias("tx"), F.col("least").alias("lx"), F.col("most").alias("mx"))
@@ -365,14 +372,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return near.select("g", "h", "tx", "ty", F.greatest("lx", "ly").alias("least")).mapInArrow(bound, "g bigint, h bigint")
 
     def open_groups(pairs: DataFrame, store: DataFrame) -> DataFrame:
-        """Links (a, b) of components from pairs of groups ``g``, ``h``; h is null for a group on its own."""
+        """Links (a, b) of components from pairs of groups ``g``, ``h``."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a, b = [], []
                 for x, y in zip(batch["x"], batch["y"]):
-                    _, cx, tx = read(x)
-                    _, cy, ty = read(y) if y.is_valid else (None, cx, None)
+                    (_, cx, tx), (_, cy, ty) = read(x), read(y)
                     for i, j in verify(tx, ty, percent, cx, cy):
                         a.append(cx[i])
                         b.append(cy[j])
@@ -380,16 +386,16 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         x = store.select(F.col("group").alias("g"), F.col("members").alias("x"))
         y = store.select(F.col("group").alias("h"), F.col("members").alias("y"))
-        return pairs.join(x, "g").join(y, "h", "left").select("x", "y").mapInArrow(work, "a binary, b binary")
+        return pairs.join(x, "g").join(y, "h").select("x", "y").mapInArrow(work, "a binary, b binary")
 
     def merged(labelled: DataFrame, links: DataFrame) -> DataFrame:
         """``labelled`` with the components that ``links`` joins made one."""
         found = components(links).select(F.col("node").alias("component"), F.col("component").alias("__to"))
         return labelled.join(found, "component", "left").withColumn("component", F.coalesce("__to", "component")).drop("__to")
 
-    # Tokens are read from `members` only to pack groups; labels travel without them.
+    # Texts are read from `members` only to pack groups; labels travel without them.
     alone = pack(members.withColumn("component", F.col("set")), "home", "part").select("members")
-    with rows_per_batch(spark, 16):  # a row is a group's tokens
+    with rows_per_batch(spark, 16):  # a row is a group's texts
         labels = staged(alone.mapInArrow(join_within, "set binary, component binary"))
     place = members.select("set", "home", "part")
 
@@ -405,46 +411,38 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(store, unions)
     now = staged(place.join(labels, "set"))
 
-    # What is left: pairs of groups that share a token and are not of one component.
-    # Components with more than GROUP members of a home get groups of their own, the
-    # others of the home share some. Counts meet the members on a hash of home and
-    # component, in a join that splits skewed keys.
-    size = now.join(classes.select("set", "n"), "set").groupBy("home", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"))
-    rest = size.where(F.col("size") <= GROUP).groupBy("home").agg(F.sum("size").alias("rest"), F.sum("volume").alias("rest_volume"))
-    own = F.col("size") > GROUP
-    plan = size.join(rest, "home", "left").select(
-        F.xxhash64("home", "component").alias("spot"),
-        F.xxhash64("home", F.when(own, F.col("component")).otherwise(F.lit(b""))).alias("family"),
-        F.ceil(F.when(own, F.greatest(F.col("size") / GROUP, F.col("volume") / GROUP_TOKENS)).otherwise(F.greatest(F.col("rest") / GROUP, F.col("rest_volume") / GROUP_TOKENS))).alias("parts"),
-    )
-    group = F.xxhash64("family", F.pmod(F.xxhash64("set"), F.col("parts")))
-    placed = staged(now.withColumn("spot", F.xxhash64("home", "component")).join(plan, "spot").select("set", "component", group.alias("group")))
-    about = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    # The matrix, with a label for each group: its component, or its own name if it
-    # holds several. Tokens meet label by label, so a token whose groups are all of
-    # one component opens nothing, however many they are.
-    label = F.when(F.col("low") == F.col("high"), F.concat(F.lit("c"), F.hex("low"))).otherwise(F.concat(F.lit("g"), F.col("group").cast("string")))
-    matrix = held.select("token", "set").join(placed.select("set", "group"), "set").select("token", "group").distinct().join(about.select("group", label.alias("label")), "group")
-    matrix = staged(matrix.select("token", "group", "label"))
-    # Tokens held by the same labels ask the same question: one of them stands for all.
-    cells = matrix.select("token", "label").distinct()
-    rows = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("label")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "label")).alias("y"), F.sum(F.pmod(F.xxhash64("label"), F.lit(1 << 31))).alias("s")).where("n > 1")
-    asked = rows.groupBy("n", "x", "y", "s").agg(F.min("token").alias("token")).select("token")
+    # What is left: pairs of components that share tokens of the matrix. Members are
+    # put into new groups, by component.
+    sized = now.join(classes.select("set", "n"), "set").select("set", "component", "n")
+    per = staged(sized.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), F.min("n").alias("least"), F.max("n").alias("most")))
+    parts = F.ceil(F.greatest(F.col("size") / GROUP, F.col("volume") / GROUP_TOKENS))
+    placed = staged(sized.join(per, "component").select("set", "component", F.xxhash64("component", F.pmod(F.xxhash64("set"), parts)).alias("group")))
+    cells = staged(held.select("token", "set").join(placed, "set").select("token", "component").distinct())
+    # Tokens held by the same components ask the same question: one of them stands for all.
+    name = F.xxhash64("component")
+    rows = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "component")).alias("y"), F.sum(F.pmod(name, F.lit(1 << 31))).alias("s")).where("n > 1")
+    asked = rows.groupBy("n", "x", "y", "s").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("tokens")).select("token", "tokens")
     cells = staged(cells.join(asked, "token"))
-    meeting = cells.alias("x").join(cells.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.label").alias("lx"), F.col("y.label").alias("ly")).distinct()
-    meeting = staged(meeting)
-    # Labels back to their groups, over the tokens that both share.
-    sides = matrix.select("token", "group", "label")
-    pairs = meeting.join(sides.select(F.col("label").alias("lx"), F.col("group").alias("g"), "token"), "lx").join(sides.select(F.col("label").alias("ly"), F.col("group").alias("h"), "token"), ["ly", "token"])
-    pairs = staged(pairs.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct())
-    inside = about.where("low <> high").select(F.col("group").alias("g"))
-    opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).unionByName(inside.select(F.col("g").alias("group"))).distinct()
-    store = staged(pack(members.select("set", "tokens").join(placed.join(opened, "group", "left_semi"), "set"), "group"))
+    x, y = cells.select("token", "tokens", F.col("component").alias("cx")), cells.select("token", F.col("component").alias("cy"))
+    met = x.join(y, "token").where("cx < cy").groupBy("cx", "cy").agg(F.sum("tokens").alias("shared"))
+    # Heads of linked sets of sizes a >= b share t (b - t a) / (1 + t) tokens or more, with t
+    # = percent / 100: they share t (a + b) / (1 + t), of which at most t a are past a head.
+    # (One less is asked for, as names of tokens may be equal.)
+    t = percent / 100
+    sizes = lambda c: per.select(F.col("component").alias(f"c{c}"), F.col("least").alias(f"l{c}"), F.col("most").alias(f"m{c}"))
+    asks = F.least(F.col("ly") - t * F.col("mx"), F.col("lx") - t * F.col("my")) * (t / (1 + t))
+    near_by = (100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx"))
+    met = staged(met.join(sizes("x"), "cx").join(sizes("y"), "cy").where(near_by & (F.col("shared") + 1 >= asks)).select("cx", "cy"))
+    groups = staged(placed.select("component", "group").distinct())
+    pairs = met.join(groups.select(F.col("component").alias("cx"), F.col("group").alias("g")), "cx").join(groups.select(F.col("component").alias("cy"), F.col("group").alias("h")), "cy").select("g", "h")
+    pairs = staged(pairs)
+    opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).distinct()
+    store = staged(pack(members.select("set", "text").join(placed.join(opened, "group", "left_semi"), "set"), "group"))
     with rows_per_batch(spark, 16):
         unions = staged(unions_of(store))
-        pairs = staged(qualifying(pairs, unions).unionByName(inside.withColumn("h", F.lit(None).cast("bigint"))))
+        pairs = staged(qualifying(pairs, unions))
         found = staged(merged(now.select("set", "component"), open_groups(pairs, store)))
-    discard(store, unions, members)
+    discard(store, unions, members, held, cells)
 
     # Sets to identifiers.
     named = staged(classes.join(found, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component")))
