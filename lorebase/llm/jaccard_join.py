@@ -50,7 +50,9 @@ GROUP_TOKENS = 1 << 18
 #: Tokens known as frequent: a bound of what is broadcast and of a task's counters.
 FREQUENT = 1 << 17
 #: Tokens that a task counts at once.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
+#: Texts handed to Python at a time.
+TEXTS = 2000
 #: Bits of the filter that keeps sets without candidates from travelling.
 FILTER_BITS = 1 << 26
 NO_ID = (1 << 63) - 1
@@ -272,7 +274,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         none = pa.nulls(len(counts.tokens), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(counts.tokens.view(np.int64)), pa.array(counts.counts)], names=columns)
 
-    first = staged(hashed.mapInArrow(sets, "doc_id bigint, text_hash bigint, n bigint, set binary, token bigint, count bigint"))
+    with rows_per_batch(spark, TEXTS):
+        first = staged(hashed.mapInArrow(sets, "doc_id bigint, text_hash bigint, n bigint, set binary, token bigint, count bigint"))
     signed = first.where("n IS NOT NULL").drop("token", "count")
     most = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT)
     frequent = most.select("token").toArrow()["token"].to_numpy().view(U)  # at most FREQUENT numbers, by falling count
@@ -282,7 +285,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = staged(signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     sid = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("bigint").bitwiseAND(F.lit(NO_ID))
     by_sid = classes.select("set", "n", sid.alias("sid"))
-    shared = staged(shared_tokens(plain, words, percent, shuffle_partitions(spark), frequent, rank))
+    with rows_per_batch(spark, TEXTS):
+        shared = staged(shared_tokens(plain, words, percent, shuffle_partitions(spark), frequent, rank))
     held = shared.join(by_sid, "sid").select("token", "set", "n")
     counted = held.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.sum("n").alias("volume")).where("holders > 1")
     held = staged(held.drop("n").join(counted, "token"))
@@ -315,7 +319,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # A compressed text is a fraction of its tokens, which are made of it where a group is opened.
     near = plain.mapInArrow(pick, "set binary, rep bigint, text binary")
-    members = staged(near.join(wanted.select("set", "rep", "home", "part"), ["set", "rep"]).drop("rep").dropDuplicates(["set"]))
+    with rows_per_batch(spark, TEXTS):
+        members = staged(near.join(wanted.select("set", "rep", "home", "part"), ["set", "rep"]).drop("rep").dropDuplicates(["set"]))
 
     def pack(frame: DataFrame, *key: str) -> DataFrame:
         return frame.groupBy(*key).agg(F.collect_list(F.struct("set", "component", "text")).alias("members"))
