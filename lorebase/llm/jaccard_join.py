@@ -43,16 +43,16 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.common import discard, rows_per_batch, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.components import components
-from lorebase.llm.kernel import CHUNK, U, chunks, mix64, shingles
+from lorebase.llm.kernel import U, chunks, mix64, shingles
 
 GROUP = 32
-GROUP_TOKENS = 1 << 18
+GROUP_TOKENS = 1 << 16
 #: Tokens known as frequent: a bound of what is broadcast and of a task's counters.
 FREQUENT = 1 << 17
 #: Tokens that a task counts at once.
 COUNTED = 1 << 20
-#: Texts handed to Python at a time.
-TEXTS = 2000
+#: Texts handed to Python at a time, and bytes of them worked on at once.
+TEXTS, PIECE = 2000, 1 << 18
 #: Bits of the filter that keeps sets without candidates from travelling.
 FILTER_BITS = 1 << 26
 NO_ID = (1 << 63) - 1
@@ -172,7 +172,7 @@ def shared_tokens(plain: DataFrame, words: int, percent: int, parts: int, freque
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, sid, seen = [], [], set()
-            for _, _, raw, offs in chunks(batch["text"], CHUNK):
+            for _, _, raw, offs in chunks(batch["text"], PIECE):
                 for t in shingles(raw, offs, words):
                     if len(t) and (x := set_name(t)) not in seen:
                         seen.add(x)
@@ -265,7 +265,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, counts = ["doc_id", "text_hash", "n", "set", "token", "count"], Counts()
         for batch in batches:
-            for a, b, raw, offs in chunks(batch["text"], CHUNK):
+            for a, b, raw, offs in chunks(batch["text"], PIECE):
                 own = list(shingles(raw, offs, words))
                 counts.add(own)
                 none = pa.nulls(b - a, pa.int64())
@@ -306,7 +306,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for a, b, raw, offs in chunks(batch["text"], CHUNK):
+            for a, b, raw, offs in chunks(batch["text"], PIECE):
                 names, ids, own = [], [], []
                 for i, (rep, t) in enumerate(zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingles(raw, offs, words))):
                     if len(t):
@@ -327,9 +327,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def read(value):
         own, expand = value.values, zstandard.ZstdDecompressor().decompress
-        texts = [expand(x) for x in own.field("text").to_pylist()]
-        data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-        return [own.field("set").to_pylist(), own.field("component").to_pylist(), list(shingles(data, offs, words))]
+        texts = pa.array([expand(x) for x in own.field("text").to_pylist()], pa.binary())
+        tokens = [t for _, _, data, offs in chunks(texts, PIECE) for t in shingles(data, offs, words)]
+        return [own.field("set").to_pylist(), own.field("component").to_pylist(), tokens]
 
     def join_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups on their own: each member's component, named by its least set."""

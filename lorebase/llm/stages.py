@@ -12,28 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import divided, fresh, read, scratch, shuffle_partitions, staged, text_or_empty
+from lorebase.llm.common import divided, fresh, read, rows_per_batch, scratch, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.curriculum import curriculum_mix, training_position
 from lorebase.llm.exact_dedup import exact_dedup
 from lorebase.llm.jaccard_join import ngram_jaccard
 from lorebase.llm.packing import pack_documents
 from lorebase.llm.queries import tokenizer_file
-from lorebase.llm.toxicity import fit_toxicity, scored
+from lorebase.llm.toxicity import TEXTS, fit_toxicity, scored
 
 #: Rows that score this much or more are toxic.
 TOXIC = 0.3
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold, row by row. Where labels of
-    both classes are missing there is no model, and nothing is dropped."""
-    with scratch(spark):
-        model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    if not model.fitted:
-        return docs
-    return scored(docs, model).where(F.col("score") < TOXIC).select("row.*")
-
-
 def with_verdict(docs: DataFrame, verdict: DataFrame, text_key: Column) -> DataFrame:
     """``docs`` without the rows that ``verdict`` (doc_id, key, kept) drops; of rows
     repeated with a kept identifier and key one stays. Rows without a verdict stay."""
@@ -48,6 +38,18 @@ def with_verdict(docs: DataFrame, verdict: DataFrame, text_key: Column) -> DataF
     return clear.unionAll(met.where(none).select(*docs.columns)).unionAll(chosen.select(*docs.columns))
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold, row by row. Where labels of
+    both classes are missing there is no model, and nothing is dropped."""
+    with scratch(spark), rows_per_batch(spark, TEXTS):
+        model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+        if not model.fitted:
+            return docs
+        toxic = scored(docs, model).where(F.col("score") >= TOXIC).select("doc_id", F.col("text_hash").alias("key"), F.lit(False).alias("kept")).distinct()
+        toxic = staged(toxic, keep=True)
+    return with_verdict(docs, toxic, F.xxhash64(text_or_empty("text")))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text; null and empty texts are one text."""
     with scratch(spark):

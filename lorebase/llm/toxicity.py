@@ -22,15 +22,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lorebase.llm.common import discard, staged, text_or_empty
+from lorebase.llm.common import discard, rows_per_batch, staged, text_or_empty
 from lorebase.llm.kernel import CHUNK, LOWER, chunks, flat, prefix, spans_hash
 
 BITS = 20
+#: Texts handed to Python at a time.
+TEXTS = 2000
 STEMS = (3, 4, 5, 6)
 #: Groups of terms that may stand for each other.
 IDENTITY_TERMS = (
@@ -222,7 +222,8 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), ints, ints))], names=["doc_id", "label", "pair", "a", "b"])
 
     # The sample has at most most_toxic + most_clean rows of two numbers: safe to broadcast.
-    gathered = staged(plain.join(F.broadcast(sample), "doc_id").mapInArrow(gather, "doc_id bigint, label int, pair int, a array<int>, b array<int>"))
+    with rows_per_batch(docs.sparkSession, TEXTS):
+        gathered = staged(plain.join(F.broadcast(sample), "doc_id").mapInArrow(gather, "doc_id bigint, label int, pair int, a array<int>, b array<int>"))
     whole = gathered.where("pair = 0")
     size = whole.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("n1")).first()
     n, n1 = size["n"], size["n1"]
@@ -255,21 +256,19 @@ def fit_toxicity(
     return Model(*(fit([decode(r["a"]) for r in own], y, weights, [(decode(r["a"]), decode(r["b"])) for r in found if r["pair"]], kept) if own else (np.zeros(0, np.int64), np.zeros(0), 0.0)), fitted)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``row`` (a struct of all columns of ``docs``) and ``score``: rows pass through whole,
-    so no name of theirs can clash."""
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, score`` of every row; only these come back from Python."""
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(pc.struct_field(batch["row"], text_col), "")
-            yield pa.RecordBatch.from_arrays([batch["row"], model.scores(texts)], names=["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], model.scores(batch["text"])], names=["doc_id", "text_hash", "score"])
 
-    wide = docs.select(F.struct(*docs.columns).alias("row"))
-    return wide.mapInArrow(score, T.StructType([wide.schema["row"], T.StructField("score", T.DoubleType())]))
+    return plain.mapInArrow(score, "doc_id bigint, text_hash bigint, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **how) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
+    """One row per row of ``docs``: ``doc_id, held_out, score, predicted, text_hash``.
 
     * A row is held out if crc32 of its identifier as text, modulo 4, is 2; such
       labels are never learnt from. Labels, languages, sources and identifiers
@@ -286,11 +285,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
       whole in a task. Other columns are not read.
     """
     model = fit_toxicity(docs, labels, id_col, text_col, label_col, **how)
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], model.scores(batch["text"])], names=["doc_id", "score"])
-
-    found = plain.mapInArrow(score, "doc_id bigint, score double")
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    found = scored(docs, model, id_col, text_col)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")

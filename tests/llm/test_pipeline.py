@@ -51,13 +51,18 @@ def test_stages(spark, corpus):
     d, rows, toxic = corpus
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "mix_sources", "packing"]
-    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("__key", F.lit(1)).withColumn("extra", F.array(F.lit(2)))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    # Columns of names that stages or operators use; their values have to come through.
+    clashing = ("score", "predicted", "held_out", "key", "kept", "__key", "__stage_id", "__position", "size", "target", "taken", "row", "text_hash")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in clashing}).withColumn("extra", F.array(F.col("doc_id")))
     columns = docs.columns
 
     def run(name, frame):
         out = staged(stages[name](spark, frame, d))
         assert out.columns == columns
-        return out, out.collect()
+        rows = out.collect()
+        assert all(x[c] == f"{c} {x['doc_id']}" for x in rows for c in clashing) and all(x["extra"] == [x["doc_id"]] for x in rows)
+        return out, rows
 
     clean, got = run("toxicity", docs)
     kept = Counter(x["doc_id"] for x in got)
@@ -112,3 +117,36 @@ def test_run_and_empty_tables(spark, corpus, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_model_drops_nothing(spark, corpus, tmp_path):
+    d, rows, _ = corpus
+    stage = dict(corpus_pipeline.STAGES)["toxicity"]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, labels in (("none", []), ("one", [(1, 1, 1)]), ("null", [(1, 1, None), (None, 1, 1)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert stage(spark, docs, f"{tmp_path}/{name}").count() == len(rows)
+
+
+def test_rows_that_share_an_identifier_go_their_own_ways(spark, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base + " end"
+    rows = [(1, base, "a"), (1, "quite other words that nothing else here has", "a"), (2, near, "a"), (2, "different words again of which there are no copies", "b"), (None, near + " x", "a"), (None, "no identifier and no copy of these words either", None), (3, None, "a"), (3, "", "b"), (None, base, "a"), (4, base, "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    copies = [(r["doc_id"], r["text"]) for r in stages["exact_dedup"](spark, docs, "").collect()]
+    assert len(copies) == 7 and (4, base) in copies and (1, base) not in copies and len([t for _, t in copies if not t]) == 1
+    left = staged(stages["ngram_jaccard_join"](spark, staged(stages["exact_dedup"](spark, docs, "")), "")).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in left) == sorted([(1, "quite"), (2, near[:5]), (2, "diffe"), (0, "no id"), (3, "")])
+    mixed = stages["mix_sources"](spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in mixed} >= {(3, None), (3, "")} and all(r["source"] in ("a", "b", None) for r in mixed)
+    assert sum(len((r["text"] or "").split()) for r in mixed) == pytest.approx(1.5 * sum(len((t or "").split()) for _, t, _ in rows), abs=130)
+
+
+def test_two_runs_in_one_driver(spark, corpus):
+    d, _, _ = corpus
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    first, second = stages[1](spark, docs, d), stages[1](spark, docs, d)
+    third = stages[2](spark, staged(second), d)
+    assert first.count() == staged(second).count() >= third.count()
