@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,24 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def releasing(work):
+    """``work`` for ``mapInArrow``; a worker lives on after a task, so it hands back what the task has freed."""
+
+    @functools.wraps(work)
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for x in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(x)

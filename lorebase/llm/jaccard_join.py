@@ -41,14 +41,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import discard, rows_per_batch, shuffle_partitions, staged, text_or_empty
+from lorebase.llm.common import discard, releasing, rows_per_batch, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.components import components
 from lorebase.llm.kernel import U, chunks, mix64, shingles
 
 GROUP = 32
 GROUP_TOKENS = 1 << 16
 #: Tokens known as frequent: a bound of what is broadcast and of a task's counters.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: Tokens that a task counts at once.
 COUNTED = 1 << 20
 #: Texts handed to Python at a time, and bytes of them worked on at once.
@@ -232,8 +232,8 @@ def shared_tokens(plain: DataFrame, words: int, percent: int, parts: int, freque
                 sids.append(sid)
         yield from close()
 
-    packed = plain.select("text").mapInArrow(deal, "part int, names binary, sids binary, shared int")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "token bigint, sid bigint").distinct()
+    packed = plain.select("text").mapInArrow(releasing(deal), "part int, names binary, sids binary, shared int")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(releasing(meet), "token bigint, sid bigint").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -275,12 +275,12 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(counts.tokens.view(np.int64)), pa.array(counts.counts)], names=columns)
 
     with rows_per_batch(spark, TEXTS):
-        first = staged(hashed.mapInArrow(sets, "doc_id bigint, text_hash bigint, n bigint, set binary, token bigint, count bigint"))
+        first = staged(hashed.mapInArrow(releasing(sets), "doc_id bigint, text_hash bigint, n bigint, set binary, token bigint, count bigint"))
     signed = first.where("n IS NOT NULL").drop("token", "count")
     most = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT)
     frequent = most.select("token").toArrow()["token"].to_numpy().view(U)  # at most FREQUENT numbers, by falling count
     order = np.argsort(frequent)
-    frequent, rank = frequent[order], (len(order) - order).astype(np.int64)
+    frequent, rank = frequent[order], (len(order) - order).astype(np.int32)
 
     classes = staged(signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     sid = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("bigint").bitwiseAND(F.lit(NO_ID))
@@ -318,7 +318,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["set", "rep", "text"])
 
     # A compressed text is a fraction of its tokens, which are made of it where a group is opened.
-    near = plain.mapInArrow(pick, "set binary, rep bigint, text binary")
+    near = plain.mapInArrow(releasing(pick), "set binary, rep bigint, text binary")
     with rows_per_batch(spark, TEXTS):
         members = staged(near.join(wanted.select("set", "rep", "home", "part"), ["set", "rep"]).drop("rep").dropDuplicates(["set"]))
 
@@ -361,7 +361,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 columns = [batch["group"], pa.array([np.sort((np.unique(np.concatenate(t)) >> U(32)).astype(np.uint32)).tobytes() for t in own], pa.binary()), pa.array([min(map(len, t)) for t in own], pa.int64()), pa.array([max(map(len, t)) for t in own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["group", "tokens", "least", "most"])
 
-        return packed.select("group", "members").mapInArrow(work, "group bigint, tokens binary, least bigint, most bigint")
+        return packed.select("group", "members").mapInArrow(releasing(work), "group bigint, tokens binary, least bigint, most bigint")
 
     def qualifying(pairs: DataFrame, unions: DataFrame) -> DataFrame:
         """The pairs (g, h) of groups that the bound leaves."""
@@ -374,7 +374,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         x = unions.select(F.col("group").alias("g"), F.col("tokens").alias("tx"), F.col("least").alias("lx"), F.col("most").alias("mx"))
         y = unions.select(F.col("group").alias("h"), F.col("tokens").alias("ty"), F.col("least").alias("ly"), F.col("most").alias("my"))
         near = pairs.join(x, "g").join(y, "h").where((100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx")))
-        return near.select("g", "h", "tx", "ty", F.greatest("lx", "ly").alias("least")).mapInArrow(bound, "g bigint, h bigint")
+        return near.select("g", "h", "tx", "ty", F.greatest("lx", "ly").alias("least")).mapInArrow(releasing(bound), "g bigint, h bigint")
 
     def open_groups(pairs: DataFrame, store: DataFrame) -> DataFrame:
         """Links (a, b) of components from pairs of groups ``g``, ``h``."""
@@ -391,7 +391,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         x = store.select(F.col("group").alias("g"), F.col("members").alias("x"))
         y = store.select(F.col("group").alias("h"), F.col("members").alias("y"))
-        return pairs.join(x, "g").join(y, "h").select("x", "y").mapInArrow(work, "a binary, b binary")
+        return pairs.join(x, "g").join(y, "h").select("x", "y").mapInArrow(releasing(work), "a binary, b binary")
 
     def merged(labelled: DataFrame, links: DataFrame) -> DataFrame:
         """``labelled`` with the components that ``links`` joins made one."""
@@ -401,7 +401,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Texts are read from `members` only to pack groups; labels travel without them.
     alone = pack(members.withColumn("component", F.col("set")), "home", "part").select("members")
     with rows_per_batch(spark, 16):  # a row is a group's texts
-        labels = staged(alone.mapInArrow(join_within, "set binary, component binary"))
+        labels = staged(alone.mapInArrow(releasing(join_within), "set binary, component binary"))
     place = members.select("set", "home", "part")
 
     # Each group with the first one of the same home.

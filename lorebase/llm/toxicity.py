@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import discard, rows_per_batch, staged, text_or_empty
+from lorebase.llm.common import discard, releasing, rows_per_batch, staged, text_or_empty
 from lorebase.llm.kernel import CHUNK, LOWER, chunks, flat, prefix, spans_hash
 
 BITS = 20
@@ -223,7 +223,7 @@ def fit_toxicity(
 
     # The sample has at most most_toxic + most_clean rows of two numbers: safe to broadcast.
     with rows_per_batch(docs.sparkSession, TEXTS):
-        gathered = staged(plain.join(F.broadcast(sample), "doc_id").mapInArrow(gather, "doc_id bigint, label int, pair int, a array<int>, b array<int>"))
+        gathered = staged(plain.join(F.broadcast(sample), "doc_id").mapInArrow(releasing(gather), "doc_id bigint, label int, pair int, a array<int>, b array<int>"))
     whole = gathered.where("pair = 0")
     size = whole.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("n1")).first()
     n, n1 = size["n"], size["n1"]
@@ -264,7 +264,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], model.scores(batch["text"])], names=["doc_id", "text_hash", "score"])
 
-    return plain.mapInArrow(score, "doc_id bigint, text_hash bigint, score double")
+    return plain.mapInArrow(releasing(score), "doc_id bigint, text_hash bigint, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **how) -> DataFrame:
