@@ -2,18 +2,20 @@
 
 A sparse multinomial logistic regression over word 1- to 3-grams tells licence
 families and an unknown class apart. It is fitted on variants of the notices
-below and on sentences that use their words otherwise. A temperature is fitted
-on variants held out from training, and a paragraph whose best family has a
-calibrated probability under ``certain`` is unknown. A prediction is confirmed
-when enough of the 3-grams of one of the family's notices are in the paragraph.
+below and on sentences that use their words otherwise. Its temperature is that
+with the least log loss on variants of whole notices and sentences that a first
+fit has not seen, and a paragraph whose best family has a calibrated probability
+under ``certain`` is unknown. A prediction is confirmed when enough of the
+3-grams of one of the family's notices are in the paragraph.
 
 Scanning runs inside each row; nothing is exploded or shuffled. A text is split
 into paragraphs at lines without letters or digits, a paragraph's lines are
 joined by blanks, and windows of its words are scored by a literal table of the
 model's weights, so a notice may be wrapped at any width. A window is longer than
 the longest notice by the step between windows: every notice is whole in one.
-Single lines are scored as well. Lines and windows without a cue are unknown;
-every notice holds one.
+Single lines are scored as well. What can't be confirmed is not scored: the
+gate's words and 3-grams (``gate``) are derived from the notices so that a text without any
+of them lacks too many 3-grams of every notice.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ from lorebase.llm.common import text_or_empty
 UNKNOWN = "unknown"
 #: Words of a window of a paragraph, and from one window to the next.
 WINDOW, STEP = 64, 16
-#: Words that every notice has at least one of, as parts of lower-cased text.
-CUES = ("licen", "rights reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "permission is hereby", "permission to use", "redistribut", "spdx", "unlicense", "without warranty")
 #: Notices by family (fixed values).
 NOTICES = {
     "apache-2.0": (
@@ -137,6 +137,32 @@ OTHERWISE = (
 )
 
 
+CONFIRM = 0.5
+
+
+def plain_words(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
+def gate(notices: dict[str, tuple[str, ...]], confirm: float) -> list[str]:
+    """Words and 3-grams such that a text without any of them is confirmed for no notice.
+
+    For each notice they are taken until fewer than ``confirm`` of its 3-grams have
+    none of them: words of six letters or more first (that in most of the 3-grams
+    not yet covered), then the 3-grams themselves. A text without any has only those."""
+    out: dict[str, None] = {}
+    for own in notices.values():
+        for notice in own:
+            grams = inline_ngrams(notice)
+            bare = [g for g in grams if g not in out and not set(g.split()) & out.keys()]
+            while bare and len(bare) >= confirm * len(grams):
+                long = {w for g in bare for w in g.split() if len(w) >= 6}
+                best = max(long, key=lambda w: (sum(w in g.split() for g in bare), len(w), w)) if long else bare[0]
+                out[best] = None
+                bare = [g for g in bare if g != best and best not in g.split()]
+    return list(out)
+
+
 def words(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -189,9 +215,10 @@ class LicenceModel:
 
 def variants(spark: SparkSession) -> DataFrame:
     """Training rows ``label, words, held``: each notice whole, cut at either end,
-    with every n-th word left out, and with other words around it."""
-    rows = [(f, n) for f, notices in NOTICES.items() for n in notices] + [(UNKNOWN, n) for n in OTHERWISE]
-    base = inline(spark, rows, ["label", "line"]).select("label", words(F.col("line")).alias("w"))
+    with every n-th word left out, and with other words around it. Held are all
+    variants of every third notice of a family, and of every third sentence."""
+    rows = [(f, n, i % 3 == 1) for f, notices in NOTICES.items() for i, n in enumerate(notices)] + [(UNKNOWN, n, i % 3 == 1) for i, n in enumerate(OTHERWISE)]
+    base = inline(spark, rows, ["label", "line", "held"]).select("label", "held", words(F.col("line")).alias("w"))
     n = F.size("w")
     plain = [F.col("w")]
     cut = [F.slice("w", 1, F.greatest(F.lit(3), (n * x).cast("int"))) for x in (0.6, 0.75, 0.9)]
@@ -199,11 +226,11 @@ def variants(spark: SparkSession) -> DataFrame:
     hole = lambda k: F.filter("w", lambda x, i: (i + k) % 7 != 3)
     holes = [F.when(n >= 8, hole(k)).otherwise(F.col("w")) for k in (0, 2, 4)]
     around = [F.concat(F.array(*map(F.lit, a.split())), F.col("w"), F.array(*map(F.lit, b.split()))) for a, b in (("copyright 2019 the authors", "see the file for details"), ("this page and its text", "thank you for reading"), ("note", "2021"))]
-    made = base.select("label", F.posexplode(F.array(*plain, *cut, *holes, *around)).alias("variant", "words"))
-    # A part of a notice that has no cue any more teaches nothing that a scan would see.
-    line = F.concat_ws(" ", "words")
-    cue = F.exists(F.array(*[F.lit(c.replace("-", " ")) for c in CUES]), lambda c: F.contains(line, c))
-    return made.where(cue).withColumn("held", F.pmod(F.xxhash64(line, "label"), F.lit(4)) == 0)
+    made = base.select("label", "held", F.explode(F.array(*plain, *cut, *holes, *around)).alias("words"))
+    # A part of a notice that no scan would score teaches nothing.
+    line = F.array_join("words", " ")
+    cue = F.exists(F.array(*map(F.lit, gate(NOTICES, CONFIRM))), lambda c: F.contains(line, c))
+    return made.where(cue | (F.col("label") == UNKNOWN))
 
 
 def fit_licences(spark: SparkSession, strength: float = 0.002) -> LicenceModel:
@@ -212,23 +239,28 @@ def fit_licences(spark: SparkSession, strength: float = 0.002) -> LicenceModel:
     classes = sorted([*NOTICES, UNKNOWN])
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
     data = data.withColumn("class", number.cast("double"))
-    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 14).fit(data.where(~F.col("held")))
-    regression = LogisticRegression(labelCol="class", family="multinomial", regParam=strength, elasticNetParam=1.0, maxIter=40)
-    fitted = regression.fit(counter.transform(data.where(~F.col("held"))).select("class", "features"))
-    matrix = fitted.coefficientMatrix.toArray()
-    used = (abs(matrix) > 1e-6).any(axis=0).nonzero()[0]
-    model = LicenceModel(classes, [float(x) for x in fitted.interceptVector], {counter.vocabulary[i]: [round(float(x), 5) for x in matrix[:, i]] for i in used})
-    # The temperature with the least log loss on the variants held out.
-    grid = [0.5, 0.7, 1.0, 1.4, 2.0]
-    own = data.where("held").select("class", model.logits(F.col("grams")).alias("z"))
+
+    def fitted(rows: DataFrame) -> LicenceModel:
+        counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 14).fit(rows)
+        regression = LogisticRegression(labelCol="class", family="multinomial", regParam=strength, elasticNetParam=1.0, maxIter=40)
+        found = regression.fit(counter.transform(rows).select("class", "features"))
+        matrix = found.coefficientMatrix.toArray()
+        used = (abs(matrix) > 1e-6).any(axis=0).nonzero()[0]
+        return LicenceModel(classes, [float(x) for x in found.interceptVector], {counter.vocabulary[i]: [round(float(x), 5) for x in matrix[:, i]] for i in used})
+
+    # The temperature with the least log loss on notices and sentences that the first fit has not seen.
+    first = fitted(data.where("NOT held"))
+    grid = [0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8]
+    own = data.where("held").select("class", first.logits(F.col("grams")).alias("z"))
     loss = [F.avg(-F.log(F.get(LicenceModel(classes, [], {}, t).probabilities(F.col("z")), F.col("class").cast("int")) + 1e-12)).alias(str(i)) for i, t in enumerate(grid)]
     losses = list(own.agg(*loss).first())
+    model = fitted(data)
     model.temperature = grid[min(range(len(grid)), key=lambda i: losses[i] if losses[i] is not None else 9e9)]
     data.unpersist()
     return model
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", certain: float = 0.5, confirm: float = 0.5, model: LicenceModel | None = None) -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", certain: float = 0.5, confirm: float = CONFIRM, model: LicenceModel | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_lines, n_notices, families, score, notices``.
 
     * ``notices``: an array of (line, family, probability, overlap) of the
@@ -239,7 +271,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
       families in order, joined by commas; ``score`` the largest probability (0 without any).
     * Texts are scanned whole. Null text counts as empty; blank lines are no
       lines. Null identifiers stay null, repeated rows are rows like any other,
-      an empty table gives an empty result, and other columns are not read.
+      an empty table gives an empty result, and other columns are not read. A very
+      long text is held whole in a row.
     """
     spark = docs.sparkSession
     model = model or fit_licences(spark)
@@ -247,6 +280,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shapes = {f: [inline_ngrams(n) for n in NOTICES.get(f, ())] for f in model.classes}
     templates = F.array(*[F.array(*[F.array(*map(F.lit, s)) for s in shapes[f]]) if shapes[f] else F.array().cast("array<array<string>>") for f in model.classes])
     names = F.array(*[F.lit(c) for c in model.classes])
+    cues = gate({f: NOTICES[f] for f in model.classes if f in NOTICES}, confirm)
 
     def judge(w: Column, place: Column) -> Column:
         def best(p: Column, grams: Column) -> Column:
@@ -258,9 +292,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sure = lambda j: (j["top"] != unknown) & (j["probability"] >= certain) & (j["overlap"] >= confirm)
     lines = F.split("text", "\n")
-    has = lambda low, cues: F.reduce(F.array(*[F.lit(c) for c in cues]), F.lit(False), lambda a, c: a | F.contains(low, c))
+    has = lambda low: F.reduce(F.array(*[F.lit(c) for c in cues]), F.lit(False), lambda a, c: a | F.contains(low, c))
     numbered = F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    wanted = F.filter(numbered, lambda s: bind(F.lower(s["x"]), lambda low: has(low, CUES)))
+    wanted = F.filter(numbered, lambda s: bind(F.array_join(F.get("tokens", s["i"]), " "), has))
     by_line = F.filter(F.transform(wanted, lambda s: judge(words(s["x"]), s["i"])), sure)
 
     # Paragraphs: runs of lines with words, as (first line, end).
@@ -269,7 +303,6 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = F.sequence(F.lit(0), F.size("tokens") - 1)
     firsts = F.filter(each, lambda i: some(i) & ~some(i - 1))
     lasts = F.filter(each, lambda i: some(i) & ~some(i + 1))
-    spoken = list(dict.fromkeys(c.replace("-", " ") for c in CUES))
 
     def windows(first: Column, last: Column) -> Column:
         """Confirmed windows of a paragraph: judgements with the window's last line and number."""
@@ -278,7 +311,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def scan(w: Column, line: Column) -> Column:
             starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - WINDOW) / STEP).cast("int")))
             cut = F.transform(starts, lambda k: F.struct(k.alias("k"), F.slice(w, k * STEP + 1, WINDOW).alias("w")))
-            cued = F.filter(cut, lambda s: bind(F.array_join(s["w"], " "), lambda low: has(low, spoken)))
+            cued = F.filter(cut, lambda s: bind(F.array_join(s["w"], " "), has))
             judged = F.transform(cued, lambda s: F.struct(judge(s["w"], F.get(line, s["k"] * STEP)).alias("j"), F.get(line, F.least(s["k"] * STEP + WINDOW, F.size(w)) - 1).alias("end"), s["k"].alias("k")))
             # The first of windows of one family that overlap.
             near = (WINDOW - 1) // STEP
@@ -293,8 +326,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_window = F.flatten(F.transform(paragraphs, lambda p: windows(p["first"], p["last"])))
     fresh = lambda x, own: ~F.exists(own, lambda y: (y["family"] == x["j"]["family"]) & y["line"].between(x["j"]["line"], x["end"]))
     added = F.transform(F.filter("by_window", lambda x: fresh(x, F.col("by_line"))), lambda x: x["j"])
-    # Cues may be broken by an end of line and a comment's marks.
-    any_cue = F.lower("text").rlike("|".join(c.replace(" ", "[^a-z0-9]+") for c in spoken))
+    any_cue = F.lower("text").rlike("|".join(c.replace(" ", "[^a-z0-9]+") for c in cues))
     none = "array<struct<line:int,family:string,probability:double,overlap:double,top:int>>"
     ranged = "array<struct<j:struct<line:int,family:string,probability:double,overlap:double,top:int>,end:int,k:int>>"
     return (
@@ -319,5 +351,5 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def inline_ngrams(notice: str) -> list[str]:
     """The 3-grams of a fixed notice (its words where it has fewer)."""
-    w = "".join(c if c.isascii() and c.isalnum() else " " for c in notice.lower()).split()
+    w = plain_words(notice)
     return list(dict.fromkeys(" ".join(w[i : i + 3]) for i in range(len(w) - 2))) or list(dict.fromkeys(w))
