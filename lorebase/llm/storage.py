@@ -27,3 +27,9 @@ def create(folder: str, suffix: str):
 def open_stream(uri: str):
     system, path = _split(uri)
     return system.open_input_stream(path, compression=None)
+
+
+def open_file(uri: str):
+    """For reads at any place."""
+    system, path = _split(uri)
+    return system.open_input_file(path)
