@@ -130,18 +130,26 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
       response all are responses. A null identifier never is the response of
       others unless all are null, and then each is a response.
     * White space is taken out of URLs; a null URL becomes ``about:blank``.
+    * Payloads are equal if SHA-1, length and a second, independent 64-bit hash agree.
     * Digests shared by very many pages: only (identifier, digest) pairs meet on
       the digest, in a join that splits skewed keys; pages join on both.
+    * A payload of any length is one record, held whole in a task while it is
+      written; an empty table gives no archive. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
     plain = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha1("payload"))
-    keys = staged(plain.where(F.octet_length("payload") >= revisit_from).select("page_id", "digest"))
-    stays = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    revisits = keys.join(stays.drop("n"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to"))
-    whole = plain.alias("p").join(revisits.alias("r"), (F.col("p.page_id").eqNullSafe(F.col("r.page_id"))) & (F.col("p.digest") == F.col("r.digest")), "left").select("p.*", "refers_to")
+    same = ["digest", "size", "check"]
+    hashed = plain.withColumns({"size": F.octet_length("payload"), "check": F.xxhash64("payload")})
+    keys = staged(hashed.where(F.col("size") >= revisit_from).select("page_id", *same))
+    stays = keys.groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    revisits = keys.join(stays.drop("n"), same).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).groupBy("page_id", *same).agg(F.max("refers_to").alias("refers_to"))
+    equal = F.col("p.page_id").eqNullSafe(F.col("r.page_id"))
+    for c in same:
+        equal = equal & (F.col(f"p.{c}") == F.col(f"r.{c}"))
+    whole = hashed.alias("p").join(revisits.alias("r"), equal, "left").select("p.*", "refers_to").drop("size", "check")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, stream, path, size, count = [], None, None, 0, 0
