@@ -55,27 +55,33 @@ def top_terms(text: Column, limit: int = 5) -> Column:
     that of a sort and not the square of the number of words."""
     stop = F.array(*map(F.lit, STOP_WORDS))
     kept = F.filter(F.transform(F.filter(words(text), lambda w: F.length(w) > 3), F.lower), lambda w: ~F.array_contains(stop, w))
-    placed = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    zero = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<struct<n:int,i:int,w:string>>").alias("out"))
 
-    def flush(s: Column) -> Column:
-        done = F.struct((-s["n"]).alias("n"), s["i"].alias("i"), s["w"].alias("w"))
-        return F.when(s["w"].isNull(), s["out"]).otherwise(F.slice(F.array_sort(F.concat(s["out"], F.array(done))), 1, limit))
+    def best(placed: Column) -> Column:
+        n = F.size(placed)
+        word = lambda i: F.get(placed, i)["w"]
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+        runs = lambda f: F.transform(f, lambda at, k: F.struct((at - F.coalesce(F.get(f, k + 1), n)).alias("n"), F.get(placed, at)["i"].alias("i"), word(at).alias("w")))
+        return F.when(n > 0, bind(firsts, lambda f: F.transform(F.slice(F.array_sort(runs(f)), 1, limit), lambda t: t["w"]))).otherwise(F.array().cast("array<string>"))
 
-    def step(s: Column, x: Column) -> Column:
-        same = F.struct(s["w"].alias("w"), (s["n"] + 1).alias("n"), s["i"].alias("i"), s["out"].alias("out"))
-        new = F.struct(x["w"].alias("w"), F.lit(1).alias("n"), x["i"].alias("i"), flush(s).alias("out"))
-        return F.when(s["w"] == x["w"], same).otherwise(new)
+    return bind(F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), best)
 
-    return F.transform(F.aggregate(placed, zero, step, flush), lambda t: t["w"])
+
+def lead(text: Column) -> Column:
+    """The first 500 characters of the compacted text in lower case; a long text is
+    compacted whole only where its start is nearly blank."""
+    start = F.substring(text, 1, 4000)
+    of = lambda t: F.lower(F.substring(compact(t), 1, 500))
+    return F.when((F.length(text) <= 4000) | (F.length(compact(start)) > 500), of(start)).otherwise(of(text))
 
 
 def looks_like_question(text: Column) -> Column:
-    lead = F.lower(F.substring(compact(text), 1, 500))
-    starts = F.lit(False)
-    for s in QUESTION_STARTS:
-        starts = starts | lead.startswith(s)
-    return (compact(text) != "") & (F.contains(lead, F.lit("?")) | starts | lead.rlike(QUESTION_PATTERN))
+    def asks(first: Column) -> Column:
+        starts = F.lit(False)
+        for s in QUESTION_STARTS:
+            starts = starts | first.startswith(s)
+        return (first != "") & (F.contains(first, F.lit("?")) | starts | first.rlike(QUESTION_PATTERN))
+
+    return bind(lead(F.coalesce(text, F.lit(""))), asks)
 
 
 def clean_text(text: Column) -> Column:
@@ -123,12 +129,18 @@ def content_hash(*columns: Column) -> Column:
 
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """Word counts hashed to ``dims`` places by md5, as a unit vector rounded to six digits."""
-    place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
-    places = F.transform(words(F.lower(text)), place)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.round(x / F.when(norm > 0, norm).otherwise(F.lit(1.0)), 6))
+    """Word counts hashed to ``dims`` places by md5, as a sparse unit vector:
+    an array of (bucket, value) in order, rounded to six digits."""
+    place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims))
+
+    def vector(places: Column) -> Column:
+        n = F.size(places)
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(places, i) != F.get(places, i - 1)))
+        counts = lambda f: F.transform(f, lambda at, k: F.struct(F.get(places, at).alias("bucket"), (F.coalesce(F.get(f, k + 1), n) - at).cast("double").alias("value")))
+        unit = lambda c: bind(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["value"] * x["value"])), lambda norm: F.transform(c, lambda x: F.struct(x["bucket"].alias("bucket"), F.round(x["value"] / norm, 6).alias("value"))))
+        return F.when(n > 0, bind(firsts, lambda f: bind(counts(f), unit))).otherwise(F.array().cast("array<struct<bucket:bigint,value:double>>"))
+
+    return bind(F.array_sort(F.transform(words(F.lower(text)), place)), vector)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -18,19 +18,21 @@ def _rows(rows: list[tuple], names: tuple[str, ...], types: str) -> Column:
 
 def _points(low: Column, urls: Column | None, taxonomy: Taxonomy) -> Column:
     """(place, weight, signal) of every keyword, domain and kind of link found."""
-    keywords = _rows([(p, w, f"keyword:{k}", k) for p, _, k, w in taxonomy.weights()], ("place", "weight", "signal", "keyword"), "place:int,weight:double,signal:string,keyword:string")
+    point = lambda p, w, signal: F.struct(F.lit(p).alias("place"), F.lit(float(w)).alias("weight"), signal.alias("signal"))
+    some = lambda rows: F.filter(F.array(*rows), lambda p: p.isNotNull()) if rows else F.array().cast("array<struct<place:int,weight:double,signal:string>>")
     as_point = lambda k: F.struct(k["place"].alias("place"), k["weight"].alias("weight"), k["signal"].alias("signal"))
-    found = F.transform(F.filter(keywords, lambda k: F.contains(low, k["keyword"])), as_point)
+    found = some([F.when(F.contains(low, F.lit(k)), point(p, w, F.lit(f"keyword:{k}"))) for p, _, k, w in taxonomy.weights()])
     if urls is None:
         return found
     place = {c: i for i, c in enumerate(taxonomy.categories)}
     boosts = _rows([(place[c], float(x), f"domain:{d}", d) for d, own in taxonomy.boosts.items() for c, x in own.items() if c in place], ("place", "weight", "signal", "domain"), "place:int,weight:double,signal:string,domain:string")
     by_domain = F.flatten(F.transform(urls, lambda u: X.bind(X.link_domain(u), lambda d: F.transform(F.filter(boosts, lambda b: b["domain"] == d), as_point))))
     joined = F.array_join(urls, " ")
-    repo = joined.rlike(r"github\.com/[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+")
-    extra = [("coding", repo, 3.0, "github-repo"), ("open-source", repo | F.contains(joined, F.lit("/repo/")), 1.5, "github-repo"), ("papers", F.contains(joined, F.lit("arxiv.org")), 3.0, "arxiv-link")]
-    more = [F.when(t, F.struct(F.lit(place[c]).alias("place"), F.lit(w).alias("weight"), F.lit(n).alias("signal"))) for c, t, w, n in extra if c in place]
-    return F.concat(found, by_domain, F.filter(F.array(*more), lambda p: p.isNotNull()))
+    repo = F.regexp_extract(joined, r"github\.com/[A-Za-z0-9_-]+/([A-Za-z0-9_.-]+)", 1)
+    named = repo != ""
+    code = named | F.contains(joined, F.lit("/repo/"))
+    extra = [("coding", code, 2.0, F.lit("github-repo")), ("open-source", code, 1.5, F.lit("github-repo")), ("papers", F.contains(joined, F.lit("arxiv.org")), 3.0, F.lit("arxiv-link")), ("coding", named, 1.0, F.concat(F.lit("repo:"), repo))]
+    return F.concat(found, by_domain, some([F.when(t, point(place[c], w, n)) for c, t, w, n in extra if c in place]))
 
 
 def _ranked(points: Column, taxonomy: Taxonomy) -> Column:

@@ -49,6 +49,34 @@ def pending(items: DataFrame, state: DataFrame, stages: tuple[str, ...] = ("clas
     return wanted.join(state.select("id", "stage", "content_hash"), ["id", "stage", "content_hash"], "left_anti")
 
 
+def live(items: DataFrame) -> DataFrame:
+    """Rows that are not deleted."""
+    return items.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
+
+
+def point(items: DataFrame, **key) -> DataFrame:
+    """Rows by identifier or any other column; the filter reaches the scan."""
+    for name, value in key.items():
+        items = items.where(F.col(name) == F.lit(value))
+    return items
+
+
+def listed(items: DataFrame, labels: DataFrame | None = None, category: str | None = None, needs_review: bool | None = None, review_state: str | None = None, hits: DataFrame | None = None, since=None) -> DataFrame:
+    """Rows by any of: primary label (``labels``: id, slug, is_primary), need for review,
+    review state, a search's ``hits`` (id) and the day of capture. All that are given hold."""
+    if needs_review is not None:
+        items = items.where(F.col("needs_review") == needs_review)
+    if review_state:
+        items = items.where(F.col("review_state") == review_state)
+    if since is not None:
+        items = items.where(F.to_date("captured_at") >= F.to_date(F.lit(since)))
+    if category:
+        items = items.join(labels.where((F.col("slug") == category) & F.col("is_primary")).select("id"), "id", "left_semi")
+    if hits is not None:
+        items = items.join(hits.select("id"), "id", "left_semi")
+    return items
+
+
 def include_exclude(items: DataFrame, labels: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """Items with any label in ``include`` and none in ``exclude``; labels are (id, slug)."""
     if include:

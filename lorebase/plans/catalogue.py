@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import text as X
 from lorebase.functions.taxonomy import AUDIENCES, DEFAULT
+from lorebase.operators import analysis as A
 from lorebase.operators import classify as C
 from lorebase.operators import derive as D
 from lorebase.operators import entities as E
 from lorebase.operators import records as R
 from lorebase.operators import search as S
-from lorebase.plans.model import bookmarks, enrichments, links, review, table
+from lorebase.operators import writes as W
+from lorebase.sources import exports as X_
+from lorebase.plans.model import bookmarks, enrichments, links, review, table, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -49,7 +52,7 @@ pr AS (SELECT d.doc_id, coalesce(slug, 'misc') AS prim, coalesce(confidence, 0.1
 
 
 def _classified(spark, sf_dir) -> DataFrame:
-    return C.classify(bookmarks(spark, sf_dir))
+    return C.classify(texts(spark, sf_dir))
 
 
 @query(f"WITH {KW} SELECT doc_id, prim AS \"primary\", confidence FROM pr")
@@ -88,7 +91,7 @@ tt AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC,
 
 @query(f"WITH {TERMS} SELECT doc_id, rank, w AS term FROM tt WHERE rank <= 5")
 def top_terms(spark, sf_dir):
-    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(X.top_terms(F.col("text"))).alias("place", "term")).select("doc_id", (F.col("place") + 1).cast("bigint").alias("rank"), "term")
+    return texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(X.top_terms(F.col("text"))).alias("place", "term")).select("doc_id", (F.col("place") + 1).cast("bigint").alias("rank"), "term")
 
 
 @query(rf"""WITH {KW}, {TERMS}, l AS (SELECT doc_id, lower(substring({COMPACT}, 1, 500)) AS l FROM documents),
@@ -145,11 +148,7 @@ def question_flag(spark, sf_dir):
 c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c""")
 def hash_embedding(spark, sf_dir):
-    token = bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(X.words(F.lower("text"))).alias("w"))
-    bucket = F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint"), F.lit(64))
-    counts = token.groupBy("doc_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
-    return counts.select("doc_id", "bucket", F.round(F.col("n") / norm, 6).alias("value"))
+    return texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(X.hashed_vector(F.col("text"))).alias("x")).select("doc_id", "x.bucket", "x.value")
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)),
@@ -269,69 +268,129 @@ def dedupe_by_hash(spark, sf_dir):
 
 # --- search ---------------------------------------------------------------------
 
-TOKENS = f"""po AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), '{S.ACCENTS[0]}', '{S.ACCENTS[1]}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents))"""
+def _search(spark, sf_dir, expression, *columns):
+    return S.matching(texts(spark, sf_dir), expression, *(columns or ("text",))).select(F.col("id").alias("doc_id"))
 
 
-def _postings(spark, sf_dir):
-    return S.index(bookmarks(spark, sf_dir), "text")
+TOKENS = f"""po AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), '{S.ACCENTS[0]}', '{S.ACCENTS[1]}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents))"""
 
 
 @query(f"WITH {TOKENS} SELECT doc_id FROM po WHERE token IN ('the', 'that', 'with') GROUP BY doc_id HAVING count(DISTINCT token) = 3")
 def search_and(spark, sf_dir):
-    return S.match_all(_postings(spark, sf_dir), "the", "that", "with").select(F.col("id").alias("doc_id"))
+    return _search(spark, sf_dir, "the that with")
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT a.doc_id FROM po a JOIN po b ON a.doc_id = b.doc_id AND b.at = a.at + 1 JOIN po c ON a.doc_id = c.doc_id AND c.at = a.at + 2 WHERE a.token = 'of' AND b.token = 'the' AND c.token = 'in'")
 def search_phrase(spark, sf_dir):
-    return S.match_phrase(_postings(spark, sf_dir), "of the in").select(F.col("id").alias("doc_id"))
+    return _search(spark, sf_dir, '"of the in"')
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT doc_id FROM po WHERE starts_with(token, 'licens')")
 def search_prefix(spark, sf_dir):
-    return S.match_all(_postings(spark, sf_dir), "licens*").select(F.col("id").alias("doc_id"))
+    return _search(spark, sf_dir, "licens*")
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT doc_id FROM po WHERE token IN ('apache', 'mit') AND doc_id NOT IN (SELECT doc_id FROM po WHERE token = 'und')")
 def search_or_not(spark, sf_dir):
-    p = _postings(spark, sf_dir)
-    return S.match_any(p, "apache", "mit").join(S.match_any(p, "und"), "id", "left_anti").select(F.col("id").alias("doc_id"))
+    return _search(spark, sf_dir, "(apache OR mit) NOT und")
+
+
+#: A phrase, a prefix, a column filter and all three operators.
+MIXED = 'author:web* AND ("of the" OR licens*) NOT und'
+MIXED_SQL = f"""WITH {TOKENS} SELECT doc_id FROM documents d WHERE starts_with(lower(source), 'web') AND doc_id NOT IN (SELECT doc_id FROM po WHERE token = 'und')
+AND (doc_id IN (SELECT doc_id FROM po WHERE starts_with(token, 'licens')) OR doc_id IN (SELECT a.doc_id FROM po a JOIN po b ON a.doc_id = b.doc_id AND b.at = a.at + 1 WHERE a.token = 'of' AND b.token = 'the')) ORDER BY doc_id DESC"""
+
+
+@query(MIXED_SQL)
+def search_mixed(spark, sf_dir):
+    return _search(spark, sf_dir, MIXED, "text", "author").orderBy(F.desc("doc_id"))
+
+
+@query(MIXED_SQL)
+def search_mixed_by_index(spark, sf_dir):
+    """The same over postings, as a kept index holds them."""
+    return S.lookup(S.index(texts(spark, sf_dir), "text", "author"), MIXED).select(F.col("id").alias("doc_id")).orderBy(F.desc("doc_id"))
 
 
 # --- entities and derived tables ------------------------------------------------
 
 
 def _entities(spark, sf_dir):
-    return E.extract(bookmarks(spark, sf_dir))
+    return E.extract(texts(spark, sf_dir))
 
 
-@query()
+#: Letters that are no word characters to SQL's patterns are taken as such.
+NAMED = rf"""nm AS (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '{E.PATTERN}') AS w FROM documents)),
+ty AS (SELECT doc_id, name, i, coalesce(a.kind, x.kind, CASE WHEN regexp_matches(name, '^(GPT|Claude|Gemini|Llama|Qwen|Mistral|Grok|DeepSeek|Mixtral|Phi)-') THEN 'model' WHEN contains(lower(name), 'bench') OR contains(lower(name), 'mmlu') OR lower(name) IN ('humaneval', 'truthfulqa', 'arc') THEN 'benchmark'
+WHEN contains(lower(name), 'api') OR contains(lower(name), 'sdk') THEN 'protocol' ELSE 'other' END) AS type FROM nm LEFT JOIN (VALUES {_values(E.TYPES.items())}) a(known, kind) ON a.known = lower(name) LEFT JOIN (VALUES {_values(E.EXACT_TYPES.items())}) x(known, kind) ON x.known = name WHERE length(name) >= 2),
+en AS (SELECT doc_id, name, type, 'text-regex' AS source FROM ty QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name), type ORDER BY i) = 1)"""
+
+
+@query(f"WITH {NAMED} SELECT * FROM en")
 def entity_extract_typed(spark, sf_dir):
     return _entities(spark, sf_dir).select(F.col("id").alias("doc_id"), "name", "type", "source")
 
 
-@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '@([A-Za-z0-9_]{1,15})', 1))) AS handle FROM documents")
+HANDLE = "@([A-Za-z0-9_]{1,15})"
+
+
+@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{HANDLE}', 1))) AS handle FROM documents")
 def handle_extract(spark, sf_dir):
-    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("@([A-Za-z0-9_]{1,15})"), F.lit(1)))).alias("handle"))
+    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(HANDLE), F.lit(1)))).alias("handle"))
 
 
-@query()
+@query(f"WITH {NAMED} SELECT lower(name) AS name, type, count(*) AS mentions FROM en GROUP BY ALL HAVING count(*) >= 3")
 def entities_min_mentions(spark, sf_dir):
     return E.mentions(_entities(spark, sf_dir), least=3)
 
 
+@query(f"WITH {NAMED} SELECT lower(name) AS name, type, count(*) AS mentions FROM en GROUP BY ALL ORDER BY mentions DESC, name, type LIMIT 10")
+def top_entities(spark, sf_dir):
+    return E.mentions(_entities(spark, sf_dir)).orderBy(F.desc("mentions"), "name", "type").limit(10)
+
+
+@query(rf"WITH {NAMED}, u AS (SELECT DISTINCT doc_id, name FROM nm), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS k FROM u) SELECT d.doc_id, string_agg(name, '|' ORDER BY name) AS names FROM documents d JOIN r ON d.doc_id = r.doc_id AND k <= 20 GROUP BY d.doc_id")
+def entity_extract_untyped(spark, sf_dir):
+    names = E.untyped(F.col("text"))
+    return texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_join(names, "|").alias("names")).where("names <> ''")
+
+
 def _members(spark, sf_dir):
     labelled = _classified(spark, sf_dir).select("id", "primary", "confidence")
     return D.clusters(labelled, _entities(spark, sf_dir))
 
 
-@query()
+SLUG = "regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+CLUSTERS = f"""{KW}, {NAMED}, su AS (SELECT doc_id, prim AS category, confidence AS score FROM pr WHERE confidence >= 0.4),
+na AS (SELECT DISTINCT doc_id, category, lower(name) AS name FROM en JOIN su USING (doc_id)),
+le AS (SELECT category, name, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, name) AS rank FROM na GROUP BY category, name QUALIFY rank <= 5),
+fi AS (SELECT doc_id, arg_min(name, rank) AS name FROM na JOIN le USING (category, name) GROUP BY doc_id),
+pa AS (SELECT doc_id, category, score, CASE WHEN count(*) OVER (PARTITION BY category) < 3 THEN '' ELSE coalesce(name, 'general') END AS part FROM su LEFT JOIN fi USING (doc_id)),
+cl AS (SELECT doc_id, category, score, substring({SLUG.format(x="'cluster-' || category || '-' || CASE WHEN part = '' THEN category ELSE part END")}, 1, 90) AS cluster FROM pa QUALIFY part = '' OR count(*) OVER (PARTITION BY category, part) >= 3)"""
+
+
+@query(f"WITH {CLUSTERS} SELECT doc_id, category, cluster, score FROM cl")
 def clusters(spark, sf_dir):
     return _members(spark, sf_dir).select(F.col("id").alias("doc_id"), "category", "cluster", "score")
 
 
 @query()
 def project_ideas(spark, sf_dir):
-    return D.project_ideas(_members(spark, sf_dir), _entities(spark, sf_dir))
+    hosts = links(spark, sf_dir).select("id", X.link_domain(F.col("url")).alias("domain"))
+    return D.project_ideas(_members(spark, sf_dir), _entities(spark, sf_dir), domains=hosts, texts=bookmarks(spark, sf_dir))
+
+
+@query(f"WITH {CLUSTERS}, h AS (SELECT cluster FROM cl GROUP BY cluster, category HAVING category IN ({', '.join(f"'{c}'" for c in AUDIENCES)}) AND count(*) >= 3) SELECT cluster, doc_id FROM cl JOIN h USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, doc_id) <= 6")
+def project_evidence(spark, sf_dir):
+    """The first members of each idea's cluster, by score."""
+    members = _members(spark, sf_dir)
+    return D.evidence(members).join(D.project_ideas(members, _entities(spark, sf_dir)).select("cluster"), "cluster").select("cluster", F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {CLUSTERS} SELECT cluster, count(*) AS members, arg_max(category, (n, category)) AS category, round(least(0.9, 0.3 + max(n) / sum(n) * 0.4), 6) AS confidence FROM (SELECT cluster, category, count(*) AS n FROM cl GROUP BY ALL) GROUP BY cluster HAVING arg_max(category, (n, category)) IN ({', '.join(f"'{c}'" for c in AUDIENCES)}) AND max(n) >= 3".replace("count(*) AS members, arg_max", "sum(n)::BIGINT AS members, arg_max"))
+def project_confidence(spark, sf_dir):
+    """Majority category of each idea's cluster, and the confidence from its share."""
+    return D.project_ideas(_members(spark, sf_dir), _entities(spark, sf_dir)).select("cluster", "members", "category", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {KW}, s AS (SELECT prim AS category, count(*) AS members FROM pr WHERE confidence >= 0.4 GROUP BY prim) SELECT category, members, category IN ({', '.join(f"'{c}'" for c in AUDIENCES)}) AND members >= 3 AS high_signal FROM s""")
@@ -343,11 +402,12 @@ def category_signal(spark, sf_dir):
 def _graph(spark, sf_dir):
     items = bookmarks(spark, sf_dir)
     labelled = _classified(spark, sf_dir).select("id", "primary", "confidence")
-    none = labelled.limit(0).select("id", F.lit("").alias("name"))
-    return D.graph(items, labelled, none, links(spark, sf_dir), labelled.select("id", F.concat(F.lit("cluster-"), "primary").alias("cluster")).where("confidence >= 0.4"))
+    handles = items.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(HANDLE), F.lit(1)))).alias("name"))
+    members = labelled.where("confidence >= 0.4").select("id", F.concat(F.lit("cluster-"), "primary").alias("cluster"), F.col("confidence").alias("score"))
+    return D.graph(items, labelled, handles, links(spark, sf_dir), members)
 
 
-EDGES = f"""{KW}, ed AS (SELECT 'bookmark' AS src_type, doc_id::VARCHAR AS src_id, 'category' AS dst_type, prim AS dst_id, 'categorized_as' AS relation FROM pr
+EDGES = f"""{KW}, ed AS (SELECT DISTINCT 'bookmark' AS src_type, doc_id::VARCHAR AS src_id, 'entity' AS dst_type, lower(unnest(regexp_extract_all(text, '{HANDLE}', 1))) AS dst_id, 'mentions' AS relation FROM documents UNION SELECT 'bookmark' AS src_type, doc_id::VARCHAR AS src_id, 'category' AS dst_type, prim AS dst_id, 'categorized_as' AS relation FROM pr
 UNION SELECT 'bookmark', doc_id::VARCHAR, 'author', source, 'authored_by' FROM documents
 UNION SELECT 'bookmark', page_id::VARCHAR, 'domain', {DOMAIN}, 'links_to' FROM pages WHERE {DOMAIN} <> ''
 UNION SELECT 'bookmark', page_id::VARCHAR, 'link', url, 'references' FROM pages WHERE url <> ''
@@ -390,21 +450,35 @@ def whole_graph_stats(spark, sf_dir):
     return _whole_graph(spark, sf_dir)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Pages that the test tables lack: blocked hosts, thin pages and links.
+PAGES = [
+    (-1, "https://help.x.com/en", "<title>Help</title>" + "text " * 300),
+    (-2, "https://a.example/login", "<title>Login</title>" + "text " * 150),
+    (-3, "https://b.example/x", "<title>Thin</title>"),
+    (-4, "https://c.example/downloads", "<title>Downloads</title>" + "text " * 150),
+    (-5, "https://d.example/", '<p><a href="https://e.example/1">one</a> <a href="/local">two</a> <a href="http://f.example/">three</a> <a href="https://e.example/1">again</a></p>' + "text " * 80),
+]
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+
+
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 HOSTS = " OR ".join(f"contains(u, '{h}')" for h in D.JUNK_HOSTS)
 
 
 @query(f"""WITH e AS (SELECT page_id, lower(url) AS u, lower(url || ' ' || {TITLE}) AS b, length(html) AS n FROM pages), r AS (SELECT page_id, CASE WHEN {HOSTS} THEN 'x-ad/help/cookie linked page'
-WHEN regexp_matches(b, '(^|[^a-z0-9])({'|'.join(D.JUNK_WORDS)})([^a-z0-9]|$)') AND n < 1000 THEN 'thin policy/login/subscribe page' WHEN n > 0 AND n < 250 THEN 'very thin linked content' ELSE '' END AS reason FROM e) SELECT page_id, reason FROM r WHERE reason <> ''""")
+WHEN regexp_matches(b, '(^|[^a-z0-9])({'|'.join(D.JUNK_WORDS)})([^a-z0-9]|$)') AND n < 1000 THEN 'thin policy/login/subscribe page' WHEN n > 0 AND n < 250 THEN 'very thin linked content' ELSE '' END AS reason FROM e) SELECT page_id, reason FROM r WHERE reason <> ''""".replace("FROM pages)", "FROM (SELECT page_id, url, html FROM pages UNION ALL VALUES " + _values(PAGES) + "))", 1))
 def junk_candidates(spark, sf_dir):
-    e = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("content"))
+    e = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("content"))
     return D.junk_candidates(e).withColumnRenamed("id", "page_id")
 
 
 @query(r"""WITH a AS (SELECT page_id, unnest(x) AS url, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages))
-SELECT page_id, url, min(i) AS first_at FROM a WHERE regexp_matches(url, '^https?://') GROUP BY ALL""")
+SELECT page_id, url, min(i) AS first_at FROM a WHERE regexp_matches(url, '^https?://') GROUP BY ALL""".replace("FROM pages)", "FROM (SELECT page_id, html FROM pages UNION ALL SELECT a, c FROM (VALUES " + _values(PAGES) + ") v(a, b, c)))", 1))
 def anchor_links(spark, sf_dir):
-    a = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("i", "url"))
+    a = _pages(spark, sf_dir).select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("i", "url"))
     return a.where(F.col("url").rlike("^https?://")).groupBy("page_id", "url").agg((F.min("i") + 1).cast("bigint").alias("first_at"))
 
 
@@ -426,9 +500,9 @@ def conversation_format(spark, sf_dir):
 # --- exports and archives -------------------------------------------------------
 
 
-@query("SELECT doc_id, to_json({id: doc_id, author: source, lang: lang, chars: n_chars}) AS record FROM documents")
+@query("SELECT doc_id, to_json({id: doc_id, author: source, lang: lang, chars: n_chars, text: text}) AS record FROM documents")
 def export_jsonl_record(spark, sf_dir):
-    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.to_json(F.struct("id", "author", "lang", F.col("n_chars").alias("chars"))).alias("record"))
+    return bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.to_json(F.struct("id", "author", "lang", F.col("n_chars").alias("chars"), "text")).alias("record"))
 
 
 @query(f"WITH {KW} SELECT doc_id, source, replace(text, chr(10), ' ') AS text, (SELECT string_agg(slug, '|' ORDER BY rank) FROM lb WHERE lb.doc_id = d.doc_id) AS categories FROM documents d")
@@ -436,11 +510,14 @@ def export_csv_row(spark, sf_dir):
     return _classified(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("author").alias("source"), F.translate("text", "\n", " ").alias("text"), F.nullif(F.array_join(F.transform("labels", lambda x: x["slug"]), "|"), F.lit("")).alias("categories"))
 
 
-@query(f"WITH {KW} SELECT prim AS category, count(*) AS notes, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (k <= 20) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY prim ORDER BY doc_id) AS k FROM pr) GROUP BY prim")
+@query(f"WITH {KW} SELECT prim AS category, count(*) AS notes, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id DESC) FILTER (k <= 20) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY prim ORDER BY doc_id DESC) AS k FROM pr) GROUP BY prim")
 def export_topic_index(spark, sf_dir):
-    c = _classified(spark, sf_dir).select("id", "primary").withColumn("k", F.row_number().over(Window.partitionBy("primary").orderBy("id")))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 20, F.col("id")))), lambda x: x.cast("string"))
-    return c.groupBy(F.col("primary").alias("category")).agg(F.count(F.lit(1)).alias("notes"), F.array_join(first, ",").alias("newest"))
+    """The 20 newest of each topic: first of each of its parts, then of those."""
+    c = _classified(spark, sf_dir).select("id", "primary")
+    first = lambda d, *key: d.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("id")))).where("k <= 20")
+    top = first(first(c.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))), "primary", "part"), "primary")
+    newest = top.groupBy("primary").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id"), asc=False), lambda x: x.cast("string")), ",").alias("newest"))
+    return c.groupBy("primary").agg(F.count(F.lit(1)).alias("notes")).join(newest, "primary").select(F.col("primary").alias("category"), "notes", "newest")
 
 
 @query("SELECT event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events")
@@ -506,9 +583,10 @@ def rank_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("bigint").alias("rank"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def except_keys(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(orders.select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -546,3 +624,215 @@ def q5_like(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     asia = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
     return t("orders").join(t("customer").join(asia, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# --- writes and the analysis run --------------------------------------------------
+
+
+@query("SELECT url, domain, min(page_id) AS first_seen, max(page_id) AS last_seen FROM (SELECT page_id, url, " + DOMAIN + " AS domain FROM pages) GROUP BY ALL")
+def links_upserted(spark, sf_dir):
+    """Links of odd pages are stored, those of all pages arrive."""
+    own = links(spark, sf_dir).select("id", F.array("url").alias("links"), F.col("id").alias("at"))
+    none = own.limit(0)
+    stored = W.add_links(none.select(F.lit("").alias("url"), F.lit("").alias("domain"), F.col("at").alias("first_seen"), F.col("at").alias("last_seen")), none.select("id", F.lit("").alias("url"), F.lit("").alias("role")), own.where("id % 2 = 1"))
+    return W.add_links(*stored, own)[0]
+
+
+@query(f"WITH {NAMED} SELECT lower(name) AS normalized, type, count(DISTINCT doc_id) AS mentions FROM en GROUP BY ALL")
+def entities_upserted(spark, sf_dir):
+    """Entities of odd documents are stored, those of all arrive: pairs stay single."""
+    found = _entities(spark, sf_dir).withColumn("text", F.lit(""))
+    none = found.limit(0).withColumn("normalized", F.lower("name"))
+    stored = W.add_entities(none.select("normalized", "type", "name", "source"), none.select("id", "normalized", "type", F.lit(0.5).alias("salience"), F.col("text").alias("evidence")), found.where("id % 2 = 1"))
+    entities, bridge = W.add_entities(*stored, found)
+    return entities.join(bridge, ["normalized", "type"]).groupBy("normalized", "type").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query(f"WITH {KW}, {TERMS} SELECT DISTINCT doc_id, tag FROM (SELECT doc_id, prim AS tag FROM pr UNION ALL SELECT doc_id, w FROM tt WHERE rank <= 5)")
+def tags_added(spark, sf_dir):
+    c = _classified(spark, sf_dir)
+    first = c.select("id", F.array(F.concat(F.lit(" "), F.upper("primary")), "primary").alias("tags"))
+    stored = W.add_tags(first.limit(0).select("id", F.lit("").alias("tag")), first)
+    return W.add_tags(stored, c.select("id", X.top_terms(F.col("text")).alias("tags"))).select(F.col("id").alias("doc_id"), "tag")
+
+
+@query(f"WITH {KW} SELECT doc_id, slug FROM lb WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'kept' FROM documents WHERE doc_id % 3 = 0")
+def labels_replaced(spark, sf_dir):
+    """Every document has the stored label `kept`; those not divisible by three are classified anew."""
+    stored = bookmarks(spark, sf_dir).select("id", F.lit("kept").alias("slug"))
+    c = _classified(spark, sf_dir).where("id % 3 <> 0")
+    return W.replace_labels(stored, c.select("id", F.explode(F.transform("labels", lambda x: x["slug"])).alias("slug")), c.select("id")).select(F.col("id").alias("doc_id"), "slug")
+
+
+def _archive(spark, sf_dir):
+    items = texts(spark, sf_dir).select("id", "text", F.lit("").alias("raw_text"), F.array().cast("array<string>").alias("links"), F.lit("").alias("summary"), F.lit("").alias("why_it_matters"), F.lit(True).alias("needs_review"), F.lit("new").alias("review_state"), F.lit("").alias("review_note"), (F.col("id") % 10 == 9).alias("is_deleted"))
+    empty = lambda types: spark.createDataFrame([], types)
+    return A.Archive(items, enrichments(spark, sf_dir).where("false"), empty("id long, slug string, confidence double, rationale string, is_primary boolean"), empty("id long, tag string"), empty("normalized string, type string, name string, source string"), empty("id long, normalized string, type string, salience double, evidence string"), empty("id long, provider string, vector array<struct<bucket:bigint,value:double>>"), empty("id long, stage string, provider string, content_hash string"))
+
+
+@query("SELECT doc_id, stage FROM documents, (VALUES ('classify'), ('entities'), ('embed')) v(stage) WHERE doc_id % 10 <> 9 AND (stage <> 'classify' OR doc_id % 4 = 0)")
+def analysis_second_run(spark, sf_dir):
+    """All rows are classified once; then the texts of every fourth change, and all stages run."""
+    done, _ = A.run_analysis(_archive(spark, sf_dir), ("classify",))
+    edited = F.when(F.col("id") % 4 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    archive = _archive(spark, sf_dir)
+    return A.run_analysis(archive._replace(items=archive.items.withColumn("text", edited), state=done.state))[1].select(F.col("id").alias("doc_id"), "stage")
+
+
+@query(f"WITH {KW} SELECT doc_id, slug, confidence, rank = 1 AS is_primary FROM lb WHERE doc_id % 10 <> 9")
+def analysis_labels(spark, sf_dir):
+    return A.run_analysis(_archive(spark, sf_dir), ("classify",))[0].labels.select(F.col("id").alias("doc_id"), "slug", "confidence", "is_primary")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id % 10 <> 9 AND contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' the ') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY doc_id DESC LIMIT 15")
+def list_composed(spark, sf_dir):
+    """Live rows by language, label and search at once, newest first."""
+    items = bookmarks(spark, sf_dir).withColumns({"is_deleted": F.col("id") % 10 == 9, "captured_at": F.col("id"), "review_state": F.col("lang")})
+    labels = review(spark, sf_dir).withColumn("is_primary", F.lit(True))
+    hits = S.matching(items, "the", "text").select("id")
+    return R.page(R.listed(R.live(items), labels, "approved", review_state="en", hits=hits), 15).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id = 7")
+def point_lookup(spark, sf_dir):
+    return R.point(bookmarks(spark, sf_dir), id=7).select(F.col("id").alias("doc_id"), F.col("author").alias("source"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS approved, count(*) FILTER (toxic = 1) AS excluded, (SELECT string_agg(source || ':' || n, ',' ORDER BY n DESC, source) FROM (SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10)) AS top_authors, (SELECT string_agg(lang || ':' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)) AS languages FROM documents LEFT JOIN labels USING (doc_id)")
+def stats_document(spark, sf_dir):
+    """All counts as one row."""
+    flags = stats_flags_one_pass(spark, sf_dir).drop("needs_review")
+    pair = lambda c: F.concat_ws(":", c, F.col("n").cast("string"))
+    top = top_sources(spark, sf_dir).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "source", pair("source").alias("x")))), lambda r: r["x"]), ",").alias("top_authors"))
+    langs = bookmarks(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(pair("lang"))), ",").alias("languages"))
+    return flags.join(F.broadcast(top), F.lit(True)).join(F.broadcast(langs), F.lit(True))  # rows of one
+
+
+# --- exports of notes, media and graph -------------------------------------------
+
+
+@query(f"WITH {KW} SELECT prim AS name, count(*) AS n FROM pr GROUP BY prim")
+def spec_category_counts(spark, sf_dir):
+    rows = _classified(spark, sf_dir).select("id", F.col("primary").alias("primary_category"), F.array().cast("array<string>").alias("entities"))
+    return X_.spec_counts(rows).where("kind = 'category'").select("name", "n")
+
+
+@query(f"""WITH {KW}, s AS (SELECT doc_id, prim, coalesce(nullif(text, ''), doc_id::VARCHAR) AS t FROM pr JOIN documents USING (doc_id)),
+e AS (SELECT prim, doc_id, substring(t, 1, 100) AS title, 'bookmarks/' || doc_id || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(lower(trim(t)), 'https?://', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 90), ''), 'bookmark') AS target FROM s)
+SELECT 'topics/' || prim || '.md' AS path, '- [' || title || '](' || target || '.md)' AS line FROM e""")
+def topic_page_lines(spark, sf_dir):
+    rows = _classified(spark, sf_dir).select("id", "text", F.col("primary").alias("primary_category"))
+    return X_.index_pages(rows).where("path <> 'index.md' AND place = 4").select("path", "line")
+
+
+MEDIA = [(1, 5, '{"media":[{"url":"https://i.example/a.png?format=JPEG","alt":"one"},{"url":"https://i.example/b.webp"},{"url":"https://i.example/a.png?format=JPEG"}]}'), (1, 6, '{"media":[{"url":"https://i.example/b.webp","alt":"late"}]}'), (2, 1, '{"media": broken'), (3, 1, '{"media":[]}'), (4, 2, '{"other":1}'), (5, 1, '{"media":[{"url":"https://i.example/c","alt":"three"}]}')]
+
+
+@query("SELECT * FROM (VALUES (1, 'https://i.example/a.png?format=JPEG', 'one', 0, '.jpg'), (1, 'https://i.example/b.webp', '', 1, '.webp'), (5, 'https://i.example/c', 'three', 0, '.jpg')) v(id, url, alt, place, extension)")
+def media_records(spark, sf_dir):
+    e = spark.createDataFrame(MEDIA, "id int, captured_at int, metadata string")
+    return D.media_records(e).withColumn("extension", X_.image_extension(F.col("url")))
+
+
+@query(f"WITH {EDGES} SELECT 'edge' AS kind, count(*) AS n FROM ed UNION ALL SELECT 'node', count(*) FROM (SELECT 'bookmark' AS type, doc_id::VARCHAR AS id FROM documents UNION SELECT src_type, src_id FROM ed UNION SELECT dst_type, dst_id FROM ed)")
+def graph_export_counts(spark, sf_dir):
+    return X_.graph_lines(*_graph(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EDGES} SELECT type, count(*) AS n FROM (SELECT 'bookmark' AS type, doc_id::VARCHAR AS id FROM documents UNION SELECT src_type, src_id FROM ed UNION SELECT dst_type, dst_id FROM ed) GROUP BY type")
+def graph_node_stats(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- more extensions -----------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders")
+def union_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).union(table(spark, sf_dir, "orders").select("o_custkey")).distinct()
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def intersect_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS total FROM events")
+def running_total(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 4).alias("total"))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type), ())")
+def grouping_sets_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", "user_id")
+    return e.groupingSets([["event_type", "user_id"], ["event_type"], []], "event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+BANDS = [(0, 50_000, "low"), (50_000, 150_000, "middle"), (150_000, 250_000, "high"), (250_000, 10**9, "top")]
+
+
+@query(f"SELECT band, count(*) AS n FROM orders JOIN (VALUES {_values(BANDS)}) b(low, high, band) ON o_totalprice >= low AND o_totalprice < high GROUP BY band")
+def range_join_price_bands(spark, sf_dir):
+    bands = F.broadcast(spark.createDataFrame(BANDS, "low long, high long, band string"))  # a fixed table of four rows
+    o = table(spark, sf_dir, "orders")
+    return o.join(bands, (F.col("o_totalprice") >= F.col("low")) & (F.col("o_totalprice") < F.col("high"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT r_regionkey) AS regions FROM nation FULL JOIN supplier ON n_nationkey = s_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY n_name")
+def full_outer_nation(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    j = t("nation").join(t("supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "full_outer").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return j.groupBy("n_name").agg(F.count_distinct("s_suppkey").alias("suppliers"), F.count_distinct("r_regionkey").alias("regions"))
+
+
+@query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL")
+def sliding_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+@query("SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15' AND l_shipdate > TIMESTAMP '1995-03-15' GROUP BY ALL ORDER BY revenue DESC, l_orderkey LIMIT 10")
+def q3_like(spark, sf_dir):
+    t, day = lambda n: table(spark, sf_dir, n), F.lit("1995-03-15").cast("timestamp_ntz")
+    o = t("orders").where(F.col("o_orderdate") < day).join(t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    j = t("lineitem").where(F.col("l_shipdate") > day).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
+
+
+@query("SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+def q6_like(spark, sf_dir):
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= day("1994-01-01")) & (F.col("l_shipdate") < day("1995-01-01")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
+    return rows.agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS id, v.label, v.vec_id AS other, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({DOT.format(a='q.embedding', b='v.embedding')} / (sqrt({DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({DOT.format(a='v.embedding', b='v.embedding')})), 6) DESC, v.vec_id) AS k FROM q, v WHERE q.vec_id <> v.vec_id)
+SELECT id AS vec_id, label AS voted FROM (SELECT id, label, count(*) AS n, min(k) AS first FROM s WHERE k <= 5 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, first) = 1""")
+def nearest_label_vote(spark, sf_dir):
+    """The label that most of the five nearest vectors have; queries are the vectors whose
+    identifier is divisible by 50, against all. They meet in blocks of the one side."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    near = v.join(q, F.col("vec_id") != F.col("id")).select("id", "vec_id", "label", F.round(X.cosine(F.col("x"), F.col("embedding")), 6).alias("c"))
+    top = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "vec_id"))).where("k <= 5")
+    votes = top.groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    return votes.groupBy(F.col("id").alias("vec_id")).agg(F.min_by("label", F.struct((-F.col("n")).alias("m"), "first")).alias("voted"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)),
+g AS (SELECT w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g3, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g4 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT 3 AS width, g3 AS gram, count(*) AS n FROM g WHERE g3 IS NOT NULL GROUP BY g3 UNION ALL SELECT 4, g4, count(*) FROM g WHERE g4 IS NOT NULL GROUP BY g4) SELECT width, gram, n FROM c QUALIFY row_number() OVER (PARTITION BY width ORDER BY n DESC, gram) <= 20""")
+def ngram_top_3_4(spark, sf_dir):
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = texts(spark, sf_dir).select(w.alias("w"))
+    many = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.struct(F.lit(k).alias("width"), F.array_join(F.slice("w", i, k), " ").alias("gram"))))
+    none = F.array().cast("array<struct<width:int,gram:string>>")
+    counts = words.select(F.inline(F.concat(F.coalesce(many(3), none), F.coalesce(many(4), none)))).groupBy("width", "gram").agg(F.count(F.lit(1)).alias("n"))
+    best = lambda k: counts.where(F.col("width") == k).orderBy(F.desc("n"), "gram").limit(20)
+    return best(3).unionByName(best(4))
+
+
+@query()
+def approx_distinct_users(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))

@@ -19,6 +19,18 @@ def bookmarks(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("author"), "lang", "n_chars")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input of fewer splits than there are cores is dealt over them before work on
+    its rows; a larger one stays as it lies."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def texts(spark, sf_dir) -> DataFrame:
+    """Bookmarks for work on whole texts."""
+    return spread(bookmarks(spark, sf_dir))
+
+
 def links(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
 

@@ -47,9 +47,17 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return normalise(spark.read.schema(ITEM).json(path))
 
 
-def from_envelopes(lines: DataFrame) -> DataFrame:
-    """Items of lines like ``..._JSON={...}`` in column ``value``; their order gives
-    microseconds, so that a newest-first sort keeps the order of the screen."""
+def from_envelopes(lines: DataFrame, at: str, order: str | None = None) -> DataFrame:
+    """Items of the last line like ``..._JSON={...}`` of column ``value``, with its
+    numbers of batches and metrics. ``at`` is the time of capture as ISO text; items
+    without one of their own get it less a microsecond for each place, so that a
+    newest-first sort keeps the order of the screen. ``order`` names the column that
+    orders the lines (the lines' own order in their file without one)."""
     body = F.regexp_extract("value", r"_JSON=(\{.*)$", 1)
-    items = lines.select(F.from_json(body, ENVELOPE).alias("e")).select(F.posexplode("e.items").alias("place", "item"))
-    return items.select("item.*", "place")
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    last = lines.select(body.alias("body"), place.alias("place")).where("body <> ''").agg(F.max_by("body", "place").alias("body"))
+    e = last.select(F.from_json("body", ENVELOPE).alias("e"))
+    items = e.select(F.posexplode("e.items").alias("place", "item"), F.col("e.batches").alias("batches"), F.col("e.metrics").alias("metrics"))
+    base = F.unix_micros(F.to_timestamp(F.lit(at))) - F.col("place")
+    captured = F.coalesce(F.nullif(F.col("item.captured_at"), F.lit("")), F.date_format(F.timestamp_micros(base), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+    return items.withColumn("captured", captured).select("item.*", "captured", "place", "batches", "metrics.*").drop("captured_at").withColumnRenamed("captured", "captured_at")
