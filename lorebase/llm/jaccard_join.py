@@ -26,7 +26,7 @@ with its union reaches what the similarity asks for.
 Groups are first opened on their own, then each with the first of those that
 share its token. What is then linked belongs to one component, members are
 grouped anew by component, and only groups of different components can still
-be opened. So very many similar sets cost pairs of groups only where links are
+be opened; small components of one home share groups. So very many similar sets cost pairs of groups only where links are
 missing, and no link between different components is lost.
 """
 
@@ -416,33 +416,39 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(store, unions)
     now = staged(place.join(labels, "set"))
 
-    # What is left: pairs of components that share tokens of the matrix. Members are
-    # put into new groups, by component.
-    sized = now.join(classes.select("set", "n"), "set").select("set", "component", "n")
-    per = staged(sized.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), F.min("n").alias("least"), F.max("n").alias("most")))
-    parts = F.ceil(F.greatest(F.col("size") / GROUP, F.col("volume") / GROUP_TOKENS))
-    placed = staged(sized.join(per, "component").select("set", "component", F.xxhash64("component", F.pmod(F.xxhash64("set"), parts)).alias("group")))
-    cells = staged(held.select("token", "set").join(placed, "set").select("token", "component").distinct())
-    # Tokens held by the same components ask the same question: one of them stands for all.
-    name = F.xxhash64("component")
-    rows = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "component")).alias("y"), F.sum(F.pmod(name, F.lit(1 << 31))).alias("s")).where("n > 1")
+    # What is left: pairs of components that share tokens of the matrix. Members are put
+    # into new units, by component; where a home holds many small components, these
+    # share units of about GROUP members, so that they don't meet one by one.
+    per = staged(now.join(classes.select("set", "n"), "set").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("home").alias("home")))
+    crowd = per.where(F.col("size") <= GROUP).groupBy("home").agg(F.count(F.lit(1)).alias("components"), F.greatest(F.sum("size") / GROUP, F.sum("volume") / GROUP_TOKENS).alias("units")).where(F.col("components") > GROUP)
+    crowded = F.col("units").isNotNull() & (F.col("size") <= GROUP)
+    unit = F.when(crowded, F.xxhash64("home", F.pmod(F.xxhash64("component"), F.ceil("units")))).otherwise(F.xxhash64("component"))
+    parts = F.when(crowded, F.lit(1)).otherwise(F.ceil(F.greatest(F.col("size") / GROUP, F.col("volume") / GROUP_TOKENS)))
+    per = staged(per.join(crowd.select("home", "units"), "home", "left").select("component", "least", "most", unit.alias("unit"), parts.alias("parts")))
+    units = staged(per.groupBy("unit").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("components")))
+    placed = staged(now.select("set", "component").join(per.select("component", "unit", "parts"), "component").select("set", "component", "unit", F.xxhash64("unit", F.pmod(F.xxhash64("set"), F.col("parts"))).alias("group")))
+    cells = staged(held.select("token", "set").join(placed, "set").select("token", "unit").distinct())
+    # Tokens held by the same units ask the same question: one of them stands for all.
+    name = F.xxhash64("unit")
+    rows = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "unit")).alias("y"), F.sum(F.pmod(name, F.lit(1 << 31))).alias("s")).where("n > 1")
     asked = rows.groupBy("n", "x", "y", "s").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("tokens")).select("token", "tokens")
     cells = staged(cells.join(asked, "token"))
-    x, y = cells.select("token", "tokens", F.col("component").alias("cx")), cells.select("token", F.col("component").alias("cy"))
+    x, y = cells.select("token", "tokens", F.col("unit").alias("cx")), cells.select("token", F.col("unit").alias("cy"))
     met = x.join(y, "token").where("cx < cy").groupBy("cx", "cy").agg(F.sum("tokens").alias("shared"))
     # Heads of linked sets of sizes a >= b share t (b - t a) / (1 + t) tokens or more, with t
     # = percent / 100: they share t (a + b) / (1 + t), of which at most t a are past a head.
     # (One less is asked for, as names of tokens may be equal.)
     t = percent / 100
-    sizes = lambda c: per.select(F.col("component").alias(f"c{c}"), F.col("least").alias(f"l{c}"), F.col("most").alias(f"m{c}"))
+    sizes = lambda c: units.select(F.col("unit").alias(f"c{c}"), F.col("least").alias(f"l{c}"), F.col("most").alias(f"m{c}"))
     asks = F.least(F.col("ly") - t * F.col("mx"), F.col("lx") - t * F.col("my")) * (t / (1 + t))
     near_by = (100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx"))
     met = staged(met.join(sizes("x"), "cx").join(sizes("y"), "cy").where(near_by & (F.col("shared") + 1 >= asks)).select("cx", "cy"))
-    groups = staged(placed.select("component", "group").distinct())
-    pairs = met.join(groups.select(F.col("component").alias("cx"), F.col("group").alias("g")), "cx").join(groups.select(F.col("component").alias("cy"), F.col("group").alias("h")), "cy").select("g", "h")
-    pairs = staged(pairs)
+    groups = staged(placed.select("unit", "group").distinct())
+    own = units.where("components > 1").join(groups, "unit").select(F.col("group").alias("g"), F.col("group").alias("h"))
+    pairs = met.join(groups.select(F.col("unit").alias("cx"), F.col("group").alias("g")), "cx").join(groups.select(F.col("unit").alias("cy"), F.col("group").alias("h")), "cy").select("g", "h")
+    pairs = staged(pairs.unionByName(own))
     opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).distinct()
-    store = staged(pack(members.select("set", "text").join(placed.join(opened, "group", "left_semi"), "set"), "group"))
+    store = staged(pack(members.select("set", "text").join(placed.drop("unit").join(opened, "group", "left_semi"), "set"), "group"))
     with rows_per_batch(spark, 16):
         unions = staged(unions_of(store))
         pairs = staged(qualifying(pairs, unions))
