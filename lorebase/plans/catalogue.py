@@ -218,14 +218,14 @@ def enriched_text_hash(spark, sf_dir):
     return R.enriched_text(bookmarks(spark, sf_dir).select("id", "text"), enrichments(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.sha2("text", 256).alias("content_hash"))
 
 
-@query("""WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
+@query("""WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 = 0)
 SELECT coalesce(s.doc_id, a.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'absent' WHEN s.h <> a.h THEN 'changed' ELSE 'unchanged' END AS change FROM s FULL JOIN a ON s.doc_id = a.doc_id""")
 def upsert_changed_status(spark, sf_dir):
     """A stored and an arriving version are made of the whole table by rule."""
     d = bookmarks(spark, sf_dir).select("id", "text")
     stored = d.where("id % 3 <> 0").withColumn("h", F.sha2("text", 256))
     edited = F.when(F.col("id") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    arriving = d.where("id % 7 <> 0").withColumn("text", edited).withColumn("h", F.sha2("text", 256))
+    arriving = d.where("id % 7 <> 0 OR id % 3 = 0").withColumn("text", edited).withColumn("h", F.sha2("text", 256))
     return R.upsert(stored, arriving, "id", "h").select(F.col("id").alias("doc_id"), "change")
 
 
@@ -296,8 +296,8 @@ def search_or_not(spark, sf_dir):
 
 
 #: A phrase, a prefix, a column filter and all three operators.
-MIXED = 'author:web* AND ("of the" OR licens*) NOT und'
-MIXED_SQL = f"""WITH {TOKENS} SELECT doc_id FROM documents d WHERE starts_with(lower(source), 'web') AND doc_id NOT IN (SELECT doc_id FROM po WHERE token = 'und')
+MIXED = 'author:src1* AND ("of the" OR licens*) NOT und'
+MIXED_SQL = f"""WITH {TOKENS} SELECT doc_id FROM documents d WHERE starts_with(lower(source), 'src1') AND doc_id NOT IN (SELECT doc_id FROM po WHERE token = 'und')
 AND (doc_id IN (SELECT doc_id FROM po WHERE starts_with(token, 'licens')) OR doc_id IN (SELECT a.doc_id FROM po a JOIN po b ON a.doc_id = b.doc_id AND b.at = a.at + 1 WHERE a.token = 'of' AND b.token = 'the')) ORDER BY doc_id DESC"""
 
 
