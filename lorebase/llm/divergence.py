@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import releasing, shuffle_partitions, staged, text_or_empty
+from lorebase.llm.common import releasing, rows_per_batch, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.kernel import LOWER, U, chunks, mix64, prefix, spans_hash
 
 #: Rows of the sketch, and the least and largest logarithm of a row's counters. The
@@ -37,8 +37,10 @@ from lorebase.llm.kernel import LOWER, U, chunks, mix64, prefix, spans_hash
 ROWS, NARROW, WIDE = 3, 18, 25
 #: Bytes of text to a counter, up to that bound, and counters that travel together.
 TEXT_PER_COUNTER, CELLS = 256, 1 << 16
-#: (source, term) pairs that a task counts before it hands them on.
-HELD = 1 << 18
+#: (source, term) pairs that a task counts before it hands them on, and that it hands on at once.
+HELD, ROWS_OUT = 1 << 17, 1 << 15
+#: Texts handed to Python at a time.
+TEXTS = 2000
 #: Terms longer than this get their name from a library hash of their bytes.
 LONG = 128
 
@@ -156,10 +158,12 @@ def surviving_counts(base: DataFrame, bits: np.ndarray, width: int) -> DataFrame
             return group[new], name[new], np.add.reduceat(n[order], new), np.add.reduceat(docs[order], new)
 
         def rows(group, name, n, docs):
-            pairs = list(groups)
-            own = [pairs[g] for g in group.tolist()]
-            columns = [pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.string()), pa.array([words[x] for x in name.tolist()], pa.binary()).cast(pa.string(), safe=False), pa.array(n), pa.array(docs)]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count", "docs"])
+            langs, sources = (pa.array(x, pa.string()) for x in zip(*groups))
+            for a in range(0, len(group), ROWS_OUT):
+                some = slice(a, a + ROWS_OUT)
+                at = pa.array(group[some])
+                terms = pa.array([words[x] for x in name[some].tolist()], pa.binary()).cast(pa.string(), safe=False)
+                yield pa.RecordBatch.from_arrays([langs.take(at), sources.take(at), terms, pa.array(n[some]), pa.array(docs[some])], names=["lang", "source", "term", "count", "docs"])
 
         for batch in batches:
             langs, sources = batch["lang"].to_pylist(), batch["source"].to_pylist()
@@ -181,15 +185,15 @@ def surviving_counts(base: DataFrame, bits: np.ndarray, width: int) -> DataFrame
                         words[x] = lowered[starts[i] : ends[i]].tobytes()
                 waiting.append((of[a:b][text], names, n, np.ones(len(n), np.int64)))
                 size += len(n)
-                if size >= 4 * HELD:
+                if size >= 2 * HELD:
                     waiting[:] = [added()]
                     size = len(waiting[0][0])
                     if size >= HELD:
-                        yield rows(*waiting.pop())
+                        yield from rows(*waiting.pop())
                         words.clear()
                         size = 0
         if waiting:
-            yield rows(*added())
+            yield from rows(*added())
 
     return base.mapInArrow(releasing(count), "lang string, source string, term string, count bigint, docs bigint")
 
@@ -212,7 +216,8 @@ def kept_terms(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     groups = staged(docs.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("bytes")))
     size = groups.agg(F.sum("bytes")).first()[0] or 0
     width = 1 << min(max((size // TEXT_PER_COUNTER).bit_length(), NARROW), WIDE)
-    bits = document_sketch(docs, width, least)
+    with rows_per_batch(spark, TEXTS):
+        bits = document_sketch(docs, width, least)
     # Dealt by term, so that sums by source and by language need no further exchange.
     dealt = surviving_counts(docs, bits, width).repartition(shuffle_partitions(spark), "lang", "term")
     counts = dealt.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
@@ -220,7 +225,8 @@ def kept_terms(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     kept = counts.select(
         "lang", "source", "term", "count", F.sum("docs").over(term).alias("in_docs"), F.sum("count").over(term).alias("lang_count"), (F.col("source") == F.min("source").over(term)).alias("first")
     )
-    return groups, staged(kept.where(F.col("in_docs") >= least).drop("in_docs"))
+    with rows_per_batch(spark, TEXTS):
+        return groups, staged(kept.where(F.col("in_docs") >= least).drop("in_docs"))
 
 
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 3, scale: int = 1_000_000_000, top: int = 200) -> DataFrame:
