@@ -21,19 +21,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_local_root: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name that driver and executors can all reach.
 
     It lies in ``spark.checkpoint.dir``. Where that is unset in a local session,
-    as in tests, a temporary folder is set as the session's own; elsewhere it is
+    as in tests, it lies in a temporary folder of this process; elsewhere that is
     an error, as executors can't see the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lorebase-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local_root:
+            _local_root.append("file://" + tempfile.mkdtemp(prefix="lorebase-"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/lorebase-{uuid.uuid4().hex}"
 
 

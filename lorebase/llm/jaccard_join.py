@@ -33,12 +33,13 @@ missing, and no link between different components is lost.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import discard, releasing, rows_per_batch, shuffle_partitions, staged, text_or_empty
@@ -426,23 +427,36 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = F.when(crowded, F.lit(1)).otherwise(F.ceil(F.greatest(F.col("size") / GROUP, F.col("volume") / GROUP_TOKENS)))
     per = staged(per.join(crowd.select("home", "units"), "home", "left").select("component", "least", "most", unit.alias("unit"), parts.alias("parts")))
     units = staged(per.groupBy("unit").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("components")))
-    placed = staged(now.select("set", "component").join(per.select("component", "unit", "parts"), "component").select("set", "component", "unit", F.xxhash64("unit", F.pmod(F.xxhash64("set"), F.col("parts"))).alias("group")))
-    cells = staged(held.select("token", "set").join(placed, "set").select("token", "unit").distinct())
+    placed = now.select("set", "component").join(per.select("component", "unit", "parts"), "component").join(units.drop("components"), "unit")
+    placed = staged(placed.select("set", "component", "unit", "least", "most", F.xxhash64("unit", F.pmod(F.xxhash64("set"), F.col("parts"))).alias("group")))
+    cells = staged(held.select("token", "set").join(placed, "set").select("token", "unit", "least", "most").distinct())
     # Tokens held by the same units ask the same question: one of them stands for all.
     name = F.xxhash64("unit")
     rows = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "unit")).alias("y"), F.sum(F.pmod(name, F.lit(1 << 31))).alias("s")).where("n > 1")
     asked = rows.groupBy("n", "x", "y", "s").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("tokens")).select("token", "tokens")
     cells = staged(cells.join(asked, "token"))
-    x, y = cells.select("token", "tokens", F.col("unit").alias("cx")), cells.select("token", F.col("unit").alias("cy"))
-    met = x.join(y, "token").where("cx < cy").groupBy("cx", "cy").agg(F.sum("tokens").alias("shared"))
-    # Heads of linked sets of sizes a >= b share t (b - t a) / (1 + t) tokens or more, with t
-    # = percent / 100: they share t (a + b) / (1 + t), of which at most t a are past a head.
-    # (One less is asked for, as names of tokens may be equal.)
+    # Units meet on a token and on a band of sizes: sets of a and b tokens link only if t <=
+    # a / b <= 1 / t, with t = percent / 100. The one unit lies in the bands of its own sets' sizes,
+    # the other in those of sizes that can link with its sets; they meet in the first in common.
     t = percent / 100
-    sizes = lambda c: units.select(F.col("unit").alias(f"c{c}"), F.col("least").alias(f"l{c}"), F.col("most").alias(f"m{c}"))
-    asks = F.least(F.col("ly") - t * F.col("mx"), F.col("lx") - t * F.col("my")) * (t / (1 + t))
+    step = math.log(max(1 / t, 1.05))
+    band = lambda c: F.floor(F.log(c) / step).cast("int")
+
+    def side(c: str, low: Column, high: Column) -> DataFrame:
+        own = cells.select("token", "tokens", F.col("unit").alias(f"c{c}"), F.col("least").alias(f"l{c}"), F.col("most").alias(f"m{c}"), band(low).alias(f"b{c}"), band(high).alias("last"))
+        return own.withColumn("band", F.explode(F.sequence(f"b{c}", "last"))).drop("last")
+
+    x = side("x", F.col("least"), F.col("most"))
+    y = side("y", t * (1 - 1e-9) * F.col("least"), (1 + 1e-9) / t * F.col("most")).drop("tokens")
     near_by = (100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx"))
-    met = staged(met.join(sizes("x"), "cx").join(sizes("y"), "cy").where(near_by & (F.col("shared") + 1 >= asks)).select("cx", "cy"))
+    meet = (F.col("cx") < F.col("cy")) & (F.col("band") == F.greatest("bx", "by")) & near_by
+    met = x.join(y, ["token", "band"]).where(meet).groupBy("cx", "cy").agg(F.sum("tokens").alias("shared"), *[F.min(c).alias(c) for c in ("lx", "mx", "ly", "my")])
+    # Heads of linked sets of sizes a >= b share t (b - t a) / (1 + t) tokens or more: they share
+    # t (a + b) / (1 + t), of which at most t a are past a head. Less is asked for, as names of
+    # tokens may be equal: one, and several times what is likely in very long sets.
+    asks = F.least(F.col("ly") - t * F.col("mx"), F.col("lx") - t * F.col("my")) * (t / (1 + t))
+    spare = 1 + F.col("mx") * F.col("my") / (1 << 31)
+    met = staged(met.where(F.col("shared") + spare >= asks).select("cx", "cy"))
     groups = staged(placed.select("unit", "group").distinct())
     own = units.where("components > 1").join(groups, "unit").select(F.col("group").alias("g"), F.col("group").alias("h"))
     pairs = met.join(groups.select(F.col("unit").alias("cx"), F.col("group").alias("g")), "cx").join(groups.select(F.col("unit").alias("cy"), F.col("group").alias("h")), "cy").select("g", "h")

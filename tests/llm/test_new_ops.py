@@ -258,3 +258,18 @@ def test_packed_vectors():
 
     rows = [np.array([1, -2, 3]), np.array([1 << 40, 0, -5])]
     assert unpacked(pa.array([packed(x) for x in rows], pa.binary()), 3).tolist() == [x.tolist() for x in rows]
+
+
+def test_shared_folder_where_none_is_set(spark):
+    from types import SimpleNamespace
+
+    from lorebase.llm.common import shared_dir
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("yarn", "hdfs://x/y/")).startswith("hdfs://x/y/lorebase-")
+    a, b = shared_dir(session("local[2]", None)), shared_dir(session("local", ""))
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0] and a.startswith("file:///")
+    with pytest.raises(ValueError):
+        shared_dir(session("local-cluster[2,1,1024]", None))
