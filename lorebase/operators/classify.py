@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as X
+from lorebase.functions.patterns import held
 from lorebase.functions.taxonomy import DEFAULT, Taxonomy
 
 
@@ -16,12 +18,23 @@ def _rows(rows: list[tuple], names: tuple[str, ...], types: str) -> Column:
     return F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])
 
 
-def _points(low: Column, urls: Column | None, taxonomy: Taxonomy) -> Column:
-    """(place, weight, signal) of every keyword, domain and kind of link found."""
+POINT = "struct<place:int,weight:double,signal:string>"
+
+
+def _keyword_points(low: Column, taxonomy: Taxonomy) -> Column:
+    """(place, weight, signal) of every keyword found: all in one pass over the text."""
+    rows = taxonomy.weights()
+    kinds = (pa.int32(), pa.float64(), pa.string())
+    columns = zip(*[(p, float(w), f"keyword:{k}") for p, _, k, w in rows]) if rows else ((), (), ())
+    points = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["place", "weight", "signal"])
+    return held(low, [k for _, _, k, _ in rows], points, POINT)
+
+
+def _points(found: Column, urls: Column | None, taxonomy: Taxonomy) -> Column:
+    """``found``, and a point for every domain and kind of link."""
     point = lambda p, w, signal: F.struct(F.lit(p).alias("place"), F.lit(float(w)).alias("weight"), signal.alias("signal"))
-    some = lambda rows: F.filter(F.array(*rows), lambda p: p.isNotNull()) if rows else F.array().cast("array<struct<place:int,weight:double,signal:string>>")
+    some = lambda rows: F.filter(F.array(*rows), lambda p: p.isNotNull()) if rows else F.array().cast(f"array<{POINT}>")
     as_point = lambda k: F.struct(k["place"].alias("place"), k["weight"].alias("weight"), k["signal"].alias("signal"))
-    found = some([F.when(F.contains(low, F.lit(k)), point(p, w, F.lit(f"keyword:{k}"))) for p, _, k, w in taxonomy.weights()])
     if urls is None:
         return found
     place = {c: i for i, c in enumerate(taxonomy.categories)}
@@ -61,9 +74,9 @@ def classify(df: DataFrame, text: str = "text", links: str | None = None, taxono
     """``df`` with ``labels`` (the five best: slug, confidence, rationale), ``primary``,
     ``confidence`` and ``needs_review``. Equal scores keep the taxonomy's order.
 
-    Keyword tests are substring tests over a literal array. Everything is one
+    Keywords are substrings, found by one automaton. What follows is one
     expression of the row in which each step is bound once: the optimizer must
-    not copy the lower-cased text or the scores into each of their uses."""
+    not copy the scores into each of their uses."""
     urls = F.coalesce(F.col(links), F.array().cast("array<string>")) if links else None
 
     def result(labels: Column) -> Column:
@@ -72,8 +85,9 @@ def classify(df: DataFrame, text: str = "text", links: str | None = None, taxono
         sure = F.exists(labels, lambda x: x["confidence"] > 0.4)
         return F.struct(labels.alias("labels"), primary.alias("primary"), confidence.alias("confidence"), ((primary == "misc") | (confidence < 0.45) | ~sure).alias("needs_review"))
 
-    whole = X.bind(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda low: X.bind(_points(low, urls, taxonomy), lambda p: X.bind(_ranked(p, taxonomy), lambda r: X.bind(_labels(r), result))))
-    return df.withColumn("__c", whole).select(*df.columns, "__c.labels", "__c.primary", "__c.confidence", "__c.needs_review")
+    keywords = df.withColumn("__k", _keyword_points(F.lower(F.coalesce(F.col(text), F.lit(""))), taxonomy))
+    whole = X.bind(_points(F.col("__k"), urls, taxonomy), lambda p: X.bind(_ranked(p, taxonomy), lambda r: X.bind(_labels(r), result)))
+    return keywords.withColumn("__c", whole).select(*df.columns, "__c.labels", "__c.primary", "__c.confidence", "__c.needs_review")
 
 
 def tags(text: Column, primary: Column, links: Column | None = None) -> Column:

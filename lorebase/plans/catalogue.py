@@ -16,8 +16,10 @@ from lorebase.operators import entities as E
 from lorebase.operators import records as R
 from lorebase.operators import search as S
 from lorebase.operators import writes as W
+from lorebase.operators.kept_index import KeptIndex
+from lorebase.sources import audit as AU
 from lorebase.sources import exports as X_
-from lorebase.plans.model import bookmarks, enrichments, links, review, table, texts
+from lorebase.plans.model import bookmarks, enrichments, links, review, shared_folder, table, texts, written
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -159,21 +161,14 @@ def ngram_top(spark, sf_dir):
     return bookmarks(spark, sf_dir).select(w.alias("w")).where("size(w) > 1").select(F.explode(grams).alias("gram")).where("gram IS NOT NULL").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "gram").limit(50)
 
 
-#: Assignments that look like secrets (a fixed pattern).
-SECRET = r"""\b(api[_-]?key|secret|token|password|bearer)\b\s*[:=]\s*['"][^'"\s]{12,}['"]"""
-SECRET_SQL = SECRET.replace("'", "''")
+BROKEN = " UNION ALL ".join(f"SELECT doc_id, line_no, '{n}' AS rule, line FROM l WHERE regexp_matches(line, '" + p.replace("'", "''") + "')" for n, p in AU.RULES.items())
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
-SELECT doc_id, line_no, 'secret-assignment' AS rule FROM l WHERE regexp_matches(line, '(?i){SECRET_SQL}') UNION ALL
-SELECT doc_id, line_no, 'absolute-user-home-path' FROM l WHERE regexp_matches(line, '(?i)(/Users/[a-z0-9._-]+|/home/[a-z0-9._-]+)')""")
+SELECT doc_id, line_no, rule, substring(regexp_replace(line, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'), 1, {AU.SNIPPET}) AS snippet FROM ({BROKEN})""")
 def secret_lines(spark, sf_dir):
-    line = bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    rules = F.array(
-        F.when(F.col("line").rlike("(?i)" + SECRET), "secret-assignment"),
-        F.when(F.col("line").rlike("(?i)(/Users/[a-z0-9._-]+|/home/[a-z0-9._-]+)"), "absolute-user-home-path"),
-    )
-    return line.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    lines = bookmarks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.inline(AU.split_lines(F.col("text"))))
+    return AU.violations(lines, "doc_id").withColumnRenamed("line", "line_no")
 
 
 # --- listings, joins, upserts ---------------------------------------------------
@@ -312,6 +307,22 @@ def search_mixed_by_index(spark, sf_dir):
     return S.lookup(S.index(texts(spark, sf_dir), "text", "author"), MIXED).select(F.col("id").alias("doc_id")).orderBy(F.desc("doc_id"))
 
 
+KEPT_SQL = TOKENS.replace("FROM documents", """FROM (
+SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN text || ' zzyzx' ELSE text END AS text FROM documents WHERE doc_id % 100 <> 2 UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 100 = 3)""")
+
+
+@query(f"WITH {KEPT_SQL} SELECT DISTINCT doc_id FROM po WHERE (starts_with(token, 'licens') OR token = 'zzyzx') AND doc_id NOT IN (SELECT doc_id FROM po WHERE token = 'und')")
+def search_kept_index(spark, sf_dir):
+    """An index of the whole table, then a batch that edits, deletes and adds one row in a hundred each."""
+    items = texts(spark, sf_dir).select("id", "text")
+    kept = KeptIndex(spark, shared_folder(spark), "text")
+    kept.apply(items)
+    edited = items.where("id % 100 = 1").withColumn("text", F.concat("text", F.lit(" zzyzx")))
+    added = items.where("id % 100 = 3").withColumn("id", F.col("id") + 1_000_000_000)
+    kept.apply(edited.unionAll(added), items.where("id % 100 = 2").select("id"))
+    return kept.lookup("(licens* OR zzyzx) NOT und").select(F.col("id").alias("doc_id"))
+
+
 # --- entities and derived tables ------------------------------------------------
 
 

@@ -7,6 +7,9 @@ pages: links (page_id is the bookmark) and captured pages.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,29 @@ def texts(spark, sf_dir) -> DataFrame:
     return spread(bookmarks(spark, sf_dir))
 
 
+_local_root: list[str] = []
+
+
+def shared_folder(spark) -> str:
+    """A new folder name in ``spark.checkpoint.dir``, which driver and executors share; where that
+    is unset in a local session, one in a temporary folder of this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        if not _local_root:
+            _local_root.append("file://" + tempfile.mkdtemp(prefix="lorebase-"))
+        root = _local_root[0]
+    return f"{root.rstrip('/')}/lorebase-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a shared folder: for what several later branches read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def links(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
 

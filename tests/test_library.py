@@ -270,13 +270,27 @@ def test_event_time_windows(spark, tmp_path):
             assert [r["n"] for r in got] in ([2], [2, 1])  # the last session may still be open
 
 
+#: Texts that the smallest tables lack, for queries that would find nothing in them.
+PLANTED = {
+    "secret_lines": [
+        "first\n  api_key = 'abcdefghijkl0123'  \nat /home/someone/x and token: \"0123456789abc\"",
+        "password = 'short'\nhomeward /house/x\nC:\\Users\\me \t",
+        "/Users/a.b-c " + "long " * 60 + "\n\nBEARER='a-b-c-d-e-f-g-h'\n",
+    ]
+}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
-def test_queries_match_sql(spark, name):
+def test_queries_match_sql(spark, name, tmp_path):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = catalogue.QUERIES[name](spark, SF)
+    folder = dict.fromkeys("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split(), SF)
+    if name in PLANTED:
+        folder["documents"] = str(tmp_path)
+        con.sql(f"COPY (SELECT * FROM '{SF}/documents.parquet' UNION ALL BY NAME SELECT 900000 + row_number() OVER () AS doc_id, t AS text, 'en' AS lang, 'x' AS source, length(t) AS n_chars FROM (SELECT unnest($1) AS t)) TO '{tmp_path}/documents.parquet'", params=[PLANTED[name]])
+    for t, own in folder.items():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{own}/{t}.parquet'")
+    df = catalogue.QUERIES[name](spark, folder["documents"])
     columns = sorted(df.columns)
     rows = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
     theirs = con.sql(catalogue.ORACLE[name])
