@@ -26,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import text_or_empty
-from lorebase.llm.kernel import chunks
-from lorebase.llm.tokens import encoder
+from lorebase.llm.common import releasing, text_or_empty
+from lorebase.llm.kernel import CHUNK, chunks
+from lorebase.llm.tokens import MOST, encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
@@ -126,6 +126,8 @@ def pack_documents(
     prompt_col: str | None = None,
     window: int = 1024,
     with_ids: bool = True,
+    units: int = MOST,
+    piece: int = CHUNK,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, loss_tokens`` and, unless ``with_ids`` is false, ``ids``
@@ -138,6 +140,8 @@ def pack_documents(
       stays null. Repeated rows are packed like any other. An empty table gives
       an empty result. Long texts are cut into whole sequences first.
     * ``prompt_col``: tokens at the start of an example that bear no loss (null: none).
+    * ``units`` of texts are kept encoded by a worker, and ``piece`` bytes of texts are
+      worked on at once: smaller numbers take less memory and more time.
     * Identifiers of sequences are the task's number and a running number, so a
       task that runs again gives the same rows.
     """
@@ -168,8 +172,8 @@ def pack_documents(
         count = 0
         for batch in batches:
             identifiers, prompts = batch["doc_id"].to_pylist(), batch["prompt"].to_numpy()
-            for a, b, raw, offs in chunks(batch["text"]):
-                ids, ends = encoder(tokenizer).encode(raw, offs)
+            for a, b, raw, offs in chunks(batch["text"], piece):
+                ids, ends = encoder(tokenizer, units).encode(raw, offs)
                 ids = ids.astype("<u4")
                 for i in range(a, b):
                     own = ids[ends[i - a] : ends[i - a + 1]]
@@ -182,4 +186,4 @@ def pack_documents(
         if out:
             yield rows()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), prompt.alias("prompt"), text_or_empty(text_col).alias("text")).mapInArrow(pack, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), prompt.alias("prompt"), text_or_empty(text_col).alias("text")).mapInArrow(releasing(pack), schema)

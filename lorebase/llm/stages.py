@@ -96,4 +96,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_file(), with_ids=False)
+    """All earlier stages have run in the same executors, so this one keeps to little memory."""
+    return pack_documents(docs, tokenizer_file(), with_ids=False, units=1 << 17, piece=1 << 18)

@@ -36,9 +36,13 @@ _ODD[[0xC0, 0xC1, 0xC2, *range(0xCA, 0x100)]] = True
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``most``: so many units are kept; a table has twice as many slots or more."""
+
+    def __init__(self, path: str, most: int = MOST):
         from tokenizers import Tokenizer
 
+        self.most, self.slots = most, min(SLOTS, 2 << (most - 1).bit_length())
+
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -49,8 +53,8 @@ class Encoder:
         self.of: dict[int, int] = {}
         self.pool, self.used = np.zeros(1 << 20, np.int32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.keys = np.zeros((2, SLOTS), np.uint64)
-        self.values = np.full((2, SLOTS), -1, np.int32)
+        self.keys = np.zeros((2, self.slots), np.uint64)
+        self.values = np.full((2, self.slots), -1, np.int32)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, the end id after each, and their offsets."""
@@ -104,12 +108,12 @@ class Encoder:
 
     def _find(self, keys, lowered, data, starts, ends, odd) -> np.ndarray:
         """The number of each unit in the cache, after adding those that are new."""
-        if len(self.of) > MOST:
+        if len(self.of) > self.most:
             self.clear()
         units = np.full(len(keys), -1, np.int32)
         rest = np.arange(len(keys))
         for way in (0, 1):
-            slot = ((keys[rest] >> np.uint64(20 * way)) & np.uint64(SLOTS - 1)).astype(np.int64)
+            slot = ((keys[rest] >> np.uint64(20 * way)) & np.uint64(self.slots - 1)).astype(np.int64)
             value = self.values[way][slot]
             hit = (self.keys[way][slot] == keys[rest]) & (value >= 0)
             units[rest[hit]] = value[hit]
@@ -125,7 +129,7 @@ class Encoder:
                     value[pick] = self._keep(distinct[pick], *encode(raw, starts[some], ends[some]))
             units[rest] = value[where]
             for way in (1, 0):
-                slot = ((distinct >> np.uint64(20 * way)) & np.uint64(SLOTS - 1)).astype(np.int64)
+                slot = ((distinct >> np.uint64(20 * way)) & np.uint64(self.slots - 1)).astype(np.int64)
                 free = self.values[way][slot] < 0 if way == 0 else np.ones(len(slot), bool)
                 self.keys[way][slot[free]] = distinct[free]
                 self.values[way][slot[free]] = value[free]
@@ -165,12 +169,12 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = MOST) -> Encoder:
     """The worker's encoder for that file; it lives as long as the worker."""
-    if path not in _encoders:
+    if (path, most) not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
