@@ -96,5 +96,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All earlier stages have run in the same executors, so this one keeps to little memory."""
-    return pack_documents(docs, tokenizer_file(), with_ids=False, units=1 << 17, piece=1 << 18)
+    """All earlier stages have run in the same executors, so this one keeps to little
+    memory: few texts at a time, which is why it runs here and not where its rows are read."""
+    with rows_per_batch(spark, TEXTS):
+        return staged(pack_documents(docs, tokenizer_file(), with_ids=False, units=1 << 16, piece=1 << 17), keep=True)
