@@ -1,13 +1,12 @@
 """A full-text index that is kept up: segments of postings, added to and merged.
 
-A folder holds segments and numbered manifests; the newest manifest names the
-segments in order of age, and nothing that it names is ever changed.
+The folder is that of ``segmented``: numbered manifests name the segments that hold.
 
 * A batch of added, edited and deleted rows becomes one new segment: its
   postings, sorted by word, and the identifiers that it touches. A posting
   counts unless a younger segment touches its identifier, so an edit or a
   deletion writes no more than itself.
-* Segments are kept in tiers by size: the youngest, ``FAN`` or more, become one as soon
+* Segments are kept in tiers by size: the youngest, four or more, become one as soon
   as the oldest of them is no larger than the others together; what younger ones
   have touched is left out. So a posting is written again only into a segment at
   least twice as large, and there are few segments: but for the youngest, each is
@@ -18,7 +17,6 @@ segments in order of age, and nothing that it names is ever changed.
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from functools import reduce
@@ -27,9 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.operators.search import index, lookup, parse, parts_of
+from lorebase.operators.segmented import Segmented, merge_from
 
-#: Segments that are merged at least.
-FAN = 4
 #: Postings to a file, about.
 FILE_ROWS = 2_000_000
 #: A lookup that opens files of at most so many postings is one task.
@@ -37,45 +34,12 @@ ONE_TASK = 4_000_000
 POSTINGS = "token string, id bigint, column string, places array<bigint>"
 
 
-class KeptIndex:
+class KeptIndex(Segmented):
     """An index over ``columns`` of rows with an ``id``, kept in the folder ``path``."""
 
     def __init__(self, spark: SparkSession, path: str, *columns: str):
-        self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
-        jvm = spark._jvm
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, *names: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
-
-    def _versions(self) -> list[int]:
-        folder = self._at("manifest")
-        if not self._fs.exists(folder):
-            return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
-
-    def manifest(self) -> dict:
-        """Version, and segments from the oldest to the youngest."""
-        versions = self._versions()
-        if not versions:
-            return {"version": 0, "segments": []}
-        return json.loads(self._text(versions[-1]))
-
-    def _text(self, version: int) -> str:
-        stream = self._fs.open(self._at("manifest", f"{version:010d}.json"))
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _commit(self, before: dict, segments: list[dict]) -> None:
-        """Fails if another writer has made the same version meanwhile."""
-        version = before["version"] + 1
-        name = f"{version:010d}.json"
-        stream = self._fs.create(self._at("manifest", name), False)
-        stream.write(bytearray(json.dumps({"version": version, "segments": segments}).encode()))
-        stream.close()
+        super().__init__(spark, path)
+        self.columns = columns
 
     def _segment(self, postings: DataFrame, ids: DataFrame, rows: int | None = None) -> dict:
         """Write a segment. ``rows``: about how many postings there are, if known."""
@@ -148,27 +112,7 @@ class KeptIndex:
         asked = list(dict.fromkeys((w, p.prefix and i == len(p.words) - 1) for p in parts_of(parse(expression)) for i, w in enumerate(p.words)))
         return lookup(self._postings(self.manifest()["segments"], asked), expression)
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Remove manifests but the last ``keep`` and the segments that none names. No writer may run meanwhile."""
-        versions = self._versions()
-        for v in versions[: max(0, len(versions) - keep)]:
-            self._fs.delete(self._at("manifest", f"{v:010d}.json"), False)
-        named = {x["name"] for v in self._versions() for x in json.loads(self._text(v))["segments"]}
-        gone = [n for n in (x.getPath().getName() for x in self._fs.listStatus(self._at())) if n != "manifest" and n not in named]
-        for n in gone:
-            self._fs.delete(self._at(n), True)
-        return gone
-
 
 def may_hold(first: str, last: str, word: str, prefix: bool) -> bool:
     """Whether a file of words from ``first`` to ``last`` may hold the word, or one that starts with it."""
     return first <= word <= last or prefix and first[: len(word)] <= word <= last
-
-
-def merge_from(sizes: list[int]) -> int | None:
-    """The place of the first of the youngest segments that are to be merged, if any: of
-    ``FAN`` or more, where the oldest is no larger than the others together."""
-    for start in range(len(sizes) - FAN + 1):
-        if sizes[start] <= sum(sizes[start + 1 :]):
-            return start
-    return None

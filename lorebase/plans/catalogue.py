@@ -16,6 +16,7 @@ from lorebase.operators import entities as E
 from lorebase.operators import records as R
 from lorebase.operators import search as S
 from lorebase.operators import writes as W
+from lorebase.operators.deltas import Derived
 from lorebase.operators.kept_index import KeptIndex
 from lorebase.sources import audit as AU
 from lorebase.sources import exports as X_
@@ -366,9 +367,28 @@ def entity_extract_untyped(spark, sf_dir):
     return texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_join(names, "|").alias("names")).where("names <> ''")
 
 
-def _members(spark, sf_dir):
-    labelled = _classified(spark, sf_dir).select("id", "primary", "confidence")
-    return D.clusters(labelled, _entities(spark, sf_dir))
+CHANGED_SQL = NAMED.replace("FROM documents", """FROM (
+SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'Zyx Tool. ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 2)""")
+
+
+@query(f"WITH {CHANGED_SQL} SELECT lower(name) AS name, type, count(*) AS mentions FROM en GROUP BY ALL HAVING count(*) >= 3")
+def mentions_kept_by_changes(spark, sf_dir):
+    """The whole table taken up, then one row in ten edited and one in ten deleted as signed changes."""
+    items = texts(spark, sf_dir).select("id", "author", "text", F.lit(None).cast("array<string>").alias("links"))
+    kept = Derived(spark, shared_folder(spark))
+    kept.apply(after=items)
+    edited = items.where("id % 10 = 1").withColumn("text", F.concat(F.lit("Zyx Tool. "), "text"))
+    kept.apply(before=items.where("id % 10 IN (1, 2)"), after=edited)
+    return kept.mentions(least=3)
+
+
+def _labels(spark, sf_dir):
+    """(id, primary, confidence): texts are classified once, however often this is read."""
+    return written(_classified(spark, sf_dir).select("id", "primary", "confidence"))
+
+
+def _members(spark, sf_dir, entities=None):
+    return D.clusters(_labels(spark, sf_dir), written(_entities(spark, sf_dir)) if entities is None else entities)
 
 
 SLUG = "regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -388,20 +408,23 @@ def clusters(spark, sf_dir):
 @query()
 def project_ideas(spark, sf_dir):
     hosts = links(spark, sf_dir).select("id", X.link_domain(F.col("url")).alias("domain"))
-    return D.project_ideas(_members(spark, sf_dir), _entities(spark, sf_dir), domains=hosts, texts=bookmarks(spark, sf_dir))
+    entities = written(_entities(spark, sf_dir))
+    return D.project_ideas(_members(spark, sf_dir, entities), entities, domains=hosts, texts=bookmarks(spark, sf_dir))
 
 
 @query(f"WITH {CLUSTERS}, h AS (SELECT cluster FROM cl GROUP BY cluster, category HAVING category IN ({', '.join(f"'{c}'" for c in AUDIENCES)}) AND count(*) >= 3) SELECT cluster, doc_id FROM cl JOIN h USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, doc_id) <= 6")
 def project_evidence(spark, sf_dir):
     """The first members of each idea's cluster, by score."""
-    members = _members(spark, sf_dir)
-    return D.evidence(members).join(D.project_ideas(members, _entities(spark, sf_dir)).select("cluster"), "cluster").select("cluster", F.col("id").alias("doc_id"))
+    entities = written(_entities(spark, sf_dir))
+    members = _members(spark, sf_dir, entities)
+    return D.evidence(members).join(D.project_ideas(members, entities).select("cluster"), "cluster").select("cluster", F.col("id").alias("doc_id"))
 
 
 @query(f"WITH {CLUSTERS} SELECT cluster, count(*) AS members, arg_max(category, (n, category)) AS category, round(least(0.9, 0.3 + max(n) / sum(n) * 0.4), 6) AS confidence FROM (SELECT cluster, category, count(*) AS n FROM cl GROUP BY ALL) GROUP BY cluster HAVING arg_max(category, (n, category)) IN ({', '.join(f"'{c}'" for c in AUDIENCES)}) AND max(n) >= 3".replace("count(*) AS members, arg_max", "sum(n)::BIGINT AS members, arg_max"))
 def project_confidence(spark, sf_dir):
     """Majority category of each idea's cluster, and the confidence from its share."""
-    return D.project_ideas(_members(spark, sf_dir), _entities(spark, sf_dir)).select("cluster", "members", "category", F.round("confidence", 6).alias("confidence"))
+    entities = written(_entities(spark, sf_dir))
+    return D.project_ideas(_members(spark, sf_dir, entities), entities).select("cluster", "members", "category", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {KW}, s AS (SELECT prim AS category, count(*) AS members FROM pr WHERE confidence >= 0.4 GROUP BY prim) SELECT category, members, category IN ({', '.join(f"'{c}'" for c in AUDIENCES)}) AND members >= 3 AS high_signal FROM s""")
@@ -412,7 +435,7 @@ def category_signal(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     items = bookmarks(spark, sf_dir)
-    labelled = _classified(spark, sf_dir).select("id", "primary", "confidence")
+    labelled = _labels(spark, sf_dir)
     handles = items.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(HANDLE), F.lit(1)))).alias("name"))
     members = labelled.where("confidence >= 0.4").select("id", F.concat(F.lit("cluster-"), "primary").alias("cluster"), F.col("confidence").alias("score"))
     return D.graph(items, labelled, handles, links(spark, sf_dir), members)
@@ -442,8 +465,9 @@ def graph_stats(spark, sf_dir):
 
 def _whole_graph(spark, sf_dir):
     """With entities, real clusters and projects, which SQL can't tell."""
-    entities, members = _entities(spark, sf_dir), _members(spark, sf_dir)
-    return D.graph(bookmarks(spark, sf_dir), _classified(spark, sf_dir).select("id", "primary"), entities, links(spark, sf_dir), members, D.project_ideas(members, entities))
+    entities, labels = written(_entities(spark, sf_dir)), _labels(spark, sf_dir)
+    members = D.clusters(labels, entities)
+    return D.graph(bookmarks(spark, sf_dir), labels.select("id", "primary"), entities, links(spark, sf_dir), members, D.project_ideas(members, entities))
 
 
 @query()
