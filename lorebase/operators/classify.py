@@ -99,6 +99,7 @@ def tags(text: Column, primary: Column, links: Column | None = None) -> Column:
 
 def why_it_matters(text: Column, primary: Column, links: Column | None = None) -> Column:
     domains = F.array_sort(F.array_distinct(F.filter(F.transform(links, X.link_domain), lambda d: d != ""))) if links is not None else F.array().cast("array<string>")
+    # The sentences below are fixed values.
     suffix = F.when(F.size(domains) > 0, F.concat(F.lit(" Links out to "), F.array_join(F.slice(domains, 1, 3), ", "), F.lit("."))).otherwise(F.lit(""))
     return (
         F.when(X.looks_like_question(text), F.lit("This bookmark asks a question, so captured thread and reply context can turn the discussion into reusable knowledge."))
