@@ -183,8 +183,8 @@ def bind(value: Column, use) -> Column:
 
 
 def inline(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A small table of literals."""
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])))
+    """A small table of literals, in one partition."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])))
 
 
 @dataclass
@@ -233,8 +233,19 @@ def variants(spark: SparkSession) -> DataFrame:
     return made.where(cue | (F.col("label") == UNKNOWN))
 
 
+#: Models fitted by this process, by their strength: the training set is fixed, so a second fit would give the same.
+_fitted: dict[float, LicenceModel] = {}
+
+
 def fit_licences(spark: SparkSession, strength: float = 0.002) -> LicenceModel:
-    """Fit on the variants. The training set is fixed and has a few hundred rows."""
+    """Fit on the variants. The training set is fixed and has a few hundred rows, in one
+    partition; a model is fitted once a process."""
+    if strength not in _fitted:
+        _fitted[strength] = _fit(spark, strength)
+    return _fitted[strength]
+
+
+def _fit(spark: SparkSession, strength: float) -> LicenceModel:
     data = variants(spark).withColumn("grams", ngrams(F.col("words"))).select("label", "held", "grams").cache()
     classes = sorted([*NOTICES, UNKNOWN])
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1

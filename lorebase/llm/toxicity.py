@@ -17,6 +17,7 @@ scores are probabilities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -95,19 +96,22 @@ def text_features(text: str) -> np.ndarray:
 _GROUP_OF = {t: g for g in IDENTITY_TERMS for t in g}
 
 
-def swaps(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each sentence with identity terms: features that a swap takes out, and puts in."""
+def swaps(text: str, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each sentence with identity terms: features that a swap takes out, and puts in.
+    Of more than ``most`` sentences, those with the least crc32 are taken."""
     low = text.lower()
     if not any(t in low for t in _GROUP_OF):
         return []
-    out = []
+    changed = []
     for sentence in low.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
         words = sentence.split()
         other = [g[(g.index(b) + 1) % len(g)] if (g := _GROUP_OF.get(b := w.strip(",;:\"'()"))) else w for w in words]
         if other != words:
-            a, b = text_features(" ".join(words)), text_features(" ".join(other))
-            out.append((np.setdiff1d(a, b), np.setdiff1d(b, a)))
-    return out
+            changed.append((" ".join(words), " ".join(other)))
+    if len(changed) > most:
+        changed = sorted(changed, key=lambda c: (zlib.crc32(c[0].encode("utf-8", "surrogatepass")), c))[:most]
+    pairs = [(text_features(x), text_features(y)) for x, y in changed]
+    return [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in pairs]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs: list, place: np.ndarray, l1: float = 1e-4, swap: float = 1.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
@@ -197,6 +201,7 @@ def fit_toxicity(
     most_clean: int = 6000,
     screen: float = 2.5,
     least: int = 4,
+    most_swaps: int = 16,
 ) -> Model:
     """The model of the labelled rows that are not held out; see ``toxicity``."""
     known = (
@@ -207,7 +212,6 @@ def fit_toxicity(
         .agg(F.max("label").alias("label"))
     )
     totals = {r["label"]: r["n"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("label > 0").orderBy(*by_hash).limit(most_toxic).union(known.where("label <= 0").orderBy(*by_hash).limit(most_clean))
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -218,12 +222,14 @@ def fit_toxicity(
             rows = []
             for x, y, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "label", "text"))):
                 rows.append((x, y, 0, text_features(text), []))
-                rows += [(x, y, 1, a, b) for a, b in swaps(text)]
+                rows += [(x, y, 1, a, b) for a, b in swaps(text, most_swaps)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), ints, ints))], names=["doc_id", "label", "pair", "a", "b"])
 
     # The sample has at most most_toxic + most_clean rows of two numbers: safe to broadcast.
+    # Of rows with one identifier that with the least hash is learnt from; maps combine them first.
+    one = plain.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
     with rows_per_batch(docs.sparkSession, TEXTS):
-        gathered = staged(plain.join(F.broadcast(sample), "doc_id").mapInArrow(releasing(gather), "doc_id bigint, label int, pair int, a array<int>, b array<int>"))
+        gathered = staged(one.select("doc_id", "label", "least.text").mapInArrow(releasing(gather), "doc_id bigint, label int, pair int, a array<int>, b array<int>"))
     whole = gathered.where("pair = 0")
     size = whole.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("n1")).first()
     n, n1 = size["n"], size["n1"]
@@ -276,7 +282,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     * The model is fitted on the driver from a bounded sample, ``most_toxic`` and
       ``most_clean`` rows that come first by a hash of the identifier; only the
       features of their whole texts that pass the screening get there
-      (``least`` sample rows or more, ``screen`` standard errors). Everything is scored.
+      (``least`` sample rows or more, ``screen`` standard errors). One text an
+      identifier is learnt from, that with the least hash, and at most
+      ``most_swaps`` swapped sentences of it. Everything is scored.
     * Null or empty texts have no features and get the intercept's score; null
       labels aren't learnt from; of several labels of an identifier the largest
       counts. Null identifiers are never held out nor labelled. Without labels of

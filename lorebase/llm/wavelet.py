@@ -255,7 +255,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     files = staged(
         plain.mapInArrow(encode, "doc_id bigint, shard int, width int, ids binary")
-        .repartition(shards, "shard")
+        .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "doc_id", "ids")
         .mapInArrow(write, "shard int, part int, path string, documents bigint, ids bigint")
     )
