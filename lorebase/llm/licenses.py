@@ -256,8 +256,9 @@ def _fit(spark: SparkSession, strength: float) -> LicenceModel:
         regression = LogisticRegression(labelCol="class", family="multinomial", regParam=strength, elasticNetParam=1.0, maxIter=40)
         found = regression.fit(counter.transform(rows).select("class", "features"))
         matrix = found.coefficientMatrix.toArray()
+        vocabulary = counter.vocabulary  # each call copies all of it from the JVM
         used = (abs(matrix) > 1e-6).any(axis=0).nonzero()[0]
-        return LicenceModel(classes, [float(x) for x in found.interceptVector], {counter.vocabulary[i]: [round(float(x), 5) for x in matrix[:, i]] for i in used})
+        return LicenceModel(classes, [float(x) for x in found.interceptVector], {vocabulary[i]: [round(float(x), 5) for x in matrix[:, i]] for i in used})
 
     # The temperature with the least log loss on notices and sentences that the first fit has not seen.
     first = fitted(data.where("NOT held"))
