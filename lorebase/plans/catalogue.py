@@ -12,6 +12,7 @@ from lorebase.functions.taxonomy import AUDIENCES, DEFAULT
 from lorebase.operators import analysis as A
 from lorebase.operators import classify as C
 from lorebase.operators import derive as D
+from lorebase.operators import enrich as N
 from lorebase.operators import entities as E
 from lorebase.operators import records as R
 from lorebase.operators import search as S
@@ -20,6 +21,7 @@ from lorebase.operators.deltas import Derived
 from lorebase.operators.kept_index import KeptIndex
 from lorebase.sources import audit as AU
 from lorebase.sources import exports as X_
+from lorebase.sources import web
 from lorebase.plans.model import bookmarks, enrichments, links, review, shared_folder, table, texts, written
 
 QUERIES: dict[str, Callable] = {}
@@ -523,6 +525,54 @@ def page_main_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length(plain).cast("bigint").alias("text_chars"))
 
 
+@query()
+def page_outline(spark, sf_dir):
+    """Title, main part and links of every page."""
+    o = table(spark, sf_dir, "pages").select("page_id", web.outline(F.col("html")).alias("o"))
+    return o.select("page_id", "o.title", "o.part", F.length("o.content").cast("bigint").alias("content_chars"), F.size("o.links").cast("bigint").alias("links"), F.md5("o.text").alias("text_md5"))
+
+
+def _captures(spark, sf_dir):
+    """Captures of bookmarks that have a page, as a collector gives them: the payload has the text, the
+    page as an image and as a link, and the conversation of that identifier."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    own = bookmarks(spark, sf_dir).select("id", "text").join(pages, "id").join(turns, "id", "left")
+    payload = F.to_json(
+        F.struct(
+            "url",
+            F.col("text").alias("content_text"),
+            F.array(F.struct(F.concat("url", F.lit("/a.png")).alias("url"), F.substring("text", 1, 20).alias("alt"))).alias("media"),
+            F.array(F.struct("url", F.lit("read").alias("text"))).alias("outbound_links"),
+            F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("conversation_items"),
+        )
+    )
+    return own.select("id", F.col("url").alias("status_url"), F.lit("").alias("text"), payload.alias("payload"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, url, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents JOIN pages ON page_id = doc_id),
+c AS (SELECT conv_id, turn, role, text, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM conversations),
+u AS (SELECT * FROM c WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, substring(t, 1, 140) ORDER BY turn, role, text) = 1),
+n AS (SELECT conv_id FROM u GROUP BY conv_id HAVING count(*) >= 2)
+SELECT doc_id, 'x-status' AS source_type, url AS source_url, length(t)::BIGINT AS chars FROM x WHERE t <> ''
+UNION ALL SELECT doc_id, 'x-conversation', url || '#conversation', NULL FROM x JOIN n ON conv_id = doc_id WHERE t <> ''
+UNION ALL SELECT doc_id, 'image-analysis', url || '/a.png', length(substring(text, 1, 20)) FROM x WHERE t <> '' AND trim(substring(text, 1, 20)) <> '' AND NOT contains(url, '?') AND NOT contains(url, '#')""")
+def enrich_outputs(spark, sf_dir):
+    """Texts, threads and images of all captures that are kept; linked pages are in ``enrich_counters``."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("requested"), "url", "html")
+    rows = N.enrich(_captures(spark, sf_dir), pages, thread="always").where("state = 'enriched' AND source_type <> 'linked-page'")
+    chars = F.when(F.col("source_type") != "x-conversation", F.length("content")).cast("bigint")
+    return rows.select(F.col("id").alias("doc_id"), "source_type", "source_url", chars.alias("chars"))
+
+
+@query()
+def enrich_counters(spark, sf_dir):
+    """Outputs of all captures by kind and state, linked pages among them."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("requested"), "url", "html")
+    rows = N.enrich(_captures(spark, sf_dir), pages)
+    return rows.groupBy("source_type", "state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
 @query(r"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM conversations),
 u AS (SELECT * FROM c WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, substring(t, 1, 140) ORDER BY turn) = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS k, count(*) OVER (PARTITION BY conv_id) AS items FROM u),
