@@ -22,7 +22,7 @@ from lorebase.operators.kept_index import KeptIndex
 from lorebase.sources import audit as AU
 from lorebase.sources import exports as X_
 from lorebase.sources import web
-from lorebase.plans.model import bookmarks, enrichments, links, review, shared_folder, table, texts, written
+from lorebase.plans.model import bookmarks, enrichments, links, review, shared_folder, spread, table, texts, written
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -88,6 +88,26 @@ def classify_rationale(spark, sf_dir):
     return _classified(spark, sf_dir).where("size(labels) > 0").select(F.col("id").alias("doc_id"), F.col("labels")[0]["slug"].alias("slug"), F.col("labels")[0]["rationale"].alias("rationale"))
 
 
+#: Bookmarks' links as a collector might give them: a repository, a paper or a video, by language.
+LINKED = "CASE lang WHEN 'en' THEN concat('https://github.com/en/', source) WHEN 'de' THEN concat('https://arxiv.org/abs/', doc_id) ELSE concat('https://www.youtube.com/watch?v=', doc_id) END"
+_PLACE = {c: i for i, c in enumerate(DEFAULT.categories)}
+_BOOSTS = _values([(_PLACE[c], c, d, w) for d, own in DEFAULT.boosts.items() for c, w in own.items() if c in _PLACE])
+
+
+@query(rf"""WITH kw(place, slug, keyword, weight) AS (VALUES {_values(DEFAULT.weights())}), bo(place, slug, domain, weight) AS (VALUES {_BOOSTS}),
+si(place, slug, pattern, weight) AS (VALUES {_values([(_PLACE[c], c, p, w) for c, p, w in (("coding", r"github\.com/[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+", 3.0), ("open-source", r"github\.com/[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+", 1.5), ("papers", r"arxiv\.org", 3.0))])}),
+lk AS (SELECT doc_id, lower(text) AS low, {LINKED} AS url FROM documents),
+pt AS (SELECT doc_id, place, slug, weight FROM lk, kw WHERE contains(low, keyword) UNION ALL SELECT doc_id, place, slug, weight FROM lk JOIN bo ON domain = regexp_replace(regexp_extract(url, '^https://([^/?#]*)', 1), '^www\.', '')
+UNION ALL SELECT doc_id, place, slug, weight FROM lk, si WHERE regexp_matches(url, pattern)),
+sc AS (SELECT doc_id, place, slug, sum(weight)::DOUBLE AS score FROM pt GROUP BY ALL),
+rk AS (SELECT doc_id, slug, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS rank, sum(score) OVER (PARTITION BY doc_id) AS total FROM sc)
+SELECT doc_id, rank, slug, round(least(0.95::DOUBLE, 0.3::DOUBLE + (score / total) * 0.65::DOUBLE), 3) AS confidence FROM rk WHERE rank <= 5""")
+def classify_linked(spark, sf_dir):
+    """The five best categories of texts with a link each: boosts of domains, repositories and papers count."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.expr(LINKED)).alias("urls")))
+    return C.classify(rows, links="urls").select("doc_id", F.posexplode("labels").alias("place", "x")).select("doc_id", (F.col("place") + 1).cast("bigint").alias("rank"), "x.slug", "x.confidence")
+
+
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TERMS = f"""tk AS (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{X.WORD}') AS w FROM documents)),
 tm AS (SELECT doc_id, lower(raw) AS w, count(*) AS n, min(i) AS i FROM tk WHERE length(raw) > 3 AND lower(raw) NOT IN ({STOP}) GROUP BY ALL),
@@ -810,12 +830,20 @@ def topic_page_lines(spark, sf_dir):
     return X_.index_pages(rows).where("path <> 'index.md' AND place = 4").select("path", "line")
 
 
-MEDIA = [(1, 5, '{"media":[{"url":"https://i.example/a.png?format=JPEG","alt":"one"},{"url":"https://i.example/b.webp"},{"url":"https://i.example/a.png?format=JPEG"}]}'), (1, 6, '{"media":[{"url":"https://i.example/b.webp","alt":"late"}]}'), (2, 1, '{"media": broken'), (3, 1, '{"media":[]}'), (4, 2, '{"other":1}'), (5, 1, '{"media":[{"url":"https://i.example/c","alt":"three"}]}')]
+#: Metadata that the pages lack: repeats, broken JSON, none.
+MEDIA = [(-1, 5, '{"media":[{"url":"https://i.example/a.png?format=JPEG","alt":"one"},{"url":"https://i.example/b.webp"},{"url":"https://i.example/a.png?format=JPEG"}]}'), (-1, 6, '{"media":[{"url":"https://i.example/b.webp","alt":"late"}]}'), (-2, 1, '{"media": broken'), (-3, 1, '{"media":[]}'), (-4, 2, '{"other":1}'), (-5, 1, '{"media":[{"url":"https://i.example/c","alt":"three"}]}')]
 
 
-@query("SELECT * FROM (VALUES (1, 'https://i.example/a.png?format=JPEG', 'one', 0, '.jpg'), (1, 'https://i.example/b.webp', '', 1, '.webp'), (5, 'https://i.example/c', 'three', 0, '.jpg')) v(id, url, alt, place, extension)")
+@query(rf"""SELECT page_id AS id, url || '/a.webp' AS url, {TITLE} AS alt, 0 AS place, CASE WHEN regexp_matches(url, '[?#]') THEN '.jpg' ELSE '.webp' END AS extension FROM pages
+UNION ALL SELECT page_id, url || '/b', '', 2, '.jpg' FROM pages
+UNION ALL SELECT * FROM (VALUES (-1, 'https://i.example/a.png?format=JPEG', 'one', 0, '.jpg'), (-1, 'https://i.example/b.webp', '', 1, '.webp'), (-5, 'https://i.example/c', 'three', 0, '.jpg')) v(id, url, alt, place, extension)""")
 def media_records(spark, sf_dir):
-    e = spark.createDataFrame(MEDIA, "id int, captured_at int, metadata string")
+    """Media of the metadata of all pages, one of them told twice, and of ``MEDIA``."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    a = F.struct(F.concat("url", F.lit("/a.webp")).alias("url"), F.col("title").alias("alt"))
+    b = F.struct(F.concat("url", F.lit("/b")).alias("url"), F.lit(None).cast("string").alias("alt"))
+    own = pages.select("id", F.lit(1).alias("captured_at"), F.to_json(F.struct(F.array(a, a, b).alias("media"))).alias("metadata"))
+    e = own.unionByName(spark.createDataFrame(MEDIA, "id long, captured_at int, metadata string"))
     return D.media_records(e).withColumn("extension", X_.image_extension(F.col("url")))
 
 
