@@ -20,6 +20,7 @@ of them lacks too many 3-grams of every notice.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
@@ -182,9 +183,15 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def inline(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A small table of literals, in one partition."""
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])))
+def constant(value, kind: str) -> Column:
+    """A constant of type ``kind``. It is one expression until the optimizer folds it, where
+    thousands of literals would each be analysed wherever they are used."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def inline(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
+    """A small fixed table, in one partition."""
+    return spark.range(0, 1, 1, 1).select(F.inline(constant(rows, f"array<struct<{kind}>>")))
 
 
 @dataclass
@@ -199,8 +206,8 @@ class LicenceModel:
         zero = F.array(*[F.lit(x) for x in self.intercepts])
         if not self.weights:
             return zero
-        table = F.map_from_arrays(F.array(*[F.lit(g) for g in self.weights]), F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in self.weights.values()]))
-        known = F.array_intersect(grams, F.array(*[F.lit(g) for g in self.weights]))
+        table = constant({g: [float(x) for x in w] for g, w in self.weights.items()}, "map<string,array<double>>")
+        known = F.array_intersect(grams, constant(list(self.weights), "array<string>"))
         return F.aggregate(known, zero, lambda sums, g: F.zip_with(sums, F.element_at(table, g), lambda a, b: a + b))
 
     def probabilities(self, logits: Column) -> Column:
@@ -217,8 +224,8 @@ def variants(spark: SparkSession) -> DataFrame:
     """Training rows ``label, words, held``: each notice whole, cut at either end,
     with every n-th word left out, and with other words around it. Held are all
     variants of every third notice of a family, and of every third sentence."""
-    rows = [(f, n, i % 3 == 1) for f, notices in NOTICES.items() for i, n in enumerate(notices)] + [(UNKNOWN, n, i % 3 == 1) for i, n in enumerate(OTHERWISE)]
-    base = inline(spark, rows, ["label", "line", "held"]).select("label", "held", words(F.col("line")).alias("w"))
+    rows = [{"label": f, "line": n, "held": i % 3 == 1} for f, notices in (NOTICES | {UNKNOWN: OTHERWISE}).items() for i, n in enumerate(notices)]
+    base = inline(spark, rows, "label:string,line:string,held:boolean").select("label", "held", words(F.col("line")).alias("w"))
     n = F.size("w")
     plain = [F.col("w")]
     cut = [F.slice("w", 1, F.greatest(F.lit(3), (n * x).cast("int"))) for x in (0.6, 0.75, 0.9)]
@@ -229,7 +236,7 @@ def variants(spark: SparkSession) -> DataFrame:
     made = base.select("label", "held", F.explode(F.array(*plain, *cut, *holes, *around)).alias("words"))
     # A part of a notice that no scan would score teaches nothing.
     line = F.array_join("words", " ")
-    cue = F.exists(F.array(*map(F.lit, gate(NOTICES, CONFIRM))), lambda c: F.contains(line, c))
+    cue = F.exists(constant(gate(NOTICES, CONFIRM), "array<string>"), lambda c: F.contains(line, c))
     return made.where(cue | (F.col("label") == UNKNOWN))
 
 
@@ -290,8 +297,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = model or fit_licences(spark)
     unknown = model.classes.index(UNKNOWN)
     shapes = {f: [inline_ngrams(n) for n in NOTICES.get(f, ())] for f in model.classes}
-    templates = F.array(*[F.array(*[F.array(*map(F.lit, s)) for s in shapes[f]]) if shapes[f] else F.array().cast("array<array<string>>") for f in model.classes])
-    names = F.array(*[F.lit(c) for c in model.classes])
+    templates = constant([shapes[f] for f in model.classes], "array<array<array<string>>>")
+    names = constant(model.classes, "array<string>")
     cues = gate({f: NOTICES[f] for f in model.classes if f in NOTICES}, confirm)
 
     def judge(w: Column, place: Column) -> Column:
@@ -304,7 +311,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sure = lambda j: (j["top"] != unknown) & (j["probability"] >= certain) & (j["overlap"] >= confirm)
     lines = F.split("text", "\n")
-    has = lambda low: F.reduce(F.array(*[F.lit(c) for c in cues]), F.lit(False), lambda a, c: a | F.contains(low, c))
+    has = lambda low: F.reduce(constant(cues, "array<string>"), F.lit(False), lambda a, c: a | F.contains(low, c))
     numbered = F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     wanted = F.filter(numbered, lambda s: bind(F.array_join(F.get("tokens", s["i"]), " "), has))
     by_line = F.filter(F.transform(wanted, lambda s: judge(words(s["x"]), s["i"])), sure)
