@@ -43,11 +43,11 @@ class Segmented:
         finally:
             stream.close()
 
-    def _commit(self, before: dict, segments: list[dict]) -> None:
-        """Fails if another writer has made the same version meanwhile."""
+    def _commit(self, before: dict, segments: list[dict], **more) -> None:
+        """Fails if another writer has made the same version meanwhile. ``more`` is kept in the manifest."""
         version = before["version"] + 1
         stream = self._fs.create(self._at("manifest", f"{version:010d}.json"), False)
-        stream.write(bytearray(json.dumps({"version": version, "segments": segments}).encode()))
+        stream.write(bytearray(json.dumps({"version": version, "segments": segments, **more}).encode()))
         stream.close()
 
     def vacuum(self, keep: int = 1) -> list[str]:

@@ -14,6 +14,7 @@ from lorebase.operators import classify as C
 from lorebase.operators import derive as D
 from lorebase.operators import enrich as N
 from lorebase.operators import entities as E
+from lorebase.operators import pairs as N_
 from lorebase.operators import records as R
 from lorebase.operators import search as S
 from lorebase.operators import writes as W
@@ -22,6 +23,7 @@ from lorebase.operators.kept_index import KeptIndex
 from lorebase.sources import audit as AU
 from lorebase.sources import exports as X_
 from lorebase.sources import web
+from lorebase.streaming.kept_table import KeptTable
 from lorebase.plans.model import bookmarks, enrichments, links, review, shared_folder, spread, table, texts, written
 
 QUERIES: dict[str, Callable] = {}
@@ -184,6 +186,14 @@ def ngram_top(spark, sf_dir):
     return bookmarks(spark, sf_dir).select(w.alias("w")).where("size(w) > 1").select(F.explode(grams).alias("gram")).where("gram IS NOT NULL").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "gram").limit(50)
 
 
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE octet_length(encode(text)) > 1),
+p AS (SELECT substr(x, (2 * i + 1)::BIGINT, 4) AS pair FROM (SELECT x, unnest(range(length(x) // 2 - 1)) AS i FROM h))
+SELECT pair, count(*) AS n FROM p GROUP BY pair""")
+def byte_pair_counts(spark, sf_dir):
+    """Counts of neighbouring bytes of whole texts: what a codec by byte pairs would merge first."""
+    return N_.byte_pairs(texts(spark, sf_dir), "text")
+
+
 BROKEN = " UNION ALL ".join(f"SELECT doc_id, line_no, '{n}' AS rule, line FROM l WHERE regexp_matches(line, '" + p.replace("'", "''") + "')" for n, p in AU.RULES.items())
 
 
@@ -404,6 +414,18 @@ def mentions_kept_by_changes(spark, sf_dir):
     return kept.mentions(least=3)
 
 
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, sha256(event_id::VARCHAR) DESC) AS n
+FROM events WHERE user_id IS NOT NULL) WHERE n = 1""")
+def last_event_kept_by_batches(spark, sf_dir):
+    """The last event of each user, from batches that bring the youngest days first and one of them again."""
+    events = table(spark, sf_dir, "events").withColumn("content_hash", X.content_hash(F.col("event_id"))).drop("props")
+    kept = KeptTable(spark, shared_folder(spark), events.schema, "user_id", "ts")
+    day = F.coalesce(F.dayofmonth("ts"), F.lit(0))
+    for n, part in enumerate((day > 20, day.between(11, 20), day < 11, day > 20)):
+        kept.apply(events.where(part), n)
+    return kept.current().select("user_id", "event_id", "event_type", "value")
+
+
 def _labels(spark, sf_dir):
     """(id, primary, confidence): texts are classified once, however often this is read."""
     return written(_classified(spark, sf_dir).select("id", "primary", "confidence"))

@@ -101,10 +101,11 @@ def start(spark: SparkSession, source: str, writer: TableWriter, checkpoint: str
     return items(spark, source, files).writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, known: DataFrame | None = None, stop_after: int | None = None, stop_at_known: int | None = None, report: Callable[[dict], None] | None = None, files: int = 100) -> dict:
+def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, known: DataFrame | None = None, stop_after: int | None = None, stop_at_known: int | None = None, report: Callable[[dict], None] | None = None, files: int = 100, writer=None) -> dict:
     """Everything there is now, in batches; ends earlier after ``stop_after`` batches in a
-    row without a new item, or ``stop_at_known`` without one that isn't known. Returns the counts."""
-    writer = TableWriter(table, known, report)
+    row without a new item, or ``stop_at_known`` without one that isn't known. Returns the counts.
+    ``writer`` is a ``TableWriter`` by default; a ``KeptTable`` writes no more than each batch brings."""
+    writer = writer or TableWriter(table, known, report)
     query = start(spark, source, writer, checkpoint, files)
     done = False
     while not done:
