@@ -20,6 +20,7 @@ from lorebase.operators import search as S
 from lorebase.operators import writes as W
 from lorebase.operators.deltas import Derived
 from lorebase.operators.kept_index import KeptIndex
+from lorebase.operators.vectors import VectorIndex
 from lorebase.sources import audit as AU
 from lorebase.sources import exports as X_
 from lorebase.sources import web
@@ -696,6 +697,17 @@ def label_centroids(spark, sf_dir):
     return e.groupBy("label", (F.col("d") + 1).cast("bigint").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
+@query(f"""WITH v AS (SELECT vec_id, embedding AS e, sqrt({DOT.format(a='embedding', b='embedding')}) AS n FROM embeddings),
+s AS (SELECT q.vec_id, v.vec_id AS other, round({DOT.format(a='q.e', b='v.e')} / (q.n * v.n), 4) AS similarity FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND q.n > 0 AND v.n > 0)
+SELECT vec_id, rank, similarity FROM (SELECT vec_id, similarity, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC) AS rank FROM s) WHERE rank <= 5""")
+def nearest_by_index(spark, sf_dir):
+    """The five largest similarities of each vector whose identifier is divisible by 50, by an index of all vectors."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    dims = v.agg(F.mode(F.size("vector"))).first()[0]
+    index = VectorIndex.build(v, shared_folder(spark), dims or 0)
+    return index.search(v.where("id % 50 = 0")).select(F.col("id").alias("vec_id"), "rank", F.round("cosine", 4).alias("similarity"))
+
+
 # --- extensions: windows, sets, cubes, joins in time and ranges -----------------
 
 
