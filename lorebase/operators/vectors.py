@@ -15,16 +15,19 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorebase.operators.nearest import CELL_ROWS, SLACK, met, ranked
+
 #: Rows at most that centroids are fitted on (those of the least hashes of their identifiers).
 SAMPLE = 20_000
-#: Above what rounding may change in a similarity.
-SLACK = 3e-6
-UNIT = "id bigint, unit array<double>, list int"
+UNIT = "id bigint, unit array<double>, angle double, list int"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,7 +49,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.dims, *rows = [json.loads(r["value"]) for r in spark.read.text(f"{path}/centroids").orderBy(F.get_json_object("value", "$[0]").cast("int")).collect()]
-        self.dims, self.centroids, self.angles = self.dims[1], [r[1] for r in rows], [r[2] for r in rows]  # as many as lists
+        self.dims, self.centroids, self.angles, self.sizes = self.dims[1], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]  # as many as lists
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, dims: int, lists: int = 64, sample: int = SAMPLE, seed: int = 7) -> VectorIndex:
@@ -59,42 +62,79 @@ class VectorIndex:
             centres = [[float(x) / math.sqrt(sum(float(e) ** 2 for e in c)) for x in c] for c in found]
         finally:
             fit.unpersist()
-        at = F.coalesce(F.get(nearest(F.col("unit"), centres, 1), 0), F.lit(-1)) if centres else F.lit(-1)
-        rows.withColumn("list", at).repartition("list", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("list").parquet(f"{path}/rows")
-        angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.get(constant(centres), F.col("list")), F.col("unit")))))
-        widest = dict(spark.read.schema(UNIT).parquet(f"{path}/rows").where("list >= 0").groupBy("list").agg(F.max(angle)).collect()) if centres else {}
-        kept = [(json.dumps([-1, dims]),)] + [(json.dumps([i, c, widest.get(i, 0.0)]),) for i, c in enumerate(centres)]
+        at = nearest(F.col("unit"), centres, 1)
+        placed = rows.withColumn("at", at).select("id", "unit", F.get("at.angles", 0).alias("angle"), F.coalesce(F.get("at.lists", 0), F.lit(-1)).alias("list"))
+        placed.repartition("list", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("list").parquet(f"{path}/rows")
+        own = spark.read.schema(UNIT).parquet(f"{path}/rows").where("list >= 0").groupBy("list").agg(F.max("angle").alias("widest"), F.count(F.lit(1)).alias("n"))
+        widest = {r["list"]: (r["widest"], r["n"]) for r in own.collect()}  # a row for each list
+        kept = [(json.dumps([-1, dims]),)] + [(json.dumps([i, c, *widest.get(i, (0.0, 0))]),) for i, c in enumerate(centres)]
         spark.createDataFrame(kept, "value string").coalesce(1).write.text(f"{path}/centroids")
         return cls(spark, path)
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 4, exact: bool = True) -> DataFrame:
         """(id, other, cosine, similarity (rounded to six digits), rank) of the ``k`` rows most like each query (id, vector), ties by
-        identifier. A row is no neighbour of its own identifier. The first ``k`` are kept where pairs are made, before any shuffle."""
-        stored = self.spark.read.schema(UNIT).parquet(f"{self.path}/rows").select(F.col("id").alias("other"), F.col("unit").alias("u"), "list")
+        identifier. A row is no neighbour of its own identifier. Queries and rows of a list meet in cells of about ``CELL_ROWS`` rows."""
+        stored = self.spark.read.schema(UNIT).parquet(f"{self.path}/rows").select("id", "unit", "list").where("list >= 0")
         asked = units(queries, self.dims).where("unit IS NOT NULL")
-        best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-
-        def ranked(lists: Column) -> DataFrame:
-            pairs = asked.withColumn("list", F.explode(lists)).join(stored, "list").where("id <> other")
-            scored = pairs.select("id", "other", dot(F.col("unit"), F.col("u")).alias("cosine")).withColumn("similarity", F.round("cosine", 6))
-            return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-        first = ranked(nearest(F.col("unit"), self.centroids, max(1, probes)) if self.centroids else F.array().cast("array<int>"))
-        if not exact or not self.centroids:
-            return first
-        reach = first.where(F.col("rank") == k).groupBy("id").agg(F.min("similarity").alias("least"))
+        # The cells of a list follow one another; a row is dealt to one of them, a query to all.
+        own = [max(1, -(-n // CELL_ROWS)) for n in self.sizes]
+        first = [sum(own[:i]) for i in range(len(own))]
+        at = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("list"))
+        rows = stored.select((at(first) + F.pmod(F.xxhash64("id"), at(own))).cast("int").alias("cell"), F.lit(False).alias("asks"), "id", "unit")
+
+        def best(lists: Column) -> DataFrame:
+            ask = asked.withColumn("list", F.explode(lists)).withColumn("cell", F.explode(F.sequence(at(first), at(first) + at(own) - 1)))
+            cells = ask.select("cell", F.lit(True).alias("asks"), "id", "unit").unionByName(rows)
+            found = met(cells.select("cell", "asks", "id", F.col("unit").alias("vector"), F.lit(None).cast("bigint").alias("tag")), k, sum(own))
+            return ranked(found, k).select("id", "other", "cosine", "similarity", "rank")
+
+        if not self.centroids:
+            return asked.limit(0).select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank"))
+        near = best(nearest(F.col("unit"), self.centroids, max(1, probes))["lists"])
+        if not exact:
+            return near
+        reach = near.where(F.col("rank") == k).groupBy("id").agg(F.min("similarity").alias("least"))
         asked = asked.join(reach, "id", "left")
-        far = lambda c: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(c, F.col("unit")))))
-        bounds = F.zip_with(constant(self.centroids), F.array(*map(F.lit, self.angles)), lambda c, a: F.cos(F.greatest(F.lit(0.0), far(c) - a)))
-        may = F.transform(bounds, lambda b, i: F.struct(i.alias("i"), (F.col("least").isNull() | (b >= F.col("least") - SLACK)).alias("may")))
-        return ranked(F.transform(F.filter(may, lambda t: t["may"]), lambda t: t["i"]))
+        return best(may_hold(F.col("unit"), F.col("least"), self.centroids, self.angles))
 
 
-def constant(centroids: list[list[float]]) -> Column:
-    return F.from_json(F.lit(json.dumps(centroids)), "array<array<double>>")
+def _cosines(units: pa.Array, centroids: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors, none of them null, and centroids."""
+    return np.clip(units.flatten().to_numpy().reshape(len(units), -1) @ centroids.T, -1.0, 1.0)
 
 
 def nearest(unit: Column, centroids: list[list[float]], n: int) -> Column:
-    """The numbers of the ``n`` centroids most like a unit vector (null without one)."""
-    scored = F.transform(constant(centroids), lambda c, i: F.struct((-dot(c, unit)).alias("s"), i.alias("i")))
-    return F.when(unit.isNotNull(), F.transform(F.slice(F.array_sort(scored), 1, n), lambda t: t["i"]))
+    """The numbers of the ``n`` centroids most like a unit vector, and their angles (null without one)."""
+    c = np.array(centroids)
+
+    @F.arrow_udf("struct<lists:array<int>,angles:array<double>>")
+    def find(units: pa.Array) -> pa.Array:
+        there = np.flatnonzero(units.is_valid().to_numpy(zero_copy_only=False)) if len(c) else np.zeros(0, np.int64)
+        if not len(there):
+            return pa.nulls(len(units), pa.struct({"lists": pa.list_(pa.int32()), "angles": pa.list_(pa.float64())}))
+        cosines = _cosines(units.drop_null(), c)
+        lists = np.argsort(-cosines, axis=1, kind="stable")[:, :n]
+        angles = np.arccos(np.take_along_axis(cosines, lists, axis=1))
+        flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
+        rows = pa.StructArray.from_arrays([flat(lists.astype(np.int32), pa.int32()), flat(angles, pa.float64())], names=["lists", "angles"])
+        place = np.full(len(units), -1)
+        place[there] = np.arange(len(there))
+        return rows.take(pa.array(place, mask=place < 0))
+
+    return find(unit)
+
+
+def may_hold(unit: Column, least: Column, centroids: list[list[float]], angles: list[float]) -> Column:
+    """The numbers of the lists that may hold a row as similar as ``least`` to a unit vector: all if that is null."""
+    c, wide = np.array(centroids), np.array(angles)
+
+    @F.arrow_udf("array<int>")
+    def find(units: pa.Array, least: pa.Array) -> pa.Array:
+        if not len(units):
+            return pa.array([], pa.list_(pa.int32()))
+        bounds = np.cos(np.maximum(0.0, np.arccos(_cosines(units, c)) - wide))
+        may = bounds >= pc.fill_null(least, -2.0).to_numpy()[:, None] - SLACK
+        offsets = np.concatenate(([0], np.cumsum(may.sum(axis=1)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(may)[1].astype(np.int32)))
+
+    return find(unit, least)

@@ -56,3 +56,17 @@ def test_lists_that_can_hold_nothing_nearer_stay_closed(spark, tmp_path):
     index = VectorIndex.build(d, str(tmp_path / "i"), 16, lists=12)
     q = d.where("id % 50 = 0")
     assert found(index.search(q, 5, 1)) == brute(rows, 5)
+
+
+def test_a_list_of_very_many_rows_is_dealt_to_several_cells_and_pairs_are_no_rows(spark, tmp_path, monkeypatch):
+    from lorebase.operators import vectors as V
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0] * 8 if i % 4 else [float(x) for x in rng.normal(size=8)]) for i in range(800)]
+    d = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = VectorIndex.build(d, str(tmp_path / "i"), 8, lists=4)
+    monkeypatch.setattr(V, "CELL_ROWS", 100)
+    near = index.search(d.where("id % 50 = 0"))
+    assert found(near) == brute(rows, 5)
+    plan = index.search(d.where("id % 50 = 0"), exact=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
