@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,20 @@ def _automaton(strings: tuple[str, ...]):
     return _built[strings]
 
 
+#: Texts that become Python's own at a time: a batch may be 64 MB, which are several times as much as strings.
+TEXTS = 256
+
+
+def in_slices(column: pa.Array, work: Callable[[list], pa.Array]) -> pa.Array:
+    """``work`` of the values, ``TEXTS`` at a time. A worker lives on after its batches, so it hands back what they freed."""
+    done = pa.concat_arrays([work(column.slice(i, TEXTS).to_pylist()) for i in range(0, len(column), TEXTS) or (0,)])
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+    return done
+
+
 def places_held(texts: Sequence[str], strings: tuple[str, ...]) -> list[list[int]]:
     """For each text the places of the strings it holds, ascending."""
     automaton, places, always = _automaton(strings)
@@ -55,9 +70,12 @@ def held(text: Column, strings: Sequence[str], rows: pa.StructArray, schema: str
 
     @F.arrow_udf(f"array<{schema}>")
     def find(texts: pa.Array) -> pa.Array:
-        own = places_held(["" if t is None else t for t in texts.to_pylist()], strings)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-        flat = np.array([i for x in own for i in x], np.int64)
-        return pa.ListArray.from_arrays(pa.array(offsets), rows.take(pa.array(flat)))
+        def some(own: list) -> pa.Array:
+            places = places_held(["" if t is None else t for t in own], strings)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in places]))).astype(np.int32)
+            flat = np.array([i for x in places for i in x], np.int64)
+            return pa.ListArray.from_arrays(pa.array(offsets), rows.take(pa.array(flat)))
+
+        return in_slices(texts, some)
 
     return find(text)

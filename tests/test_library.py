@@ -337,3 +337,19 @@ def test_templates_of_urls_of_several_pages_are_those_of_the_sql(spark, tmp_path
     got = sorted((r["template"], r["n"]) for r in catalogue.QUERIES["url_template_counts"](spark, str(tmp_path)).collect())
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(duckdb.sql(catalogue.ORACLE["url_template_counts"]).fetchall())
+
+
+def test_texts_of_a_batch_become_strings_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from lorebase.functions import patterns
+
+    most = []
+
+    def work(own):
+        most.append(len(own))
+        return pa.array([len(x) for x in own], pa.int64())
+
+    monkeypatch.setattr(patterns, "TEXTS", 3)
+    assert patterns.in_slices(pa.array(["a" * i for i in range(8)]), work).to_pylist() == list(range(8)) and most == [3, 3, 2]
+    assert patterns.in_slices(pa.array([], pa.string()), work).to_pylist() == []
