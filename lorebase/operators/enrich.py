@@ -108,7 +108,7 @@ def enrich(captures: DataFrame, pages: DataFrame, stored: DataFrame | None = Non
     Captures are read once; rows without a link go by a key of their own through the join.
     ``stored`` (id, source_type, source_url, content): outputs that say the same as what
     is stored are skipped, and so is all of one output but the first place of an item."""
-    one = pages.groupBy("requested").agg(F.min(F.struct("url", "html")).alias("least")).select(F.col("requested").alias("key"), F.col("least.url").alias("ended"), outline(F.col("least.html")).alias("o"))
+    one = pages.groupBy("requested").agg(F.min(F.struct("url", "html")).alias("least")).select(F.col("requested").alias("key"), F.col("least.url").alias("ended"), outline(F.col("least.html"), "title", "text").alias("o"))
     rows = routed(captures, **how).withColumn("key", F.coalesce("requested", F.concat(F.lit("\n"), F.xxhash64("id", "place", "source_url").cast("string"))))
     met = rows.join(one, "key", "left")
     link = F.col("requested").isNotNull()

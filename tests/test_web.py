@@ -134,3 +134,9 @@ def test_enrich_routes_each_payload(spark, tmp_path):
     states = {(r["id"], r["state"]): r["n"] for r in again.groupBy("id", "state").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert states[1, "skipped"] == 6 and states[1, "failed"] == 1 and states[2, "enriched"] == 3
     assert N.enrich(captures.limit(0), pages).count() == 0
+
+
+def test_outlines_of_some_fields_only(spark):
+    d = spark.createDataFrame([("<title>T</title><body><p>one<a href=x>two</a></body>",), (None,)], "html string")
+    got = [r["o"].asDict() for r in d.select(outline(F.col("html"), "title", "text").alias("o")).collect()]
+    assert got == [{"title": "T", "text": "T\n\nonetwo"}, {"title": "", "text": ""}]
