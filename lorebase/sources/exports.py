@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as X
+from lorebase.plans.model import written
 from lorebase.sources.files import write_pages
 
 FORMATS = ("jsonl", "csv", "markdown", "logseq", "obsidian", "spec", "archive")
@@ -115,6 +116,7 @@ def index_pages(rows: DataFrame, form: str = "markdown") -> DataFrame:
     """Lines of the pages of topics and (for obsidian) entities, and of ``index.md`` with totals."""
     folder = {"obsidian": "Bookmarks/", "logseq": "pages/"}.get(form, "bookmarks/")
     each = rows.select("primary_category", *_have(rows, ("entities",)), F.substring(title_of(rows), 1, 100).alias("title"), F.concat(F.lit(folder), note_name(rows)).alias("target"))
+    each = written(each)  # several pages are made of it, and what it is made of may be classified texts
     topics = each.select(F.col("primary_category").alias("name"), "title", "target")
     if form == "obsidian":
         names = each.select(F.explode("entities").alias("name"), "title", "target")

@@ -353,3 +353,10 @@ def test_texts_of_a_batch_become_strings_a_few_at_a_time(monkeypatch):
     monkeypatch.setattr(patterns, "TEXTS", 3)
     assert patterns.in_slices(pa.array(["a" * i for i in range(8)]), work).to_pylist() == list(range(8)) and most == [3, 3, 2]
     assert patterns.in_slices(pa.array([], pa.string()), work).to_pylist() == []
+
+
+def test_lines_of_topic_pages_are_made_of_texts_classified_once(spark):
+    from lorebase.plans.catalogue import QUERIES
+
+    plan = QUERIES["topic_page_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "documents.parquet" not in plan
