@@ -15,13 +15,17 @@ tightest, then AND, then OR. It is evaluated in one of two ways:
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters with accents and their plain forms (fixed values).
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+#: Texts whose postings are made at a time.
+TEXTS = 256
 #: Positions of a row's columns lie so far apart that no phrase crosses them.
 GAP = 1 << 40
 
@@ -125,10 +129,29 @@ def matching(items: DataFrame, expression: str, *columns: str) -> DataFrame:
 
 
 def index(items: DataFrame, *columns: str) -> DataFrame:
-    """Postings (token, id, column, places): a row for each word of each row and column."""
-    each = items.select("id", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("words")) for c in columns])))
-    placed = each.select("id", "column", F.posexplode("words").alias("at", "token"))
-    return placed.groupBy("token", "id", "column").agg(F.array_sort(F.collect_list(F.col("at").cast("bigint"))).alias("places"))
+    """Postings (token, id, column, places): a row for each word of each row and column.
+
+    A row's words are put together where the row lies, so words are not shuffled one by one."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                tokens, owners, named, places, ends = [], [], [], [], [0]
+                for i, column, line in zip(*(batch[c].slice(at, TEXTS).to_pylist() for c in ("id", "column", "line"))):
+                    own: dict[str, list[int]] = {}
+                    for place, token in enumerate(line.split()):
+                        own.setdefault(token, []).append(place)
+                    for token, found in own.items():
+                        tokens.append(token)
+                        places += found
+                        ends.append(len(places))
+                    owners += [i] * len(own)
+                    named += [column] * len(own)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(owners, pa.int64()), pa.array(named, pa.string()), lists], names=["token", "id", "column", "places"])
+
+    each = items.select(F.col("id").cast("bigint").alias("id"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), spaced(F.col(c)).alias("line")) for c in columns])))
+    return each.mapInArrow(post, "token string, id bigint, column string, places array<bigint>")
 
 
 def write_index(items: DataFrame, path: str, *columns: str) -> None:

@@ -141,3 +141,13 @@ def test_audit_of_files(spark, tmp_path):
         ("deep/er/my.db", None, name, ""),
         ("bad.txt", 1, home, "\ufffd\ufffd /home/me/z"),
     }
+
+
+def test_postings_are_made_within_rows_and_not_by_a_shuffle(spark):
+    from lorebase.operators.search import index
+
+    rows = [(1, "A b a", "x"), (2, None, "b"), (3, "Ünï-code  b!", ""), (1, "a", "y")]
+    found = index(spark.createDataFrame(rows, "id long, t string, u string"), "t", "u")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["token"], r["id"], r["column"], r["places"]) for r in found.collect())
+    assert got == sorted([("a", 1, "t", [0, 2]), ("b", 1, "t", [1]), ("x", 1, "u", [0]), ("b", 2, "u", [0]), ("uni", 3, "t", [0]), ("code", 3, "t", [1]), ("b", 3, "t", [2]), ("a", 1, "t", [0]), ("y", 1, "u", [0])])
