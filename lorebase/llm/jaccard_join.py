@@ -13,6 +13,9 @@ with its union reaches what the similarity asks for.
   only where little else is in them. Which tokens are frequent is counted in
   bounded memory over all documents; this decides the order only, and every
   order gives the same links.
+* Heads are longer than that by a few tokens, so linked sets share these few as well. A
+  set that shares fewer with all others of any band of sizes leaves the matrix, and its
+  text never travels; so tokens that sets share by chance bring few of them together.
 * Groups have about ``GROUP`` members and ``GROUP_TOKENS`` tokens: sets that share
   the most common token of their heads, dealt by a hash.
 * Bound. The number of tokens that two groups share in the matrix has to reach
@@ -32,17 +35,19 @@ missing, and no link between different components is lost.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import discard, releasing, rows_per_batch, shuffle_partitions, staged, text_or_empty
+from lorebase.llm.common import discard, divided, releasing, rows_per_batch, shuffle_partitions, staged, text_or_empty
 from lorebase.llm.components import components
 from lorebase.llm.kernel import U, chunks, mix64, shingles
 
@@ -56,12 +61,18 @@ COUNTED = 1 << 20
 TEXTS, PIECE = 2000, 1 << 18
 #: Bits of the filter that keeps sets without candidates from travelling.
 FILTER_BITS = 1 << 26
+#: Linked sets share one token of their heads, and one more for so many that they share at least, up to MORE.
+PER_MORE, MORE = 16, 7
+#: Bands of sizes in the span of sizes that can link.
+FINE = 4
 NO_ID = (1 << 63) - 1
 
 
 def head_size(n: int, percent: int) -> int:
-    """So many first tokens of a set of n, in any order, meet those of every set that links with it."""
-    return n - -(-percent * n // 100) + 1
+    """So many first tokens of a set of n, in any order, share 1 + m with those of every
+    set that links with it, where m is ``percent * n // (100 * PER_MORE)`` of the smaller
+    set, ``MORE`` at most: the last of these has the others of ceil(percent * n / 100) behind it."""
+    return n - -(-percent * n // 100) + 1 + min(percent * n // (100 * PER_MORE), MORE)
 
 
 def head(tokens: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -237,6 +248,44 @@ def shared_tokens(plain: DataFrame, words: int, percent: int, parts: int, freque
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(releasing(meet), "token bigint, sid bigint").distinct()
 
 
+def least_shared(low: Column, high: Column, low_other: Column, high_other: Column, percent: int) -> Column:
+    """What the heads of linked sets of sizes from these two ranges share at least.
+
+    Linked sets of sizes a >= b share t (a + b) / (1 + t), of which at most t a - m are past
+    a head: t (b - t a) / (1 + t) + m or more, with t = percent / 100 and the m of ``head_size``.
+    Less is asked for, as names of tokens may be equal: one, and several times what is
+    likely in very long sets."""
+    t = percent / 100
+    asks = F.least(low_other - t * high, low - t * high_other) * (t / (1 + t))
+    m = F.least(F.floor(percent * F.least(low, low_other) / (100 * PER_MORE)), F.lit(MORE))
+    return F.greatest(asks, F.lit(0)) + m - 1 - high * high_other / (1 << 31)
+
+
+def met_enough(held: DataFrame, percent: int) -> DataFrame:
+    """``held`` (token, set, n) without the sets that share too few tokens to link, and without
+    tokens that a set shares with none of a size at which it shares enough.
+
+    A set's tokens are counted by the band of sizes of those it shares them with,
+    whoever these are, so this bounds what it shares with any one of them; no sets are paired."""
+    # Sizes that can link lie in one band or at most FINE bands apart.
+    step = math.log(max(100 / percent, 1.05)) * (1 + 1e-9) / FINE
+    held = held.withColumn("band", F.floor(F.log("n") / step).cast("int"))
+    at, own = Window.partitionBy("token").orderBy("band"), Window.partitionBy("set")
+    away = [(d, 1 << i) for i, d in enumerate(range(-FINE, FINE + 1))]
+    masks = [F.when(F.sum("holders").over(at.rangeBetween(d, d)) > int(d == 0), bit).otherwise(0) for d, bit in away]
+    bands = held.groupBy("token", "band").agg(F.count(F.lit(1)).alias("holders"))
+    bands = bands.select("token", "band", functools.reduce(operator.add, masks).alias("mask")).where("mask > 0")
+
+    def enough(d: int, bit: int) -> Column:
+        low, high = F.exp((F.col("band") + d) * step) * (1 - 1e-9), F.exp((F.col("band") + d + 1) * step) * (1 + 1e-9)
+        shared = F.sum(F.when(F.col("mask").bitwiseAND(bit) > 0, 1).otherwise(0)).over(own)
+        return F.when(shared >= least_shared(F.col("n"), F.col("n"), low, high, percent), bit).otherwise(0)
+
+    left = held.join(bands, ["token", "band"])
+    left = left.select("token", "set", "n", "mask", functools.reduce(operator.add, [enough(*x) for x in away]).alias("good"))
+    return left.where(F.col("mask").bitwiseAND(F.col("good")) > 0).drop("mask", "good")
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_id,
     text_hash, component_hash``.
@@ -288,10 +337,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_sid = classes.select("set", "n", sid.alias("sid"))
     with rows_per_batch(spark, TEXTS):
         shared = staged(shared_tokens(plain, words, percent, shuffle_partitions(spark), frequent, rank))
-    held = shared.join(by_sid, "sid").select("token", "set", "n")
-    counted = held.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.sum("n").alias("volume")).where("holders > 1")
-    held = staged(held.drop("n").join(counted, "token"))
+    held = staged(shared.join(by_sid, "sid").select("token", "set", "n"))
     discard(shared)
+    seen, held = held, staged(met_enough(held, percent))
+    discard(seen)
+    counted = held.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.sum("n").alias("volume")).where("holders > 1")
+    seen, held = held, staged(held.drop("n").join(counted, "token"))
+    discard(seen)
     # Groups: sets that share the most common token of their heads, dealt by a hash.
     home = held.groupBy("set").agg(F.max(F.struct("holders", "volume", "token")).alias("most"))
     parts = F.ceil(F.greatest(F.col("most.holders") / GROUP, F.col("most.volume") / GROUP_TOKENS))
@@ -321,7 +373,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A compressed text is a fraction of its tokens, which are made of it where a group is opened.
     near = plain.mapInArrow(releasing(pick), "set binary, rep bigint, text binary")
     with rows_per_batch(spark, TEXTS):
-        members = staged(near.join(wanted.select("set", "rep", "home", "part"), ["set", "rep"]).drop("rep").dropDuplicates(["set"]))
+        # Partitioned by ``set`` alone (``least`` is never above ``rep``), so texts travel once for both.
+        members = staged(near.join(wanted.select("set", F.col("rep").alias("least"), "home", "part"), "set").where("rep <= least").drop("rep", "least").dropDuplicates(["set"]))
 
     def pack(frame: DataFrame, *key: str) -> DataFrame:
         return frame.groupBy(*key).agg(F.collect_list(F.struct("set", "component", "text")).alias("members"))
@@ -400,10 +453,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return labelled.join(found, "component", "left").withColumn("component", F.coalesce("__to", "component")).drop("__to")
 
     # Texts are read from `members` only to pack groups; labels travel without them.
-    alone = pack(members.withColumn("component", F.col("set")), "home", "part").select("members")
-    with rows_per_batch(spark, 16):  # a row is a group's texts
-        labels = staged(alone.mapInArrow(releasing(join_within), "set binary, component binary"))
+    # Texts of groups of one stay where they are; of the others only those travel.
     place = members.select("set", "home", "part")
+    several = staged(place.groupBy("home", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    alone, rest = divided(members, several, "home", "part")
+    rest = pack(rest.withColumn("component", F.col("set")), "home", "part").select("members")
+    with rows_per_batch(spark, 16):  # a row is a group's texts
+        labels = staged(rest.mapInArrow(releasing(join_within), "set binary, component binary").unionByName(alone.select("set", F.col("set").alias("component"))))
 
     # Each group with the first one of the same home.
     hub = staged(place.groupBy("home").agg(F.min("part").alias("hub"), F.max("part").alias("last")).where("last > hub").drop("last"))
@@ -451,18 +507,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near_by = (100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx"))
     meet = (F.col("cx") < F.col("cy")) & (F.col("band") == F.greatest("bx", "by")) & near_by
     met = x.join(y, ["token", "band"]).where(meet).groupBy("cx", "cy").agg(F.sum("tokens").alias("shared"), *[F.min(c).alias(c) for c in ("lx", "mx", "ly", "my")])
-    # Heads of linked sets of sizes a >= b share t (b - t a) / (1 + t) tokens or more: they share
-    # t (a + b) / (1 + t), of which at most t a are past a head. Less is asked for, as names of
-    # tokens may be equal: one, and several times what is likely in very long sets.
-    asks = F.least(F.col("ly") - t * F.col("mx"), F.col("lx") - t * F.col("my")) * (t / (1 + t))
-    spare = 1 + F.col("mx") * F.col("my") / (1 << 31)
-    met = staged(met.where(F.col("shared") + spare >= asks).select("cx", "cy"))
+    asks = least_shared(F.col("lx"), F.col("mx"), F.col("ly"), F.col("my"), percent)
+    met = staged(met.where(F.col("shared") >= asks).select("cx", "cy"))
     groups = staged(placed.select("unit", "group").distinct())
     own = units.where("components > 1").join(groups, "unit").select(F.col("group").alias("g"), F.col("group").alias("h"))
     pairs = met.join(groups.select(F.col("unit").alias("cx"), F.col("group").alias("g")), "cx").join(groups.select(F.col("unit").alias("cy"), F.col("group").alias("h")), "cy").select("g", "h")
     pairs = staged(pairs.unionByName(own))
     opened = pairs.select(F.col("g").alias("group")).unionByName(pairs.select(F.col("h").alias("group"))).distinct()
-    store = staged(pack(members.select("set", "text").join(placed.drop("unit").join(opened, "group", "left_semi"), "set"), "group"))
+    opened = staged(placed.drop("unit").join(opened, "group", "left_semi"))
+    store = staged(pack(divided(members.select("set", "text"), opened, "set")[1].join(opened, "set"), "group"))
     with rows_per_batch(spark, 16):
         unions = staged(unions_of(store))
         pairs = staged(qualifying(pairs, unions))

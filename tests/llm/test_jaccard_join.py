@@ -104,3 +104,57 @@ def test_short_texts_on_the_threshold(spark, words, percent):
     got = ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent).collect()
     found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got}
     assert found == {(d, len(t.split()) - words + 1, d - d % 2) for d, t in rows}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_linked_sets_share_several_tokens_of_their_heads(percent):
+    r = np.random.default_rng(percent)
+    for a in range(20, 400, 7):
+        for b in {a, a + a // 20, 100 * a // percent}:
+            o = -(-percent * (a + b) // (100 + percent))
+            if not b <= 100 * o // percent or o > a:
+                continue
+            t = r.integers(0, 1 << 63, a + b - o, np.int64).astype(np.uint64)
+            x, y = np.sort(t[:a]), np.sort(t[a - o :])
+            frequent = np.sort(r.choice(t, r.integers(0, len(t) + 1), replace=False))
+            heads = [head(z, percent, frequent, np.random.default_rng(1).permutation(len(frequent))) for z in (x, y)]
+            asks = max(0, (a - percent * b / 100) * percent / (100 + percent)) + min(percent * a // 1600, 7)
+            assert len(np.intersect1d(*heads)) >= max(asks, 1 + min(percent * a // 1600, 7)), (a, b, o)
+
+
+@pytest.mark.parametrize("frequent", [0, 1 << 19])
+def test_long_texts_on_the_threshold(spark, monkeypatch, frequent):
+    from lorebase.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    rows = []
+    for i in range(60):  # sets of 9 * (i + 1) shingles, and each with those that make it 10 * (i + 1)
+        own = [f"w{i}x{j}" for j in range(10 * (i + 1) + 2)]
+        rows += [(2 * i, " ".join(own[: 9 * (i + 1) + 2])), (2 * i + 1, " ".join(own))]
+    got = ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(d, len(t.split()) - 2, d - d % 2) for d, t in rows}
+
+
+def test_texts_that_share_few_tokens_do_not_travel(spark, monkeypatch):
+    from lorebase.llm import jaccard_join
+
+    travelled, staged = [], jaccard_join.staged
+
+    def counting(df, keep=False):
+        out = staged(df, keep)
+        if {"text", "home"} <= set(out.columns):
+            travelled.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)  # as if no repeated token were known
+    monkeypatch.setattr(jaccard_join, "staged", counting)
+    rows = []
+    for i in range(60):  # pairs of texts with one passage of 30 words in common, which is a few tokens of their heads
+        passage = [f"p{i}x{j}" for j in range(30)]
+        rows += [(2 * i + k, " ".join([f"w{i}x{k}x{j}" for j in range(270)] + passage)) for k in (0, 1)]
+    for i in range(5):
+        own = [f"near{i}x{j}" for j in range(300)]
+        rows += [(1000 + 2 * i, " ".join(own)), (1001 + 2 * i, " ".join([*own[:-1], "other"]))]
+    got = ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 90)
+    assert travelled == [10]
